@@ -158,11 +158,11 @@ def churn(spark, sf):
 @query("j18_diff_results", """WITH a AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS total, count(*) * 1e0 AS n FROM orders GROUP BY 1),
     b AS (SELECT o_custkey AS k, round(sum(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice ELSE 0 END), 2) AS total, count(*) * 1e0 AS n
           FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1),
-    j AS (SELECT a.k AS ak, b.k AS bk, a.total AS at, b.total AS bt, a.n AS an, b.n AS bn FROM a FULL JOIN b ON a.k = b.k),
+    j AS (SELECT a.k AS ak, b.k AS bk, a.total AS ta, b.total AS tb, a.n AS na, b.n AS nb FROM a FULL JOIN b ON a.k = b.k),
     m AS (SELECT count(*) AS miss FROM j WHERE ak IS NULL OR bk IS NULL)
-    SELECT 'total' AS "column", max(miss) AS missing_keys, count(*) FILTER (at IS DISTINCT FROM bt) AS differing, round(max(abs(at - bt)), 2) AS max_abs_diff
+    SELECT 'total' AS "column", max(miss) AS missing_keys, count(*) FILTER (ta IS DISTINCT FROM tb) AS differing, round(max(abs(ta - tb)), 2) AS max_abs_diff
       FROM j CROSS JOIN m WHERE ak IS NOT NULL AND bk IS NOT NULL
-    UNION ALL SELECT 'n', max(miss), count(*) FILTER (an IS DISTINCT FROM bn), round(max(abs(an - bn)), 2)
+    UNION ALL SELECT 'n', max(miss), count(*) FILTER (na IS DISTINCT FROM nb), round(max(abs(na - nb)), 2)
       FROM j CROSS JOIN m WHERE ak IS NOT NULL AND bk IS NOT NULL""")
 def diff(spark, sf):
     o = load_input(spark, sf, "orders")
@@ -218,7 +218,7 @@ def union(spark, sf):
 @query("u3_vocabulary_except", """SELECT DISTINCT upper(split_part(p_name, ' ', 2)) AS term FROM part
     WHERE upper(split_part(p_name, ' ', 2)) NOT IN ('RING', 'WIDGET')""")
 def vocabulary(spark, sf):
-    from .rules import terms_outside
+    from ..functions.rules import terms_outside
 
     words = load_input(spark, sf, "part").select(F.split("p_name", " ")[1].alias("term"))
     return terms_outside(words, "term", ["RING", "WIDGET"])

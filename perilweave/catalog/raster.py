@@ -35,7 +35,7 @@ def to_xy(spark, sf):
 @query("p10_filter_risk_band", """SELECT l_suppkey AS tile_id, count(*) AS low,
     count(*) FILTER (l_returnflag IN ('A', 'R')) AS high FROM lineitem GROUP BY l_suppkey""")
 def risk_band(spark, sf):
-    from .rules import in_risk_band
+    from ..functions.rules import in_risk_band
 
     px = load_input(spark, sf, "lineitem").selectExpr("l_suppkey AS tile_id", "l_returnflag AS risk")
     return px.groupBy("tile_id").agg(
@@ -121,7 +121,7 @@ def grid_metres(spark, sf):
 @query("p11_detect_lonlat", """SELECT 'lonlat' AS layer, max(abs(CAST(embedding[1] AS DOUBLE))) <= 180 AS is_lonlat FROM embeddings
     UNION ALL SELECT 'grid', max(abs(o_totalprice)) <= 180 FROM orders""")
 def lonlat(spark, sf):
-    from .rules import detect_lonlat
+    from ..functions.rules import detect_lonlat
 
     a = load_input(spark, sf, "embeddings").selectExpr("'lonlat' AS layer", "CAST(embedding[0] AS DOUBLE) AS x")
     b = load_input(spark, sf, "orders").selectExpr("'grid' AS layer", "o_totalprice AS x")
