@@ -47,21 +47,21 @@ YE = ["ylt", "exposure"]
 
 
 @query("g15_expected_loss", sql(YE, EL + """
-    SELECT district_id, round(el_sub, 4) AS el_sub, round(el_wx, 4) AS el_wx, round(el_fl, 4) AS el_fl, round(el_gw, 4) AS el_gw, round(el_total, 4) AS el_total FROM el"""))
+    SELECT district_id, round(el_sub, 7) AS el_sub, round(el_wx, 7) AS el_wx, round(el_fl, 7) AS el_fl, round(el_gw, 7) AS el_gw, round(el_total, 7) AS el_total FROM el"""))
 def expected(spark, sf):
-    return r4(T.expected_loss(ylt(spark, sf), exposure(spark, sf), YEARS))
+    return r4(T.expected_loss(ylt(spark, sf), exposure(spark, sf), YEARS), digits=7)
 
 
-@query("g17_var", sql(YE, DENSE + " SELECT district_id, round(var995, 4) AS var995 FROM tl"))
+@query("g17_var", sql(YE, DENSE + " SELECT district_id, round(var995, 7) AS var995 FROM tl"))
 def var(spark, sf):
     t = T.tail_measures(T.district_years(ylt(spark, sf)), exposure(spark, sf), YEARS)
-    return r4(t.select("district_id", "var995"))
+    return r4(t.select("district_id", "var995"), digits=7)
 
 
-@query("g18_tvar", sql(YE, DENSE + " SELECT district_id, round(tvar99, 4) AS tvar99 FROM tl"))
+@query("g18_tvar", sql(YE, DENSE + " SELECT district_id, round(tvar99, 5) AS tvar99 FROM tl"))
 def tvar(spark, sf):
     t = T.tail_measures(T.district_years(ylt(spark, sf)), exposure(spark, sf), YEARS)
-    return r4(t.select("district_id", "tvar99"))
+    return r4(t.select("district_id", "tvar99"), digits=5)
 
 
 @query("g19_tail_uplift_pct", sql(["ylt", "ylt_indep", "exposure"], DENSE + """,
@@ -82,7 +82,7 @@ def uplift(spark, sf):
     dy AS (SELECT district_id, year_id, sum(CASE WHEN peril <> 'er' THEN loss ELSE 0 END) AS t4, sum(loss) AS t5 FROM ylt5 WHERE loss > 0 GROUP BY 1, 2),
     a AS (SELECT district_id, t4, row_number() OVER (PARTITION BY district_id ORDER BY t4 DESC, year_id) AS rn FROM dy),
     b AS (SELECT district_id, t5, row_number() OVER (PARTITION BY district_id ORDER BY t5 DESC, year_id) AS rn FROM dy)
-    SELECT e.district_id, round(coalesce(x.tv, 0), 4) AS tvar99_vine, round(coalesce(y.tv, 0), 4) AS tvar99_vine5 FROM exposure e
+    SELECT e.district_id, round(coalesce(x.tv, 0), 5) AS tvar99_vine, round(coalesce(y.tv, 0), 5) AS tvar99_vine5 FROM exposure e
       LEFT JOIN (SELECT district_id, sum(t4) / 10 AS tv FROM a WHERE rn <= 10 GROUP BY 1) x ON e.district_id = x.district_id
       LEFT JOIN (SELECT district_id, sum(t5) / 10 AS tv FROM b WHERE rn <= 10 GROUP BY 1) y ON e.district_id = y.district_id"""))
 def totals(spark, sf):
@@ -90,7 +90,7 @@ def totals(spark, sf):
     e = exposure(spark, sf)
     four = T.tail_measures(t, e, YEARS, "total4", names=("tvar99_vine", "v4"))
     five = T.tail_measures(t, e, YEARS, "total5", names=("tvar99_vine5", "v5"))
-    return r4(four.join(five, "district_id").select("district_id", "tvar99_vine", "tvar99_vine5"))
+    return r4(four.join(five, "district_id").select("district_id", "tvar99_vine", "tvar99_vine5"), digits=5)
 
 
 PY = """py AS (SELECT year_id, """ + ", ".join(
@@ -113,9 +113,9 @@ def portfolio_query(spark, sf):
     return portfolio(spark, sf)
 
 
-@query("g21_euler_allocation", sql(YE, ",\n".join([DY, PORT]) + " SELECT district_id, round(euler, 4) AS euler FROM eu"))
+@query("g21_euler_allocation", sql(YE, ",\n".join([DY, PORT]) + " SELECT district_id, round(euler, 5) AS euler FROM eu"))
 def euler(spark, sf):
-    return r4(T.euler_allocation(T.district_years(ylt(spark, sf)), exposure(spark, sf), YEARS))
+    return r4(T.euler_allocation(T.district_years(ylt(spark, sf)), exposure(spark, sf), YEARS), digits=5)
 
 
 @query("g22_tail_concentration", sql(YE, ",\n".join([DY, PORT]) + """,
@@ -282,7 +282,7 @@ def top_k(spark, sf):
     p AS (SELECT el.district_id, el_total, coalesce(tvar99, 0) AS tvar99, euler, 6e-2 * greatest(euler - el_total, 0) AS capital,
       round(el_total + 6e-2 * greatest(euler - el_total, 0), 4) AS premium FROM el JOIN eu USING (district_id) LEFT JOIN tl USING (district_id)),
     r AS (SELECT *, row_number() OVER (ORDER BY premium, district_id) AS rn, count(*) OVER () AS n FROM p)
-    SELECT district_id, round(el_total, 4) AS el_total, round(tvar99, 4) AS tvar99, round(euler, 4) AS euler, round(capital, 4) AS capital, premium,
+    SELECT district_id, round(el_total, 7) AS el_total, round(tvar99, 5) AS tvar99, round(euler, 5) AS euler, round(capital, 4) AS capital, premium,
       CAST(greatest(1, ceil((rn - 1) * 10e0 / greatest(n - 1, 1))) AS INT) AS "group" FROM r"""))
 def flagship(spark, sf):
     from ..plans.rating import price
@@ -295,4 +295,5 @@ def flagship(spark, sf):
         .join(T.euler_allocation(dy, e, YEARS), "district_id")
     )
     out = price(rated, "el_total", "euler", "el_total").withColumn("premium", F.round("premium", 4))
-    return r4(O.decile_group(out, "premium", "district_id"))
+    out = r4(O.decile_group(out, "premium", "district_id"), "capital")
+    return r4(r4(out, "el_total", digits=7), "tvar99", "euler", digits=5)

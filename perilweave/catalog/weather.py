@@ -61,7 +61,7 @@ def national(spark, sf):
       SELECT year, 'storm_days' AS metric, storm_days AS value FROM idx UNION ALL SELECT year, 'rain5d', rain5d FROM idx
       UNION ALL SELECT year, 'jja_deficit', jja_deficit FROM idx),
     rk AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, year) AS place FROM l)
-    SELECT year, max(round(storm_days, 3)) AS storm_days, max(round(jja_deficit, 3)) AS jja_deficit,
+    SELECT year, max(round(storm_days, 6)) AS storm_days, max(round(jja_deficit, 6)) AS jja_deficit,
       CAST(sum(CASE WHEN place <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS times_top3 FROM idx JOIN rk USING (year) GROUP BY year"""))
 def backtest(spark, sf):
     idx = W.backtest_index(daily(spark, sf))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .normal import norm_cdf, norm_ppf
+from .normal import with_norm_ppf
 
 TINY = 1e-12
 EDGE = 1e-9
@@ -30,10 +30,24 @@ def log_median_for_mean(mean: Column, sigma: Column) -> Column:
     return F.log(mean) - sigma * sigma / 2
 
 
-def mixed_quantile(u: Column, p: Column, mu: Column, sigma: Column) -> Column:
-    """Quantile of "no claim with 1 - p, else lognormal" at ``u``."""
-    inside = clip((u - (1 - p)) / p, TINY, 1 - TINY)
-    return F.when(u > 1 - p, F.exp(mu + sigma * norm_ppf(inside))).otherwise(F.lit(0.0))
+def with_mixed_quantile(df: DataFrame, targets: dict[str, tuple[str, str, str, str]]) -> DataFrame:
+    """Add quantiles of "no claim with 1 - p, else lognormal".
+
+    ``targets`` maps an output to the columns (u, p, mu, sigma). Only claiming
+    rows are worked out; for the rest the score stays NULL.
+    """
+    inside = {
+        f"_in_{o}": F.when(
+            F.col(u) > 1 - F.col(p), clip((F.col(u) - (1 - F.col(p))) / F.col(p), TINY, 1 - TINY)
+        )
+        for o, (u, p, _, _) in targets.items()
+    }
+    df = with_norm_ppf(df.withColumns(inside), {f"_sc_{o}": f"_in_{o}" for o in targets})
+    out = {
+        o: F.coalesce(F.exp(F.col(mu) + F.col(sigma) * F.col(f"_sc_{o}")), F.lit(0.0))
+        for o, (_, _, mu, sigma) in targets.items()
+    }
+    return df.withColumns(out).drop(*[f"_{t}_{o}" for o in targets for t in ("in", "sc")])
 
 
 # --- Gumbel pair ------------------------------------------------------------
@@ -59,18 +73,18 @@ def gumbel_h(v: Column, u: Column, theta: Column) -> Column:
 
 
 def with_gumbel_h_inverse(
-    df: DataFrame, u: str, targets: dict[str, tuple[str, str]], steps: int = 7
+    df: DataFrame, x: str, targets: dict[str, tuple[str, str]], steps: int = 7
 ) -> DataFrame:
     """Solve ``gumbel_h(v | u) = t`` for several (t, theta) pairs sharing ``u``.
 
-    ``targets`` maps the output column to (t, theta). Taking logs, with
+    ``x`` holds -ln u; ``targets`` maps the output column to (t, theta), all
+    column names. Taking logs, with
     d = y - x >= 0, the equation becomes
     d + (theta - 1) * ln(1 + d / x) = -ln t, increasing and concave in d, so
     Newton from any point at or left of the root climbs to it without
     overshooting. Each step is one projection; no row leaves the JVM.
     """
-    x = F.col("_x")
-    df = df.withColumn("_x", -F.log(clip(F.col(u), TINY, 1 - TINY)))
+    x = F.col(x)
     prep, start = {}, {}
     for name, (t, theta) in targets.items():
         goal = -F.log(clip(F.col(t), EDGE, 1 - EDGE))
@@ -95,7 +109,7 @@ def with_gumbel_h_inverse(
         grown = F.expm1(th * F.log1p(F.col(f"_d_{name}") / x))
         out[name] = clip(F.exp(-x * F.pow(grown, 1 / th)), EDGE, 1 - EDGE)
     df = df.withColumns(out)
-    scratch = ["_x"] + [f"_{k}_{n}" for n in targets for k in ("g", "b", "d")]
+    scratch = [f"_{k}_{n}" for n in targets for k in ("g", "b", "d")]
     return df.drop(*scratch)
 
 
@@ -116,10 +130,9 @@ def gumbel_margin(e: Column, frailty: Column, theta: Column) -> Column:
 
 # --- Gaussian pieces --------------------------------------------------------
 
-def gaussian_conditional(rho: float | Column, z_given: Column, z: Column) -> Column:
-    """Uniform whose normal score has correlation ``rho`` with ``z_given``."""
-    rho = rho if isinstance(rho, Column) else F.lit(rho)
-    return norm_cdf(rho * z_given + F.sqrt(1 - rho * rho) * z)
+def gaussian_conditional_score(rho: float, z_given: Column, z: Column) -> Column:
+    """Normal score with correlation ``rho`` to ``z_given``."""
+    return rho * z_given + (1 - rho * rho) ** 0.5 * z
 
 
 def tau_matched_rho(theta: Column) -> Column:
@@ -139,6 +152,6 @@ def mix_systemic_score(z_systemic: Column, loading: Column, noise: Column) -> Co
     return F.sqrt(loading) * z_systemic + F.sqrt(1 - loading) * noise
 
 
-def conditional_claim_probability(z_systemic: Column, threshold: Column, loading: Column) -> Column:
-    """Claim probability given the national factor."""
-    return norm_cdf((F.sqrt(loading) * z_systemic - threshold) / F.sqrt(1 - loading))
+def conditional_claim_score(z_systemic: Column, threshold: Column, loading: Column) -> Column:
+    """Normal score of the claim probability given the national factor."""
+    return (F.sqrt(loading) * z_systemic - threshold) / F.sqrt(1 - loading)

@@ -1,0 +1,143 @@
+"""The one Arrow-vectorised step: systemic scores of a district-year.
+
+As Column expressions this chain of rational approximations and Newton steps
+outgrows Spark's generated methods, so it runs as numpy over Arrow batches.
+Everything before it (keys, draws, parameters) and after it (claims, losses,
+sums) stays in the JVM.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .normal import (
+    CENTRE_DENOMINATOR, CENTRE_NUMERATOR, FAR_DENOMINATOR, FAR_NUMERATOR, MIDDLE_DENOMINATOR,
+    MIDDLE_NUMERATOR, SQRT_TWO_PI, TAIL_DENOMINATOR, TAIL_END, TAIL_NUMERATOR, TAIL_SWITCH,
+)
+
+# The few functions below travel inside the task, so workers need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+TINY, EDGE = 1e-12, 1e-9
+NEWTON_STEPS = 7
+GIVEN_WEATHER = ("gw", "sub", "er")
+INSURED = ("sub", "wx", "fl", "gw")
+
+
+def cdf(z: np.ndarray) -> np.ndarray:
+    a = np.abs(z)
+    near = np.minimum(a, TAIL_SWITCH)
+    density = np.exp(-a * a / 2)
+    tail = density * np.polyval(TAIL_NUMERATOR[::-1], near) / np.polyval(TAIL_DENOMINATOR[::-1], near)
+    far = a >= TAIL_SWITCH
+    if far.any():
+        x = a[far]
+        fraction = x + 4 / (x + 0.65)
+        for step in (3, 2, 1):
+            fraction = x + step / fraction
+        tail[far] = np.where(x <= TAIL_END, density[far] / fraction / SQRT_TWO_PI, 0.0)
+    return np.where(z > 0, 1 - tail, tail)
+
+
+def ppf(p: np.ndarray) -> np.ndarray:
+    q = p - 0.5
+    r = 0.180625 - q * q
+    out = q * np.polyval(CENTRE_NUMERATOR, r) / np.polyval(CENTRE_DENOMINATOR, r)
+    side = np.abs(q) > 0.425
+    if side.any():
+        t = np.sqrt(-np.log(np.minimum(p[side], 1 - p[side])))
+        near, far = t - 1.6, t - 5.0
+        size = np.where(
+            t <= 5,
+            np.polyval(MIDDLE_NUMERATOR, near) / np.polyval(MIDDLE_DENOMINATOR, near),
+            np.polyval(FAR_NUMERATOR, far) / np.polyval(FAR_DENOMINATOR, far),
+        )
+        out[side] = np.sign(q[side]) * size
+    return out
+
+
+def h_inverse(t: np.ndarray, x: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Conditional Gumbel quantile; ``x`` is -ln u. See ``with_gumbel_h_inverse``."""
+    g, b = -np.log(np.clip(t, EDGE, 1 - EDGE)), theta - 1
+    d = np.maximum(g * x / (x + b), g - b * np.log1p(g / x))
+    for _ in range(NEWTON_STEPS):
+        d -= (d + b * np.log1p(d / x) - g) * (x + d) / (x + d + b)
+    grown = np.expm1(theta * np.log1p(d / x))
+    return np.clip(np.exp(-x * grown ** (1 / theta)), EDGE, 1 - EDGE)
+
+
+def vine_probabilities(theta, draw, rho) -> dict[str, np.ndarray]:
+    """Uniforms of the vine rooted at weather, from shared draws."""
+    th = theta["fl"]
+    a = 1 / th
+    s = np.sin(a * draw["angle"]) / np.sin(draw["angle"]) ** th
+    s = s * (np.sin((1 - a) * draw["angle"]) / draw["w"]) ** (th - 1)
+    bounded = lambda e: np.clip((e / s) ** a, TINY, -np.log(TINY))
+    x, x_fl, y = bounded(draw["e1"]), bounded(draw["e2"]), bounded(draw["e1"] + draw["e2"])
+    v = np.clip(np.exp(x - y) * (x / y) ** (th - 1), EDGE, 1 - EDGE)
+    zv = ppf(v)
+    u = {"wx": np.exp(-x), "fl": np.exp(-x_fl)}
+    for k, z in zip(GIVEN_WEATHER, ("z4", "z3", "z5")):
+        t = cdf(rho[k] * zv + np.sqrt(1 - rho[k] ** 2) * draw[z])
+        u[k] = h_inverse(t, x, theta[k])
+    return u
+
+
+DRAWS = ("angle", "w", "e1", "e2", "z3", "z4", "z5")
+
+
+def vine_struct(rho: dict[str, float]) -> Callable[..., Column]:
+    """Pandas UDF: theta_fl, theta_gw, theta_sub, theta_er, then DRAWS -> u_wx .. u_er."""
+    fields = ("wx", "fl", *GIVEN_WEATHER)
+
+    @F.pandas_udf(", ".join(f"u_{k} double" for k in fields))
+    def uniforms(*cols: pd.Series) -> pd.DataFrame:
+        arrays = [c.to_numpy(dtype=float) for c in cols]
+        theta = dict(zip(("fl", *GIVEN_WEATHER), arrays[:4]))
+        u = vine_probabilities(theta, dict(zip(DRAWS, arrays[4:])), rho)
+        return pd.DataFrame({f"u_{k}": u[k] for k in fields})
+
+    return uniforms
+
+
+SYSTEMIC_INPUTS = (
+    *(f"theta_{k}" for k in ("fl", *GIVEN_WEATHER)),
+    *DRAWS,
+    *(f"t_{k}" for k in INSURED),
+    *(f"load_{k}" for k in INSURED),
+    *(f"zi_{k}" for k in ("sub", "fl", "gw")),
+)
+
+
+def systemic_struct(rho: dict[str, float]) -> Callable[..., Column]:
+    """Pandas UDF over SYSTEMIC_INPUTS: vine uniforms, their normal scores, and
+    claim probabilities given the national factor (``q``; ``qi`` with
+    independent perils)."""
+    perils = ("wx", "fl", *GIVEN_WEATHER)
+    names = [f"u_{k}" for k in perils] + [f"z_{k}" for k in INSURED]
+    names += [f"q_{k}" for k in INSURED] + [f"qi_{k}" for k in ("sub", "fl", "gw")]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def systemic(*cols: pd.Series) -> pd.DataFrame:
+        c = dict(zip(SYSTEMIC_INPUTS, (s.to_numpy(dtype=float) for s in cols)))
+        theta = {k: c[f"theta_{k}"] for k in ("fl", *GIVEN_WEATHER)}
+        u = vine_probabilities(theta, c, rho)
+        out = {f"u_{k}": u[k] for k in perils}
+        for k in INSURED:
+            open_share = np.sqrt(1 - c[f"load_{k}"])
+            pull = np.sqrt(c[f"load_{k}"])
+            z = ppf(np.clip(u[k], TINY, 1 - TINY))
+            out[f"z_{k}"] = z
+            out[f"q_{k}"] = cdf((pull * z - c[f"t_{k}"]) / open_share)
+            if k != "wx":
+                out[f"qi_{k}"] = cdf((pull * c[f"zi_{k}"] - c[f"t_{k}"]) / open_share)
+        return pd.DataFrame(out)[names]
+
+    return systemic

@@ -1,8 +1,9 @@
 """Standard normal distribution as plain Column arithmetic.
 
 Spark has neither erf nor an inverse normal, so both directions use published
-rational approximations. They compile into whole-stage codegen; pass plain
-column references, since the argument appears many times.
+rational approximations that stay in whole-stage codegen. They work on column
+names, several at a time: an argument appears many times in its polynomial, so
+a nested expression would be copied into each place.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hart (1968) / West (2005) upper tail, ascending powers.
@@ -63,32 +64,67 @@ def _horner(x: Column, descending: Sequence[float]) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), descending[1:], F.lit(descending[0]))
 
 
-def norm_cdf(z: Column) -> Column:
-    """Probability that a standard normal draw is at most ``z``."""
-    a = F.abs(z)
-    density = F.exp(-a * a / 2)
-    rational = density * _horner(a, TAIL_NUMERATOR[::-1]) / _horner(a, TAIL_DENOMINATOR[::-1])
-    fraction = a + 4 / (a + F.lit(0.65))
-    for step in (3, 2, 1):
-        fraction = a + step / fraction
-    tail = (
-        F.when(a < TAIL_SWITCH, rational)
-        .when(a <= TAIL_END, density / fraction / SQRT_TWO_PI)
-        .otherwise(F.lit(0.0))
+def with_norm_cdf(df: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """Add, for each output name, P(standard normal <= input column).
+
+    The parts that occur many times are columns of their own, so they are
+    computed once per row and the expressions stay small. NULL gives NULL at
+    no cost.
+    """
+    z = {out: F.col(c) for out, c in targets.items()}
+    df = df.withColumns(
+        {
+            **{f"_a_{o}": F.abs(c) for o, c in z.items()},
+            **{f"_k_{o}": F.exp(-c * c / 2) for o, c in z.items()},
+        }
     )
-    return F.when(z > 0, 1 - tail).otherwise(tail)
-
-
-def norm_ppf(p: Column) -> Column:
-    """Inverse of :func:`norm_cdf`; ``p`` must lie strictly inside (0, 1)."""
-    q = p - F.lit(0.5)
-    centre = F.lit(0.180625) - q * q
-    tail = F.sqrt(-F.log(F.least(p, 1 - p)))
-    near, far = tail - F.lit(1.6), tail - F.lit(5.0)
-    size = F.when(
-        tail <= 5, _horner(near, MIDDLE_NUMERATOR) / _horner(near, MIDDLE_DENOMINATOR)
-    ).otherwise(_horner(far, FAR_NUMERATOR) / _horner(far, FAR_DENOMINATOR))
-    return F.when(
-        F.abs(q) <= 0.425,
-        q * _horner(centre, CENTRE_NUMERATOR) / _horner(centre, CENTRE_DENOMINATOR),
-    ).otherwise(F.when(q < 0, -size).otherwise(size))
+
+    def tail(o: str) -> Column:
+        a, density = F.col(f"_a_{o}"), F.col(f"_k_{o}")
+        fraction = a + 4 / (a + F.lit(0.65))
+        for step in (3, 2, 1):
+            fraction = a + step / fraction
+        rational = density * _horner(a, TAIL_NUMERATOR[::-1]) / _horner(a, TAIL_DENOMINATOR[::-1])
+        return (
+            F.when(a < TAIL_SWITCH, rational)
+            .when(a <= TAIL_END, density / fraction / SQRT_TWO_PI)
+            .when(a.isNotNull(), F.lit(0.0))
+        )
+
+    df = df.withColumns({f"_t_{o}": tail(o) for o in targets})
+    df = df.withColumns(
+        {o: F.when(c > 0, 1 - F.col(f"_t_{o}")).otherwise(F.col(f"_t_{o}")) for o, c in z.items()}
+    )
+    return df.drop(*[f"_{t}_{o}" for o in targets for t in "akt"])
+
+
+def with_norm_ppf(df: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """Add, for each output name, the normal score of a probability column in (0, 1)."""
+    p = {out: F.col(c) for out, c in targets.items()}
+    df = df.withColumns(
+        {
+            **{f"_q_{o}": c - F.lit(0.5) for o, c in p.items()},
+            **{
+                f"_r_{o}": F.when(
+                    F.abs(c - F.lit(0.5)) > 0.425, F.sqrt(-F.log(F.least(c, 1 - c)))
+                )
+                for o, c in p.items()
+            },
+        }
+    )
+
+    def score(o: str) -> Column:
+        q, r = F.col(f"_q_{o}"), F.col(f"_r_{o}")
+        centre = F.lit(0.180625) - q * q
+        near, far = r - F.lit(1.6), r - F.lit(5.0)
+        side = F.signum(q)
+        return (
+            F.when(
+                r.isNull(), q * _horner(centre, CENTRE_NUMERATOR) / _horner(centre, CENTRE_DENOMINATOR)
+            )
+            .when(r <= 5, side * _horner(near, MIDDLE_NUMERATOR) / _horner(near, MIDDLE_DENOMINATOR))
+            .otherwise(side * _horner(far, FAR_NUMERATOR) / _horner(far, FAR_DENOMINATOR))
+        )
+
+    df = df.withColumns({o: F.when(F.col(f"_q_{o}").isNotNull(), score(o)) for o in targets})
+    return df.drop(*[f"_{t}_{o}" for o in targets for t in "qr"])

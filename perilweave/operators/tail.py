@@ -176,43 +176,64 @@ def uniformity_ks(df: DataFrame, u: str, key: str) -> DataFrame:
     return ranked.agg(F.max(gap).alias("ks"), F.count(u).alias("n"))
 
 
+def _concordant_within(df: DataFrame, group: list[str], by: str, other: str, width: int) -> Column:
+    """Pairs inside a group that rise in both ranks, as a scalar.
+
+    Ranks are split bit by bit, so each pair meets once: where ``by`` first
+    differs. There the lower half is counted up in the order of ``other``.
+    """
+    bits = max(width.bit_length() - 1, 0)
+    if bits == 0:
+        return F.lit(0)
+    rows = df.select(*group, by, other, F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    rows = rows.withColumns(
+        {
+            "span": F.expr(f"shiftright({by} - 1, bit + 1)"),
+            "upper": F.expr(f"shiftright({by} - 1, bit) % 2"),
+        }
+    )
+    so_far = (
+        Window.partitionBy(*group, "bit", "span").orderBy(other)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    met = rows.withColumn("lower", F.sum(1 - F.col("upper")).over(so_far))
+    return met.agg(F.coalesce(F.sum(F.expr("upper * lower")), F.lit(0)).alias("s")).scalar()
+
+
 def kendall_tau(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """One row: rank correlation of two continuous columns.
+    """One row: rank correlation of two continuous columns, without listing pairs.
 
-    Concordance is counted over a k-d split of the ranks: rows are cut by
-    rank of x into blocks of about sqrt(n) rows; pairs in different blocks are
-    counted from per-block counts of y ranks, pairs inside a block directly.
+    Ranks are cut into about sqrt(n) blocks each way. Pairs in different
+    blocks both ways are counted from the grid of block counts; pairs that
+    share a block are counted inside it.
     """
     n = df.count()
-    side = max(int(n**0.5), 1)
+    side = 1 << max((max(n, 1) - 1).bit_length() // 2, 0)
     ranked = running(running(df.select(key, x, y), x, key, rank="rx"), y, key, rank="ry")
     cut = ranked.select(
-        key, "rx", "ry",
+        "rx", "ry",
         F.floor((F.col("rx") - 1) / side).alias("bx"), F.floor((F.col("ry") - 1) / side).alias("by"),
     )
+    spark, blocks = df.sparkSession, -(-n // side)
     grid = cut.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("c"))
-    # rows in strictly lower x blocks and strictly lower y blocks, from grid counts
-    down = Window.partitionBy("by").orderBy("bx").rangeBetween(Window.unboundedPreceding, -1)
-    spark = df.sparkSession
-    blocks = spark.range(0, -(-n // side)).withColumnRenamed("id", "bx")
-    # a dense table of blocks x blocks holds about n cells
     dense = (
-        blocks.withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(-(-n // side) - 1))).cast("long"))
+        spark.range(blocks).select(F.col("id").alias("bx"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("by"))
         .join(grid, ["bx", "by"], "left")
         .fillna(0, ["c"])
     )
-    left = dense.withColumn("left", F.coalesce(F.sum("c").over(down), F.lit(0)))
-    under = Window.partitionBy("bx").orderBy("by").rangeBetween(Window.unboundedPreceding, -1)
-    corner = left.withColumn("corner", F.coalesce(F.sum("left").over(under), F.lit(0)))
-    far = corner.agg(F.sum(F.col("c") * F.col("corner")).alias("s")).scalar()
-    # pairs that share an x block or a y block (each block has at most ``side`` rows)
-    in_x = cut.alias("a").join(cut.alias("b"), "bx").where("a.rx < b.rx AND a.ry < b.ry").agg(F.count(F.lit(1)).alias("s")).scalar()
-    in_y = (
-        cut.alias("a").join(cut.alias("b"), "by").where("a.bx < b.bx AND a.ry < b.ry").agg(F.count(F.lit(1)).alias("s")).scalar()
+    down = Window.partitionBy("by").orderBy("bx").rowsBetween(Window.unboundedPreceding, -1)
+    under = Window.partitionBy("bx").orderBy("by").rowsBetween(Window.unboundedPreceding, -1)
+    corner = dense.withColumn("left", F.coalesce(F.sum("c").over(down), F.lit(0))).withColumn(
+        "corner", F.coalesce(F.sum("left").over(under), F.lit(0))
     )
-    pairs = n * (n - 1) / 2
+    far = corner.agg(F.sum(F.col("c") * F.col("corner")).alias("s")).scalar()
+    in_x = _concordant_within(cut, ["bx"], "rx", "ry", side)
+    in_y = _concordant_within(cut, ["by"], "ry", "rx", side)
+    in_both = _concordant_within(cut, ["bx", "by"], "rx", "ry", side)
+    pairs = max(n * (n - 1) / 2, 1)
     return spark.range(1).select(
-        (2 * (far + in_x + in_y) / F.lit(float(pairs)) - 1).alias("tau"), F.lit(n).cast("long").alias("n")
+        (2 * (far + in_x + in_y - in_both) / F.lit(float(pairs)) - 1).alias("tau"),
+        F.lit(n).cast("long").alias("n"),
     )
 
 
@@ -226,7 +247,7 @@ POISSON_ONE = (
 
 def bootstrap_ci(
     dependent: DataFrame, independent: DataFrame, n_total: int, replicates: int = 120,
-    q: float = 0.99, seed: int = 3, block: int = 65_536,
+    q: float = 0.99, seed: int = 3, block: int = 1024,
 ) -> DataFrame:
     """One row: interval of the pooled tail uplift over resampled district-years.
 
@@ -247,8 +268,8 @@ def bootstrap_ci(
     rows = parts[0].unionByName(parts[1])
     draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = (F.pmod(F.xxhash64(F.lit(seed), "rep", KEY, YEAR), F.lit(2**52)) + 0.5) / float(2**52)
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in POISSON_ONE), F.lit(0))
-    draws = draws.withColumn("w", weight).where("w > 0")
+    weight = sum((F.when(F.col("u") > c, 1).otherwise(0) for c in POISSON_ONE), F.lit(0))
+    draws = draws.withColumn("u", u).withColumn("w", weight).where("w > 0").drop("u")
     sums = draws.groupBy("run", "rep", "block").agg(
         F.sum("w").alias("bw"), F.sum(F.col("w") * F.col("loss")).alias("bl")
     )

@@ -7,8 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.copula import EDGE, TINY, clip, conditional_claim_probability
-from ..functions.normal import norm_ppf
+from ..functions.copula import EDGE, TINY, clip, conditional_claim_score
+from ..functions.normal import with_norm_cdf, with_norm_ppf
 from . import assumptions as A
 from .marginals import marginal_frequency
 
@@ -33,31 +33,31 @@ def frequency_multipliers(scored: DataFrame) -> DataFrame:
 def tail_frequency(rated: DataFrame, factors: list[float]) -> DataFrame:
     """Mean claim frequency of a 1-in-100 year for each loading factor, in one pass."""
     z = F.lit(NormalDist().inv_cdf(0.99))
-    thresholds = {f"_t_{k}": norm_ppf(clip(1 - F.col(f"p_{k}"), TINY, 1 - TINY)) for k in A.INSURED}
-    rows = rated.select("households", *[F.col(f"p_{k}") for k in A.INSURED]).withColumns(thresholds)
+    p = {k: F.col(f"p_{k}") for k in A.INSURED}
+    rows = rated.select("households", *p.values()).withColumns(
+        {f"_o_{k}": clip(1 - c, TINY, 1 - TINY) for k, c in p.items()}
+    )
+    rows = with_norm_ppf(rows, {f"_t_{k}": f"_o_{k}" for k in p})
     rows = rows.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
-    total = sum(
-        (
-            conditional_claim_probability(
-                z, F.col(f"_t_{k}"), F.least(F.lit(A.BASE_LOADING[k]) * F.col("factor"), F.lit(A.LOADING_CAP))
-            )
-            for k in A.INSURED
-        ),
-        F.lit(0.0),
+    rows = rows.withColumns(
+        {
+            f"_l_{k}": F.least(F.lit(A.BASE_LOADING[k]) * F.col("factor"), F.lit(A.LOADING_CAP))
+            for k in p
+        }
+    )
+    rows = rows.withColumns(
+        {f"_s_{k}": conditional_claim_score(z, F.col(f"_t_{k}"), F.col(f"_l_{k}")) for k in p}
     )
-    return (
-        rows.withColumn("_q", total)
-        .groupBy("factor")
-        .agg(
-            weighted_mean("_q", "households").alias("tail"),
-            weighted_mean(F.expr(" + ".join(f"p_{k}" for k in A.INSURED)), "households").alias("mean"),
-        )
+    rows = with_norm_cdf(rows, {f"_q_{k}": f"_s_{k}" for k in p})
+    return rows.groupBy("factor").agg(
+        weighted_mean(F.expr(" + ".join(f"_q_{k}" for k in p)), "households").alias("tail"),
+        weighted_mean(F.expr(" + ".join(f"p_{k}" for k in p)), "households").alias("mean"),
     )
 
 
 def calibrate_loading(
     rated: DataFrame, ratio: float = A.TAIL_FREQUENCY_RATIO, lo: float = 0.01, hi: float = 1.0,
-    points: int = 64, rounds: int = 7,
+    points: int = 128, rounds: int = 5,
 ) -> float:
     """Loading factor whose 1-in-100 year claims ``ratio`` times the mean year.
 

@@ -1,0 +1,353 @@
+"""Simulated years: draws, the three dependence structures and the year view.
+
+Draws are keyed by year and shared by all districts (paired comparisons), the
+district noise by district and year. A district is exploded into blocks of
+years that spread over the cluster, then meets the draws by an equi-join on
+the year, so nothing is cross-joined and no district is tied to one task.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import copula as C
+from ..functions.draws import digest, uniform, uniform_slice
+from ..functions.kernel import DRAWS, GIVEN_WEATHER, SYSTEMIC_INPUTS, systemic_struct, vine_struct
+from ..functions.normal import with_norm_cdf, with_norm_ppf
+from . import assumptions as A
+from .marginals import marginal_frequency, marginal_severity, pair_strength
+
+BLOCK_YEARS = 2_000
+BROADCAST_YEARS = 100_000  # about 25 MB of draws
+KEY, YEAR = "district_id", "year_id"
+PI = 3.141592653589793
+
+# weather, flood, groundwater, subsidence, erosion: the order of the Gaussian factor
+ORDER = ("wx", "fl", "gw", "sub", "er")
+SCORE_OF = {"wx": "z1", "fl": "z2", "gw": "z4", "sub": "z3", "er": "z5"}
+
+
+def draw_years(spark: SparkSession, n_years: int, seed: int = 42) -> DataFrame:
+    """One row of shared draws per simulated year."""
+    year = F.col(YEAR)
+    u = lambda stream: uniform(seed, stream, year)
+    names = ["angle", "w", "e1", "e2", "z1", "z2", "z3", "z4", "z5", "sub", "fl", "gw", "er"]
+    base = spark.range(n_years).withColumnRenamed("id", YEAR).select(YEAR, *[u(n).alias(f"u_{n}") for n in names])
+    scored = with_norm_ppf(
+        base,
+        {**{f"z{i}": f"u_z{i}" for i in range(1, 6)}, **{f"zi_{k}": f"u_{k}" for k in ("sub", "fl", "gw")}},
+    )
+    return scored.select(
+        YEAR,
+        (F.lit(1e-9) + F.lit(PI - 2e-9) * F.col("u_angle")).alias("angle"),
+        *[(-F.log(f"u_{n}")).alias(n) for n in ("w", "e1", "e2")],
+        *[f"z{i}" for i in range(1, 6)],
+        *[F.col(f"u_{k}").alias(f"ui_{k}") for k in ("sub", "fl", "gw", "er")],
+        *[f"zi_{k}" for k in ("sub", "fl", "gw")],
+    )
+
+
+def district_parameters(
+    scored: DataFrame,
+    multiplier: Column | dict[str, float] | None = None,
+    loadings: dict[str, float] | None = None,
+    assumptions: A.Assumptions = A.Assumptions(),
+    gaussian: bool = True,
+) -> DataFrame:
+    """Everything a district brings to a simulated year, computed once per district."""
+    df = marginal_frequency(scored, multiplier, assumptions)
+    df = pair_strength(marginal_severity(df, assumptions), assumptions)
+    df = df.withColumns({f"_o_{k}": C.clip(1 - F.col(f"p_{k}"), C.TINY, 1 - C.TINY) for k in A.PERILS})
+    df = with_norm_ppf(df, {f"t_{k}": f"_o_{k}" for k in A.PERILS})
+    df = df.withColumns(
+        {f"mean_{k}": C.lognormal_mean(F.col(f"mu_{k}"), F.col(f"sigma_{k}")) for k in A.PERILS}
+    )
+    keep = [f"{c}_{k}" for k in A.PERILS for c in ("p", "mu", "sigma", "t", "mean")]
+    keep += [f"theta_{k}" for k in A.THETA]
+    if loadings:
+        df = df.withColumns({f"load_{k}": F.lit(float(v)) for k, v in loadings.items()})
+        keep += [f"load_{k}" for k in loadings]
+    if gaussian:
+        df = with_gaussian_factor(df, assumptions)
+        keep += [f"c_{i}{j}" for i in range(5) for j in range(i + 1)]
+    return df.select(KEY, "households", *keep)
+
+
+def with_gaussian_factor(df: DataFrame, assumptions: A.Assumptions) -> DataFrame:
+    """Triangular factor of the tau-matched 5 x 5 correlation, as columns c_ij."""
+    rho = dict(assumptions.rho)
+    df = df.withColumns({f"r_{k}": C.tau_matched_rho(F.col(f"theta_{k}")) for k in A.THETA})
+    partial = lambda a, b: (
+        rho[b] if a == "fl" else rho[a] if b == "fl" else rho[a] * rho[b]
+    )
+
+    def corr(i: int, j: int) -> Column:
+        a, b = ORDER[j], ORDER[i]
+        if a == "wx":
+            return F.col(f"r_{b}")
+        return C.implied_rho(F.col(f"r_{a}"), F.col(f"r_{b}"), F.lit(partial(a, b)))
+
+    for j in range(5):
+        done = lambda i: sum((F.col(f"c_{i}{m}") * F.col(f"c_{j}{m}") for m in range(j)), F.lit(0.0))  # noqa: E731,B023
+        df = df.withColumn(f"c_{j}{j}", F.sqrt(1 - done(j)))
+        rest = {f"c_{i}{j}": (corr(i, j) - done(i)) / F.col(f"c_{j}{j}") for i in range(j + 1, 5)}
+        df = df.withColumns(rest) if rest else df
+    return df
+
+
+def district_draws(params: DataFrame, draws: DataFrame, n_years: int) -> DataFrame:
+    """Every district with every year's draws."""
+    blocks = -(-n_years // BLOCK_YEARS)
+    spark = params.sparkSession
+    # few and small rows fan out into many: a fixed number of partitions keeps
+    # the optimizer from coalescing them by their size before the fan-out
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    spread = params.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(
+        wide, KEY, "_block"
+    )
+    first = F.col("_block").cast("long") * BLOCK_YEARS
+    last = F.least(first + (BLOCK_YEARS - 1), F.lit(n_years - 1))
+    rows = spread.withColumn(YEAR, F.explode(F.sequence(first, last))).drop("_block")
+    if n_years <= BROADCAST_YEARS:
+        draws = F.broadcast(draws)
+    return rows.join(draws, YEAR)
+
+
+def with_vine(df: DataFrame, assumptions: A.Assumptions = A.Assumptions()) -> DataFrame:
+    """Add u_wx .. u_er drawn from the vine rooted at weather."""
+    uniforms = vine_struct(assumptions.rho)
+    inputs = [f"theta_{k}" for k in ("fl", *GIVEN_WEATHER)] + [f"{c}" for c in DRAWS]
+    df = df.withColumn("_u", uniforms(*[F.col(c) for c in inputs]))
+    return df.select("*", "_u.*").drop("_u")
+
+
+def gaussian_scores(perils=A.PERILS) -> dict[str, Column]:
+    """Normal scores of the Gaussian structure: the triangular factor times the draws."""
+    return {
+        k: sum(
+            (F.col(f"c_{i}{j}") * F.col(SCORE_OF[ORDER[j]]) for j in range(i + 1)), F.lit(0.0)
+        )
+        for i, k in enumerate(ORDER)
+        if k in perils
+    }
+
+
+def with_gaussian_claims(df: DataFrame, perils=A.PERILS) -> DataFrame:
+    """Add the scores gs_ of the Gaussian structure where they claim, NULL elsewhere."""
+    df = df.withColumns({f"_gs_{k}": c for k, c in gaussian_scores(perils).items()})
+    passed = {
+        f"gs_{k}": F.when(F.col(f"_gs_{k}") > F.col(f"t_{k}"), F.col(f"_gs_{k}")) for k in perils
+    }
+    return df.withColumns(passed).drop(*[f"_gs_{k}" for k in perils])
+
+
+Claim = tuple[Column, Column]  # whether it happens, and what it takes to price it
+
+
+def _claim(view: str, peril: str, happens: Column, **given: Column) -> Claim:
+    """A candidate claim: its probability ``u``, or the score it comes from."""
+    empty = F.lit(None).cast("double")
+    return happens, F.struct(
+        F.lit(view).alias("view"), F.lit(peril).alias("peril"),
+        *[given.get(c, empty).alias(c) for c in ("u", "score", "noise")],
+    )
+
+
+def claims_of(structure: str, perils=A.PERILS) -> list[Claim]:
+    """Claims under a structure; independent years keep the weather draw of the vine."""
+    out = []
+    for k in perils:
+        if structure == "gaussian":
+            score = F.col(f"gs_{k}")
+            out.append(_claim(structure, k, score.isNotNull(), score=score))
+        else:
+            u = F.col(f"u_{k}" if structure == "vine" or k == "wx" else f"ui_{k}")
+            out.append(_claim(structure, k, u > 1 - F.col(f"p_{k}"), u=u))
+    return out
+
+
+def year_claims(independent: bool) -> list[Claim]:
+    """Realised claims of the national view.
+
+    A district claims when its own noise exceeds what the national factor
+    leaves open, so the claim probability that serves the expected loss given
+    the year serves the realised claim as well.
+    """
+    out = []
+    for k in A.INSURED:
+        if independent and k == "wx":
+            continue
+        q, z = (f"qi_{k}", f"zi_{k}") if independent else (f"q_{k}", f"z_{k}")
+        view, noise = "year_indep" if independent else "year", F.col(f"e_{k}")
+        out.append(_claim(view, k, noise > 1 - F.col(q), score=F.col(z), noise=noise))
+    return out
+
+
+def with_claim_list(df: DataFrame, claims: list[Claim]) -> DataFrame:
+    """Add ``hit`` and, where it holds, the list of claims.
+
+    The flag is a column of its own: nearly all rows stop there.
+    """
+    from functools import reduce
+
+    hit = reduce(lambda a, b: a | b, [happens for happens, _ in claims])
+    wanted = F.array_compact(F.array(*[F.when(happens, c) for happens, c in claims]))
+    return df.withColumn("hit", hit).withColumn("claims", F.when(F.col("hit"), wanted))
+
+
+def claim_losses(claims: DataFrame, params: DataFrame) -> DataFrame:
+    """Turn claims (one row each, few) into losses."""
+    load = lambda k: F.col(f"load_{k}") if f"load_{k}" in params.columns else F.lit(None).cast("double")
+    by_peril = params.select(
+        KEY,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(k).alias("peril"), load(k).alias("load"),
+                        *[F.col(f"{c}_{k}").alias(c) for c in ("p", "mu", "sigma")],
+                    )
+                    for k in A.PERILS
+                ]
+            )
+        ),
+    )
+    df = with_norm_ppf(claims.join(by_peril, [KEY, "peril"]), {"_own": "noise"})
+    mixed = F.coalesce(C.mix_systemic_score(F.col("score"), F.col("load"), F.col("_own")), F.col("score"))
+    df = with_norm_cdf(df.withColumn("_score", mixed), {"_at": "_score"})
+    # rounding may leave a score a hair below the threshold it passed
+    u = F.greatest(F.coalesce("u", "_at"), 1 - F.col("p") + C.TINY)
+    df = C.with_mixed_quantile(df.withColumn("u", u), {"loss": ("u", "p", "mu", "sigma")})
+    return df.select(KEY, YEAR, "view", "peril", "loss")
+
+
+def year_losses(
+    params: DataFrame, draws: DataFrame, n_years: int, structure: str = "vine",
+    assumptions: A.Assumptions = A.Assumptions(), perils=A.PERILS,
+) -> DataFrame:
+    """Year-loss table (district, year, peril, loss) of one structure, positive rows only."""
+    df = district_draws(params, draws, n_years)
+    if structure == "gaussian":
+        df = with_gaussian_claims(df, perils)
+    else:
+        df = with_vine(df, assumptions)
+    rows = with_claim_list(df, claims_of(structure, perils)).where("hit")
+    return claim_losses(rows.select(KEY, YEAR, F.inline("claims")), params).drop("view")
+
+
+def simulate_rows(
+    params: DataFrame, draws: DataFrame, n_years: int, seed: int = 42,
+    assumptions: A.Assumptions = A.Assumptions(), gaussian: bool = True,
+) -> DataFrame:
+    """One row per district-year: expected loss given the year, and the claims of all views.
+
+    ``cond`` is dense; ``claims`` is empty in nearly all rows. Erosion is no
+    event and stays out of the national view.
+    """
+    df = district_draws(params, draws, n_years)
+    if gaussian:
+        df = with_gaussian_claims(df, A.INSURED)
+    systemic = systemic_struct(assumptions.rho)
+    df = df.withColumn("_s", systemic(*[F.col(c) for c in SYSTEMIC_INPUTS])).select("*", "_s.*").drop("_s")
+    noise = digest(seed, "noise", F.col(KEY), F.col(YEAR))
+    df = df.withColumn("_d", noise).withColumns(
+        {f"e_{k}": uniform_slice(F.col("_d"), i) for i, k in enumerate(("wx", "fl", "sub", "gw"))}
+    )
+    cond = sum((F.col(f"q_{k}") * F.col(f"mean_{k}") for k in A.INSURED), F.lit(0.0))
+    claims = claims_of("vine") + claims_of("independent") + year_claims(False) + year_claims(True)
+    if gaussian:
+        claims += claims_of("gaussian", A.INSURED)
+    df = with_claim_list(df.withColumn("cond", cond), claims)
+    return df.select(KEY, YEAR, "cond", "hit", "claims")
+
+
+def losses_of(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """All losses of the simulated rows: (district, year, view, peril, loss)."""
+    return claim_losses(rows.where("hit").select(KEY, YEAR, F.inline("claims")), params)
+
+
+def portfolio_view(losses: DataFrame, rows: DataFrame, exposure: DataFrame, n_years: int) -> DataFrame:
+    """Exposure-weighted losses and claiming exposure of every simulated year."""
+    hh = exposure.select(KEY, "households")
+    realised = losses.where(F.col("view").isin("year", "year_indep")).join(hh, KEY)
+    of = lambda view, k: (F.col("view") == view) & (F.col("peril") == k)
+    weighted = F.col("loss") * F.col("households")
+    aggs = [F.sum(F.when(of("year", k), weighted).otherwise(0.0)).alias(f"loss_{k}") for k in A.INSURED]
+    aggs += [F.sum(F.when(of("year", k), F.col("households")).otherwise(0.0)).alias(f"hit_{k}") for k in A.INSURED]
+    # the independent view shares the weather leg
+    shared = (F.col("view") == "year_indep") | of("year", "wx")
+    aggs.append(F.sum(F.when(shared, weighted).otherwise(0.0)).alias("indep"))
+    sparse = realised.groupBy(YEAR).agg(*aggs)
+    dense = rows.join(hh, KEY).groupBy(YEAR).agg(F.sum(F.col("cond") * F.col("households")).alias("cond"))
+    filled = [f"{c}_{k}" for c in ("loss", "hit") for k in A.INSURED] + ["indep"]
+    return dense.join(sparse, YEAR, "left").fillna(0.0, filled)
+
+
+@dataclass(frozen=True)
+class Simulation:
+    """Results of one run: per district, and per simulated year."""
+
+    districts: DataFrame
+    years: DataFrame
+    n_years: int
+
+
+def summarise(rows: DataFrame, params: DataFrame, n_years: int) -> Simulation:
+    """Per-district results and the portfolio's years from the simulated rows.
+
+    ``rows`` is read several times: pass a materialized table.
+    """
+    from ..operators import tail as T
+    from ..operators.years import worst_years
+    from ..session import materialize
+
+    losses = materialize(losses_of(rows, params), "losses")
+    in_view = lambda v, ks: losses.where((F.col("view") == v) & F.col("peril").isin(*ks))
+    out = T.expected_loss(in_view("vine", A.INSURED), params, n_years)
+    analytic = params.select(KEY, F.expr("p_er * mean_er").alias("el_er"))
+    out = out.join(analytic, KEY).withColumn("el_total5", F.expr("el_total + el_er"))
+    for view, name, perils in (
+        ("vine", "vine", A.INSURED), ("independent", "indep", A.INSURED), ("gaussian", "gauss", A.INSURED),
+        ("vine", "vine5", A.PERILS), ("independent", "indep5", A.PERILS),
+    ):
+        years = T.district_years(in_view(view, perils), perils)
+        out = out.join(
+            T.tail_measures(years, params, n_years, names=(f"tvar99_{name}", f"var995_{name}")), KEY
+        )
+    out = out.withColumn("uplift_pct", T.tail_uplift_pct(F.col("tvar99_vine"), F.col("tvar99_indep")))
+
+    years = portfolio_view(losses, rows, params, n_years)
+    k = T.tail_count(n_years, 0.99)
+    bad = worst_years(years.select(YEAR, F.round("cond", 4).alias("cond")), "cond", YEAR, k).select(YEAR)
+    euler = rows.select(KEY, YEAR, "cond").join(bad, YEAR, "left_semi").groupBy(KEY).agg(
+        (F.sum("cond") / k).alias("tvar99_euler")
+    )
+    mean = rows.groupBy(KEY).agg((F.sum("cond") / n_years).alias("el_year"))
+    letters = {"fl": "wf", "sub": "ws", "gw": "wg", "er": "we"}
+    pairs = params.select(
+        KEY, "households",
+        *[F.col(f"theta_{k}").alias(f"theta_{v}") for k, v in letters.items()],
+        *[C.upper_tail_dependence(F.col(f"theta_{k}")).alias(f"tail_dep_{v}") for k, v in letters.items()],
+    )
+    return Simulation(out.join(euler, KEY).join(mean, KEY).join(pairs, KEY), years, n_years)
+
+
+def simulate(
+    scored: DataFrame, n_years: int = 20_000, seed: int = 42,
+    multiplier: Column | dict[str, float] | None = None, loadings: dict[str, float] | None = None,
+    assumptions: A.Assumptions = A.Assumptions(), gaussian: bool = True,
+) -> Simulation:
+    """Run the model once and summarise it."""
+    from ..session import materialize
+
+    params = materialize(
+        district_parameters(scored, multiplier, loadings or dict(A.BASE_LOADING), assumptions, gaussian), "params"
+    )
+    draws = draw_years(scored.sparkSession, n_years, seed)
+    rows = materialize(
+        simulate_rows(params, draws, n_years, seed, assumptions, gaussian), f"years-{assumptions.name}"
+    )
+    return summarise(rows, params, n_years)
