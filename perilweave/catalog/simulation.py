@@ -1 +1,218 @@
-"""."""
+"""Distribution functions, copulas, draws, calibration and simulated years."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import copula as C
+from ..functions.draws import uniform
+from ..functions.normal import with_norm_cdf, with_norm_ppf
+from ..operators.ordering import as_scalar
+from ..plans import assumptions as A
+from ..plans import simulate as S
+from ..plans.calibrate import calibrate_loading, frequency_multipliers, loadings
+from ..plans.marginals import marginal_frequency
+from . import sqltext as Q
+from .base import load_input, query, sql
+from .rules import FREQ, MULT
+
+SIM_YEARS = 400
+
+
+def scored(spark, sf):
+    return load_input(spark, sf, "scored")
+
+
+def params(spark, sf, **kw):
+    s = scored(spark, sf)
+    return S.district_parameters(s, as_scalar(frequency_multipliers(s)), **kw)
+
+
+def order_draws(spark, sf):
+    """One uniform per order, three independent ones for copula checks."""
+    o = load_input(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    return o.select("o_orderkey", *[uniform(7, n, key).alias(n) for n in ("u", "v", "t")])
+
+
+DRAWN = "o AS (SELECT o_orderkey, " + ", ".join(
+    f"{Q.uniform(repr('7'), repr(n), 'o_orderkey')} AS {n}" for n in ("u", "v", "t")
+) + " FROM orders)"
+
+
+@query("f1_norm_cdf", """SELECT o_orderkey, round(""" + Q.cdf("x") + """, 10) AS p FROM (SELECT o_orderkey, (o_totalprice - 25e4) / 6e4 AS x FROM orders) k""")
+def norm_cdf(spark, sf):
+    o = load_input(spark, sf, "orders").selectExpr("o_orderkey", "(o_totalprice - 25e4) / 6e4 AS x")
+    return with_norm_cdf(o, {"p": "x"}).select("o_orderkey", F.round("p", 10).alias("p"))
+
+
+@query("f2_norm_ppf", f"WITH {DRAWN} SELECT o_orderkey, round({Q.ppf('u')}, 8) AS z FROM o")
+def norm_ppf(spark, sf):
+    return with_norm_ppf(order_draws(spark, sf), {"z": "u"}).select("o_orderkey", F.round("z", 8).alias("z"))
+
+
+@query("f3_lognormal_median", """SELECT p_partkey, round(ln(p_retailprice) - 81e-2 / 2, 8) AS mu, round(exp(ln(p_retailprice) - 81e-2 / 2 + 81e-2 / 2), 4) AS mean FROM part""")
+def lognormal(spark, sf):
+    p = load_input(spark, sf, "part")
+    mu = C.log_median_for_mean(F.col("p_retailprice"), F.lit(0.9))
+    return p.select("p_partkey", F.round(mu, 8).alias("mu"), F.round(C.lognormal_mean(mu, F.lit(0.9)), 4).alias("mean"))
+
+
+@query("f4_mixed_quantile", f"""WITH {DRAWN}, c AS (SELECT o_orderkey, CASE WHEN u > 95e-2 THEN least(greatest((u - 95e-2) / 5e-2, 1e-12), 1 - 1e-12) END AS ins FROM o)
+    SELECT o_orderkey, round(coalesce(exp(ln(1e4) + 9e-1 * ({Q.ppf('ins')})), 0), 2) AS loss FROM c""")
+def mixed(spark, sf):
+    d = order_draws(spark, sf).withColumns({"p": F.lit(0.05), "mu": F.log(F.lit(1e4)), "sigma": F.lit(0.9)})
+    return C.with_mixed_quantile(d, {"loss": ("u", "p", "mu", "sigma")}).select("o_orderkey", F.round("loss", 2).alias("loss"))
+
+
+@query("f5_gumbel_h", f"""WITH {DRAWN}, a AS (SELECT o_orderkey, u, pow(-ln(u), 22e-1) AS a, pow(-ln(v), 22e-1) AS b FROM o)
+    SELECT o_orderkey, round(exp(-pow(a + b, 1 / 22e-1)) * pow(-ln(u), 12e-1) / u * pow(a + b, 1 / 22e-1 - 1), 8) AS h FROM a""")
+def gumbel_h(spark, sf):
+    h = C.gumbel_h(F.col("v"), F.col("u"), F.lit(2.2))
+    return order_draws(spark, sf).select("o_orderkey", F.round(h, 8).alias("h"))
+
+
+def _bisect(steps: int) -> str:
+    out = "b0 AS (SELECT o_orderkey, u, t, 1e-9 AS lo, 1 - 1e-9 AS hi FROM o)"
+    for i in range(steps):
+        h = """exp(-pow(pow(-ln(u), 22e-1) + pow(-ln((lo + hi) / 2), 22e-1), 1 / 22e-1)) * pow(-ln(u), 12e-1) / u
+          * pow(pow(-ln(u), 22e-1) + pow(-ln((lo + hi) / 2), 22e-1), 1 / 22e-1 - 1)"""
+        out += f""", h{i} AS (SELECT *, {h} < t AS below FROM b{i}),
+        b{i + 1} AS (SELECT o_orderkey, u, t, CASE WHEN below THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN below THEN hi ELSE (lo + hi) / 2 END AS hi FROM h{i})"""
+    return out
+
+
+@query("f6_gumbel_h_inverse", f"WITH {DRAWN}, {_bisect(40)} SELECT o_orderkey, round((lo + hi) / 2, 8) AS v FROM b40")
+def gumbel_h_inverse(spark, sf):
+    d = order_draws(spark, sf).select("o_orderkey", "t", (-F.log("u")).alias("x"), F.lit(2.2).alias("theta"))
+    return C.with_gumbel_h_inverse(d, "x", {"v": ("t", "theta")}).select("o_orderkey", F.round("v", 8).alias("v"))
+
+
+@query("f7_gumbel_pair", f"""WITH {DRAWN},
+    f AS (SELECT *, sin(3.141592653589793e0 * u / 22e-1) / pow(sin(3.141592653589793e0 * u), 22e-1) * pow(sin((1 - 1 / 22e-1) * 3.141592653589793e0 * u) / -ln(v), 12e-1) AS s FROM o)
+    SELECT o_orderkey, round(exp(-pow(-ln(t) / s, 1 / 22e-1)), 8) AS u1, round(exp(-pow(-ln(1 - t) / s, 1 / 22e-1)), 8) AS u2 FROM f""")
+def gumbel_pair(spark, sf):
+    th = F.lit(2.2)
+    s = C.stable_frailty(th, F.lit(S.PI) * F.col("u"), -F.log("v"))
+    d = order_draws(spark, sf).withColumn("s", s)
+    return d.select(
+        "o_orderkey", F.round(C.gumbel_margin(-F.log("t"), F.col("s"), th), 8).alias("u1"),
+        F.round(C.gumbel_margin(-F.log(1 - F.col("t")), F.col("s"), th), 8).alias("u2"),
+    )
+
+
+@query("f8_gaussian_conditional", f"""WITH {DRAWN}, z AS (SELECT o_orderkey, {Q.ppf('u')} AS a, {Q.ppf('v')} AS b FROM o),
+    s AS (SELECT o_orderkey, 35e-2 * a + sqrt(1 - 35e-2 * 35e-2) * b AS s FROM z) SELECT o_orderkey, round({Q.cdf('s')}, 8) AS t FROM s""")
+def gaussian_conditional(spark, sf):
+    d = with_norm_ppf(order_draws(spark, sf).drop("t"), {"a": "u", "b": "v"})
+    d = d.withColumn("s", C.gaussian_conditional_score(0.35, F.col("a"), F.col("b")))
+    return with_norm_cdf(d, {"t": "s"}).select("o_orderkey", F.round("t", 8).alias("t"))
+
+
+@query("f9_implied_correlation", sql("scored", MULT + ", " + Q.PARAMS + """,
+    r AS (SELECT district_id, sin(pi() * (1 - 1 / th_fl) / 2) AS f, sin(pi() * (1 - 1 / th_gw) / 2) AS g, sin(pi() * (1 - 1 / th_sub) / 2) AS s FROM pm),
+    k AS (SELECT district_id, f, g, s, f * g + 25e-2 * sqrt((1 - f * f) * (1 - g * g)) AS fg, g * s + 25e-2 * 15e-2 * sqrt((1 - g * g) * (1 - s * s)) AS gs FROM r)
+    SELECT district_id, round(f, 6) AS c_10, round(sqrt(1 - f * f), 6) AS c_11, round((fg - f * g) / sqrt(1 - f * f), 6) AS c_21,
+      round(sqrt(1 - g * g - pow((fg - f * g) / sqrt(1 - f * f), 2)), 6) AS c_22 FROM k"""))
+def implied(spark, sf):
+    p = params(spark, sf)
+    return p.select("district_id", *[F.round(c, 6).alias(c) for c in ("c_10", "c_11", "c_21", "c_22")])
+
+
+@query("f10_mix_systemic", f"""WITH {DRAWN}, z AS (SELECT o_orderkey, {Q.ppf('u')} AS a, {Q.ppf('v')} AS b FROM o),
+    s AS (SELECT o_orderkey, sqrt(4e-1) * a + sqrt(6e-1) * b AS s FROM z) SELECT o_orderkey, round({Q.cdf('s')}, 8) AS u FROM s""")
+def mix(spark, sf):
+    d = with_norm_ppf(order_draws(spark, sf).select("o_orderkey", "u", "v"), {"a": "u", "b": "v"})
+    d = d.withColumn("s", C.mix_systemic_score(F.col("a"), F.lit(0.4), F.col("b"))).drop("u")
+    return with_norm_cdf(d, {"u": "s"}).select("o_orderkey", F.round("u", 8).alias("u"))
+
+
+@query("f11_conditional_expected", f"""WITH {DRAWN}, c AS (SELECT o_orderkey, u, 1 - 1e-2 AS th FROM o), z AS (SELECT o_orderkey, {Q.ppf('u')} AS a, {Q.ppf('th')} AS b FROM c),
+    s AS (SELECT o_orderkey, (sqrt(4e-1) * a - b) / sqrt(6e-1) AS s FROM z) SELECT o_orderkey, round(3e4 * ({Q.cdf('s')}), 4) AS expected FROM s""")
+def conditional(spark, sf):
+    d = order_draws(spark, sf).select("o_orderkey", "u", F.lit(0.99).alias("th"))
+    d = with_norm_ppf(d, {"a": "u", "b": "th"})
+    d = d.withColumn("s", C.conditional_claim_score(F.col("a"), F.col("b"), F.lit(0.4)))
+    return with_norm_cdf(d, {"q": "s"}).select("o_orderkey", F.round(3e4 * F.col("q"), 4).alias("expected"))
+
+
+@query("s7_calibrate_frequency", sql("scored", MULT + """
+    SELECT round(k_sub, 8) AS sub, round(k_wx, 8) AS wx, round(k_fl, 8) AS fl, round(k_gw, 8) AS gw FROM m"""))
+def calibrate(spark, sf):
+    return frequency_multipliers(scored(spark, sf)).select(*[F.round(k, 8).alias(k) for k in ("sub", "wx", "fl", "gw")])
+
+
+def loading_factor(spark, sf):
+    s = scored(spark, sf)
+    return calibrate_loading(marginal_frequency(s, frequency_multipliers(s).first().asDict()))
+
+
+@query("s8_calibrate_loading")
+def loading(spark, sf):
+    factor = loading_factor(spark, sf)
+    return scored(spark, sf).agg(
+        F.lit(factor).alias("factor"), *[F.lit(v).alias(f"load_{k}") for k, v in loadings(factor).items()],
+        F.count(F.lit(1)).alias("districts"),
+    )
+
+
+@query("j15_district_draws", sql("scored", Q.draws(SIM_YEARS) + """
+    SELECT district_id, year_id, round(angle, 8) AS angle, round(z1, 8) AS z1, round(ui_fl, 8) AS ui_fl FROM scored CROSS JOIN dr"""))
+def district_draws(spark, sf):
+    rows = S.district_draws(scored(spark, sf).select("district_id"), S.draw_years(spark, SIM_YEARS), SIM_YEARS)
+    return rows.select("district_id", "year_id", *[F.round(c, 8).alias(c) for c in ("angle", "z1", "ui_fl")])
+
+
+def summed(ylt):
+    return ylt.groupBy("district_id", "peril").agg(
+        F.count(F.lit(1)).alias("claims"), F.round(F.sum("loss"), 2).alias("loss")
+    )
+
+
+SUMMED = "SELECT district_id, peril, count(*) AS claims, round(sum(loss), 2) AS loss FROM y GROUP BY 1, 2"
+HEAD = MULT + ", " + Q.PARAMS + ", " + Q.draws(SIM_YEARS)
+
+
+@query("s10_year_losses_vine", sql("scored", HEAD + ", " + Q.vine() + ", " + Q.loss("vn", "y", A.PERILS) + SUMMED))
+def vine(spark, sf):
+    return summed(S.year_losses(params(spark, sf, gaussian=False), S.draw_years(spark, SIM_YEARS), SIM_YEARS, "vine"))
+
+
+@query("s10_year_losses_independent", sql("scored", HEAD + ", " + Q.vine() + """,
+    ind AS (SELECT vn.* EXCLUDE (u_fl, u_sub, u_gw, u_er), ui_fl AS u_fl, ui_sub AS u_sub, ui_gw AS u_gw, ui_er AS u_er FROM vn), """ + Q.loss("ind", "y", A.PERILS) + SUMMED))
+def independent(spark, sf):
+    return summed(S.year_losses(params(spark, sf, gaussian=False), S.draw_years(spark, SIM_YEARS), SIM_YEARS, "independent"))
+
+
+@query("s10_year_losses_gaussian", sql("scored", HEAD + """,
+    r AS (SELECT pm.*, sin(pi() * (1 - 1 / th_fl) / 2) AS f, sin(pi() * (1 - 1 / th_gw) / 2) AS g FROM pm),
+    k AS (SELECT r.*, (f * g + 25e-2 * sqrt((1 - f * f) * (1 - g * g)) - f * g) / sqrt(1 - f * f) AS c21 FROM r),
+    zz AS (SELECT k.*, dr.year_id, z1 AS zw, f * z1 + sqrt(1 - f * f) * z2 AS zf, g * z1 + c21 * z2 + sqrt(1 - g * g - c21 * c21) * z4 AS zg FROM k CROSS JOIN dr),
+    ug AS (SELECT *, """ + f"{Q.cdf('zw')} AS u_wx, {Q.cdf('zf')} AS u_fl, {Q.cdf('zg')} AS u_gw FROM zz), " + Q.loss("ug", "y", ("wx", "fl", "gw")) + SUMMED))
+def gaussian(spark, sf):
+    y = S.year_losses(params(spark, sf), S.draw_years(spark, SIM_YEARS), SIM_YEARS, "gaussian")
+    return summed(y).where("peril IN ('wx', 'fl', 'gw')")
+
+
+@query("s11_year_view", sql("scored", HEAD + ", " + Q.vine() + """,
+    zc AS (SELECT *, """ + ", ".join(f"least(greatest(u_{k}, 1e-12), 1 - 1e-12) AS c_{k}, 1 - q_{k} AS o_{k}" for k in A.INSURED) + """ FROM vn),
+    zs AS (SELECT *, """ + ", ".join(f"{Q.ppf(f'c_{k}')} AS zz_{k}, {Q.ppf(f'o_{k}')} AS t_{k}" for k in A.INSURED) + """ FROM zc),
+    sc AS (SELECT *, """ + ", ".join(f"(sqrt({w!r}) * zz_{k} - t_{k}) / sqrt(1 - {w!r}) AS s_{k}" for k, w in A.BASE_LOADING.items()) + """ FROM zs),
+    cq AS (SELECT *, """ + ", ".join(f"{Q.cdf(f's_{k}')} AS cq_{k}" for k in A.INSURED) + """ FROM sc)
+    SELECT year_id, round(sum((""" + " + ".join(f"cq_{k} * exp(mu_{k} + {Q.SIGMA[k]} * {Q.SIGMA[k]} / 2)" for k in A.INSURED) + """) * households) / sum(households), 4) AS cond FROM cq GROUP BY year_id"""))
+def year_view(spark, sf):
+    p = params(spark, sf, loadings=dict(A.BASE_LOADING))
+    rows = S.simulate_rows(p, S.draw_years(spark, SIM_YEARS), SIM_YEARS, gaussian=False)
+    years = rows.join(p.select("district_id", "households"), "district_id").groupBy("year_id").agg(
+        F.round(F.sum(F.col("cond") * F.col("households")) / F.sum("households"), 4).alias("cond")
+    )
+    return years
+
+
+@query("g16_analytic_expected_loss", sql("scored", FREQ + """
+    SELECT district_id, round(p_er * exp(ln(25e4) - 35e-2 * 35e-2 / 2 + 35e-2 * 35e-2 / 2), 4) AS el_er FROM p"""))
+def analytic(spark, sf):
+    from ..plans.marginals import analytic_expected_loss, marginal_severity
+
+    s = marginal_severity(marginal_frequency(scored(spark, sf)))
+    return s.select("district_id", F.round(analytic_expected_loss("er"), 4).alias("el_er"))
