@@ -1 +1,134 @@
-"""."""
+"""Pricing, repricing, sensitivity and identities."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import ordering as O
+from ..operators import quality as Qy
+from ..operators import report as Rp
+from ..operators import tail as T
+from ..plans import assumptions as A
+from ..plans import rating as P
+from ..plans import scores as Sc
+from ..plans.marginals import pair_strength
+from .base import INPUTS, YEARS, load_input, query, sql
+from .scores import FLOOD
+from .tail import DENSE, DY, EL, PORT, exposure, r4, ylt
+
+YE = ["ylt", "exposure"]
+for _status, _name in (("F", "ylt_present"), ("O", "ylt_future")):
+    INPUTS[_name] = INPUTS["ylt"].replace("l_returnflag = 'R'", f"l_linestatus = '{_status}'")
+
+
+def priced(spark, sf, name="ylt"):
+    """Rated table of a supplied year-loss table."""
+    e, y = exposure(spark, sf), ylt(spark, sf, name)
+    dy = T.district_years(y)
+    rated = (
+        T.expected_loss(y, e, YEARS)
+        .join(T.tail_measures(dy, e, YEARS), "district_id")
+        .join(T.euler_allocation(dy, e, YEARS), "district_id")
+    )
+    return P.price(rated, "el_total", "euler", "el_total")
+
+
+PRICED = ",\n".join([EL, DY, PORT]) + """,
+    pr AS (SELECT el.*, euler, households, 6e-2 * greatest(euler - el_total, 0) AS capital, el_total + 6e-2 * greatest(euler - el_total, 0) AS premium FROM el JOIN eu USING (district_id))"""
+
+
+@query("s12_technical_premium", sql(YE, PRICED + """
+    SELECT district_id, round(capital, 4) AS capital, round(premium, 4) AS premium FROM pr"""))
+def premium(spark, sf):
+    return r4(priced(spark, sf).select("district_id", "capital", "premium"))
+
+
+def _side(name: str) -> str:
+    return f"""d_{name} AS (SELECT district_id, year_id, sum(loss) AS loss FROM {name} WHERE loss > 0 GROUP BY 1, 2),
+    b_{name} AS (SELECT year_id FROM (SELECT year_id, round(sum(loss * households), 4) AS t FROM d_{name} JOIN exposure USING (district_id) GROUP BY 1) k ORDER BY t DESC, year_id LIMIT 10),
+    e_{name} AS (SELECT e.district_id, coalesce(sum(loss), 0) / 1000 AS el, coalesce(sum(CASE WHEN year_id IN (SELECT year_id FROM b_{name}) THEN loss END), 0) / 10 AS eu
+      FROM exposure e LEFT JOIN d_{name} d ON e.district_id = d.district_id GROUP BY e.district_id),
+    p_{name} AS (SELECT district_id, el, el + 6e-2 * greatest(eu - el, 0) AS premium FROM e_{name})"""
+
+
+@query("s14_scenario_repricing", sql(["ylt_present", "ylt_future", "exposure", "country"], _side("ylt_present") + ",\n" + _side("ylt_future") + """,
+    c AS (SELECT district_id, coalesce(country = 'EUROPE' AND share >= 95e-2, FALSE) AS covered FROM country)
+    SELECT a.district_id, round(a.premium, 4) AS premium, round(b.premium, 4) AS premium_cc, CAST(covered AS INT) AS cc_covered,
+      CASE WHEN covered THEN round(100 * (b.premium / greatest(a.premium, 1e-9) - 1), 4) END AS cc_uplift_pct
+    FROM p_ylt_present a JOIN p_ylt_future b ON a.district_id = b.district_id JOIN c ON a.district_id = c.district_id"""))
+def repricing(spark, sf):
+    from ..functions.rules import coverage_mask
+
+    cov = load_input(spark, sf, "country").withColumn("covered", coverage_mask(F.col("country"), F.col("share"), "EUROPE"))
+    out = P.reprice(priced(spark, sf, "ylt_present"), priced(spark, sf, "ylt_future"), cov)
+    return r4(out.select("district_id", "premium", "premium_cc", "cc_covered", "cc_uplift_pct"))
+
+
+@query("s14_pinned_flood_score", sql("scored", FLOOD + """,
+    f AS (SELECT s.district_id, 75e-2 * 13e-1 * f_high + 25e-2 * 13e-1 * f_low + 6e-1 * (75e-2 * sw_high + 25e-2 * sw_low) AS fi FROM scored s)
+    SELECT i.district_id, round(least(sqrt(i / a), 1), 4) AS fl_score, round(least(sqrt(fi / a), 1), 4) AS fl_score_cc FROM i JOIN f ON i.district_id = f.district_id CROSS JOIN a"""))
+def pinned(spark, sf):
+    s = load_input(spark, sf, "scored").drop("fl_score")
+    anchor = Sc.flood_anchor(s)
+    now = Sc.flood_score(s, anchor).select("district_id", "fl_score")
+    later = s.withColumns({c: 1.3 * F.col(c) for c in ("f_high", "f_low")})
+    fut = Sc.flood_score(later, anchor).select("district_id", F.col("fl_score").alias("fl_score_cc"))
+    return r4(now.join(fut, "district_id"))
+
+
+def published(spark, sf):
+    """A rated table with every column the reports read."""
+    from ..functions.rules import coverage_mask
+
+    s = pair_strength(load_input(spark, sf, "scored")).join(load_input(spark, sf, "country"), "district_id")
+    cov = s.select("district_id", coverage_mask(F.col("country"), F.col("share"), "EUROPE").alias("covered"))
+    r = P.reprice(priced(spark, sf, "ylt_present"), priced(spark, sf, "ylt_future"), cov)
+    r = r.select("*", F.col("tvar99").alias("tvar99_vine"), F.col("euler").alias("tvar99_euler"))
+    out = s.join(r, "district_id").withColumns(
+        {
+            "er_smp105": F.greatest(F.col("er_frac") - 0.01, F.lit(0.0)), "el_er": F.col("er_frac") / 80 * 250000,
+            "uplift_pct": F.expr("100 * (tvar99 - euler) / greatest(euler, 1e-9)"),
+        }
+    )
+    return Rp.fill_undefined(out)
+
+
+@query("s20_result_identities", """SELECT unnest(['premium', 'total', 'capital', 'tail_order', 'nesting', 'tail_dependence', 'uncovered_uplift', 'monotone', 'balanced']) AS identity,
+    CAST(0 AS BIGINT) AS violations""")
+def identities(spark, sf):
+    return Qy.result_identities(O.decile_group(published(spark, sf), "premium", "district_id"))
+
+
+@query("s13_rating_table")
+def rating_table(spark, sf):
+    s = load_input(spark, sf, "scored")
+    rated, _ = P.rate(s, 400)
+    return Rp.publish_rounded(rated)
+
+
+@query("s15_sensitivity_table")
+def sensitivity(spark, sf):
+    return P.sensitivity_table(load_input(spark, sf, "scored"), 200)
+
+
+@query("s16_dependence_report")
+def dependence(spark, sf):
+    return P.dependence_report(load_input(spark, sf, "scored"), 400)
+
+
+@query("s21_level_check", sql(YE, EL + f""" SELECT round(avg(el_total), 4) AS modelled, {A.LOSS_PER_POLICY!r} AS published,
+    round(avg(el_total) / {A.LOSS_PER_POLICY!r} - 1, 6) AS gap, round(avg(el_total) / ({A.TOTAL_HOME_PAID!r} / {A.POLICIES}), 6) AS share_of_all_claims FROM el"""))
+def level(spark, sf):
+    el = T.expected_loss(ylt(spark, sf), exposure(spark, sf), YEARS)
+    out = Rp.level_check(el, A.LOSS_PER_POLICY, A.TOTAL_HOME_PAID / A.POLICIES)
+    return r4(r4(out, "modelled"), "gap", "share_of_all_claims", digits=6)
+
+
+@query("s22_unpriced_exposure", sql(["ylt", "exposure", "scored"], EL + """,
+    j AS (SELECT el_total, households, er_frac / 80 * 250000 AS er FROM el JOIN scored USING (district_id))
+    SELECT round(sum(er * households) / sum(households), 4) AS per_policy, round(100 * (sum(er * households) / sum(households)) / avg(el_total), 4) AS pct_of_priced,
+      count(*) FILTER (er > 5e-1) AS districts, round(max(er), 4) AS worst FROM j"""))
+def unpriced(spark, sf):
+    el = T.expected_loss(ylt(spark, sf), exposure(spark, sf), YEARS)
+    s = load_input(spark, sf, "scored").withColumn("el_er", F.col("er_frac") / 80 * 250000)
+    return r4(Rp.unpriced_exposure(el.join(s, "district_id")))

@@ -197,8 +197,8 @@ def gaussian(spark, sf):
 @query("s11_year_view", sql("scored", HEAD + ", " + Q.vine() + """,
     zc AS (SELECT *, """ + ", ".join(f"least(greatest(u_{k}, 1e-12), 1 - 1e-12) AS c_{k}, 1 - q_{k} AS o_{k}" for k in A.INSURED) + """ FROM vn),
     zs AS (SELECT *, """ + ", ".join(f"{Q.ppf(f'c_{k}')} AS zz_{k}, {Q.ppf(f'o_{k}')} AS t_{k}" for k in A.INSURED) + """ FROM zc),
-    sc AS (SELECT *, """ + ", ".join(f"(sqrt({w!r}) * zz_{k} - t_{k}) / sqrt(1 - {w!r}) AS s_{k}" for k, w in A.BASE_LOADING.items()) + """ FROM zs),
-    cq AS (SELECT *, """ + ", ".join(f"{Q.cdf(f's_{k}')} AS cq_{k}" for k in A.INSURED) + """ FROM sc)
+    sc AS (SELECT *, """ + ", ".join(f"(sqrt({w!r}) * zz_{k} - t_{k}) / sqrt(1 - {w!r}) AS sk_{k}" for k, w in A.BASE_LOADING.items()) + """ FROM zs),
+    cq AS (SELECT *, """ + ", ".join(f"{Q.cdf(f'sk_{k}')} AS cq_{k}" for k in A.INSURED) + """ FROM sc)
     SELECT year_id, round(sum((""" + " + ".join(f"cq_{k} * exp(mu_{k} + {Q.SIGMA[k]} * {Q.SIGMA[k]} / 2)" for k in A.INSURED) + """) * households) / sum(households), 4) AS cond FROM cq GROUP BY year_id"""))
 def year_view(spark, sf):
     p = params(spark, sf, loadings=dict(A.BASE_LOADING))

@@ -84,33 +84,30 @@ def with_gumbel_h_inverse(
     Newton from any point at or left of the root climbs to it without
     overshooting. Each step is one projection; no row leaves the JVM.
     """
-    x = F.col(x)
-    prep, start = {}, {}
+    goals = {}
     for name, (t, theta) in targets.items():
-        goal = -F.log(clip(F.col(t), EDGE, 1 - EDGE))
-        prep[f"_g_{name}"] = goal
-        prep[f"_b_{name}"] = F.col(theta) - 1
-    df = df.withColumns(prep)
-    for name in targets:
-        g, b = F.col(f"_g_{name}"), F.col(f"_b_{name}")
-        # Two lower bounds of the root: where the logarithm is replaced by its
-        # tangent at 0, and by its value at d = g.
-        start[f"_d_{name}"] = F.greatest(g * x / (x + b), g - b * F.log1p(g / x))
-    df = df.withColumns(start)
-    for _ in range(steps):
-        step = {}
-        for name in targets:
-            g, b, d = F.col(f"_g_{name}"), F.col(f"_b_{name}"), F.col(f"_d_{name}")
-            step[f"_d_{name}"] = d - (d + b * F.log1p(d / x) - g) * (x + d) / (x + d + b)
-        df = df.withColumns(step)
-    out = {}
-    for name, (_, theta) in targets.items():
-        th = F.col(theta)
-        grown = F.expm1(th * F.log1p(F.col(f"_d_{name}") / x))
-        out[name] = clip(F.exp(-x * F.pow(grown, 1 / th)), EDGE, 1 - EDGE)
-    df = df.withColumns(out)
-    scratch = [f"_{k}_{n}" for n in targets for k in ("g", "b", "d")]
-    return df.drop(*scratch)
+        goals[f"_g_{name}"] = F.expr(f"-ln(least(greatest(`{t}`, {EDGE!r}D), 1 - {EDGE!r}D))")
+        goals[f"_b_{name}"] = F.expr(f"`{theta}` - 1")
+    df = df.withColumns(goals)
+    # Two lower bounds of the root: where the logarithm is replaced by its
+    # tangent at 0, and by its value at d = g.
+    start = "greatest({g} * `{x}` / (`{x}` + {b}), {g} - {b} * log1p({g} / `{x}`))"
+    step = "{d} - ({d} + {b} * log1p({d} / `{x}`) - {g}) * (`{x}` + {d}) / (`{x}` + {d} + {b})"
+    for text in [start] + [step] * steps:
+        df = df.withColumns(
+            {
+                f"_d_{n}": F.expr(text.format(x=x, g=f"_g_{n}", b=f"_b_{n}", d=f"_d_{n}"))
+                for n in targets
+            }
+        )
+    found = "exp(-`{x}` * pow(expm1(`{theta}` * log1p(_d_{n} / `{x}`)), 1 / `{theta}`))"
+    df = df.withColumns(
+        {
+            n: clip(F.expr(found.format(x=x, theta=theta, n=n)), EDGE, 1 - EDGE)
+            for n, (_, theta) in targets.items()
+        }
+    )
+    return df.drop(*[f"_{k}_{n}" for n in targets for k in ("g", "b", "d")])
 
 
 def stable_frailty(theta: Column, angle: Column, w: Column) -> Column:

@@ -60,8 +60,17 @@ FAR_DENOMINATOR = (
 )
 
 
-def _horner(x: Column, descending: Sequence[float]) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), descending[1:], F.lit(descending[0]))
+def _num(v: float) -> str:
+    return f"{v!r}D"
+
+
+def _horner(x: str, descending: Sequence[float]) -> str:
+    """Polynomial in ``x`` as SQL text: one parsed expression, not a call per term."""
+    return reduce(lambda acc, c: f"({acc} * {x} + {_num(c)})", descending[1:], _num(descending[0]))
+
+
+def _ratio(x: str, over: Sequence[float], under: Sequence[float]) -> str:
+    return f"{_horner(x, over)} / {_horner(x, under)}"
 
 
 def with_norm_cdf(df: DataFrame, targets: dict[str, str]) -> DataFrame:
@@ -71,60 +80,48 @@ def with_norm_cdf(df: DataFrame, targets: dict[str, str]) -> DataFrame:
     computed once per row and the expressions stay small. NULL gives NULL at
     no cost.
     """
-    z = {out: F.col(c) for out, c in targets.items()}
-    df = df.withColumns(
-        {
-            **{f"_a_{o}": F.abs(c) for o, c in z.items()},
-            **{f"_k_{o}": F.exp(-c * c / 2) for o, c in z.items()},
-        }
-    )
+    parts = {}
+    for o, z in targets.items():
+        parts[f"_a_{o}"] = F.expr(f"abs(`{z}`)")
+        parts[f"_k_{o}"] = F.expr(f"exp(-`{z}` * `{z}` / 2)")
+    df = df.withColumns(parts)
 
     def tail(o: str) -> Column:
-        a, density = F.col(f"_a_{o}"), F.col(f"_k_{o}")
-        fraction = a + 4 / (a + F.lit(0.65))
-        for step in (3, 2, 1):
-            fraction = a + step / fraction
-        rational = density * _horner(a, TAIL_NUMERATOR[::-1]) / _horner(a, TAIL_DENOMINATOR[::-1])
-        return (
-            F.when(a < TAIL_SWITCH, rational)
-            .when(a <= TAIL_END, density / fraction / SQRT_TWO_PI)
-            .when(a.isNotNull(), F.lit(0.0))
+        a, density = f"_a_{o}", f"_k_{o}"
+        near = _ratio(a, TAIL_NUMERATOR[::-1], TAIL_DENOMINATOR[::-1])
+        fraction = f"({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65D)))))"
+        return F.expr(
+            f"""CASE WHEN {a} < {_num(TAIL_SWITCH)} THEN {density} * {near}
+                     WHEN {a} <= {_num(TAIL_END)} THEN {density} / {fraction} / {_num(SQRT_TWO_PI)}
+                     WHEN {a} IS NOT NULL THEN 0D END"""
         )
 
     df = df.withColumns({f"_t_{o}": tail(o) for o in targets})
     df = df.withColumns(
-        {o: F.when(c > 0, 1 - F.col(f"_t_{o}")).otherwise(F.col(f"_t_{o}")) for o, c in z.items()}
+        {o: F.expr(f"CASE WHEN `{z}` > 0 THEN 1 - _t_{o} ELSE _t_{o} END") for o, z in targets.items()}
     )
     return df.drop(*[f"_{t}_{o}" for o in targets for t in "akt"])
 
 
 def with_norm_ppf(df: DataFrame, targets: dict[str, str]) -> DataFrame:
     """Add, for each output name, the normal score of a probability column in (0, 1)."""
-    p = {out: F.col(c) for out, c in targets.items()}
-    df = df.withColumns(
-        {
-            **{f"_q_{o}": c - F.lit(0.5) for o, c in p.items()},
-            **{
-                f"_r_{o}": F.when(
-                    F.abs(c - F.lit(0.5)) > 0.425, F.sqrt(-F.log(F.least(c, 1 - c)))
-                )
-                for o, c in p.items()
-            },
-        }
-    )
+    parts = {}
+    for o, p in targets.items():
+        parts[f"_q_{o}"] = F.expr(f"`{p}` - 0.5D")
+        parts[f"_r_{o}"] = F.expr(
+            f"CASE WHEN abs(`{p}` - 0.5D) > 0.425D THEN sqrt(-ln(least(`{p}`, 1 - `{p}`))) END"
+        )
+    df = df.withColumns(parts)
 
     def score(o: str) -> Column:
-        q, r = F.col(f"_q_{o}"), F.col(f"_r_{o}")
-        centre = F.lit(0.180625) - q * q
-        near, far = r - F.lit(1.6), r - F.lit(5.0)
-        side = F.signum(q)
-        return (
-            F.when(
-                r.isNull(), q * _horner(centre, CENTRE_NUMERATOR) / _horner(centre, CENTRE_DENOMINATOR)
-            )
-            .when(r <= 5, side * _horner(near, MIDDLE_NUMERATOR) / _horner(near, MIDDLE_DENOMINATOR))
-            .otherwise(side * _horner(far, FAR_NUMERATOR) / _horner(far, FAR_DENOMINATOR))
+        q, r = f"_q_{o}", f"_r_{o}"
+        centre = _ratio(f"(0.180625D - {q} * {q})", CENTRE_NUMERATOR, CENTRE_DENOMINATOR)
+        middle = _ratio(f"({r} - 1.6D)", MIDDLE_NUMERATOR, MIDDLE_DENOMINATOR)
+        far = _ratio(f"({r} - 5D)", FAR_NUMERATOR, FAR_DENOMINATOR)
+        return F.expr(
+            f"""CASE WHEN {q} IS NULL THEN NULL WHEN {r} IS NULL THEN {q} * {centre}
+                     WHEN {r} <= 5 THEN signum({q}) * {middle} ELSE signum({q}) * {far} END"""
         )
 
-    df = df.withColumns({o: F.when(F.col(f"_q_{o}").isNotNull(), score(o)) for o in targets})
+    df = df.withColumns({o: score(o) for o in targets})
     return df.drop(*[f"_{t}_{o}" for o in targets for t in "qr"])
