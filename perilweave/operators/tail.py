@@ -57,26 +57,32 @@ def peril_totals(ylt: DataFrame, insured=INSURED, extra: str = "er") -> DataFram
 def tail_measures(
     years: DataFrame, districts: DataFrame, n_years: int, loss: str = "loss",
     tvar_q: float = 0.99, var_q: float = 0.995, names: tuple[str, str] = ("tvar99", "var995"),
+    by: str | None = None,
 ) -> DataFrame:
     """Tail mean and interpolated quantile per district from positive district-years.
 
     Each district has at most ``n_years`` rows here, and the rank filter keeps
     only the top few of them before the sort (Spark's window group limit).
+    With ``by``, several totals are measured at once, one row per value.
     """
     k = tail_count(n_years, tvar_q)
     position = var_q * (n_years - 1)
     below, above = n_years - floor(position), n_years - ceil(position)
+    keys = [KEY, by] if by else [KEY]
+    largest = Window.partitionBy(*keys).orderBy(F.desc("_l"), F.asc(YEAR))
     top = (
         years.where(F.col(loss) > 0)
-        .select(KEY, YEAR, F.col(loss).alias("_l"))
-        .withColumn("_rn", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("_l"), F.asc(YEAR))))
+        .select(*keys, YEAR, F.col(loss).alias("_l"))
+        .withColumn("_rn", F.row_number().over(largest))
         .where(F.col("_rn") <= max(k, below))
     )
     at = lambda r: F.coalesce(F.max(F.when(F.col("_rn") == r, F.col("_l"))), F.lit(0.0))
-    stats = top.groupBy(KEY).agg(
-        (F.sum(F.when(F.col("_rn") <= k, F.col("_l"))) / k).alias(names[0]),
+    stats = top.groupBy(*keys).agg(
+        (F.coalesce(F.sum(F.when(F.col("_rn") <= k, F.col("_l"))), F.lit(0.0)) / k).alias(names[0]),
         (at(below) + (at(above) - at(below)) * (position - floor(position))).alias(names[1]),
     )
+    if by:
+        return stats
     return districts.select(KEY).join(stats, KEY, "left").fillna(0.0, list(names))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +73,6 @@ def sensitivity_table(
     Calibration comes from the full table and stays; draws are shared, so every
     scenario is paired with the baseline.
     """
-    from functools import reduce
-
     from ..operators.lookup import compare_groups
     from ..operators.sampling import systematic_sample
     from ..operators.years import bucket_summary
@@ -80,12 +81,18 @@ def sensitivity_table(
     calibration = calibrate(scored)
     sample = materialize(systematic_sample(scored, "district_id", step), "sample")
     weight = sample.agg(F.sum("households").alias("w")).scalar()
-    parts, base = [], None
-    for scenario in scenarios:
+    kept = ("district_id", "el_total", "el_er", "premium", "group", "tvar99_vine", "uplift_pct")
+
+    def run(scenario: A.Assumptions) -> tuple[DataFrame, DataFrame]:
         rated, sim = rate(sample, n_years, seed, calibration, scenario, gaussian=False)
-        rated = materialize(rated.select("district_id", "el_total", "el_er", "premium", "group", "tvar99_vine", "uplift_pct"), "rated")
-        base = rated if base is None else base
-        buckets = bucket_summary(sim.years, weight, n_years, "indep").where("bucket = 'catastrophic'")
+        return materialize(rated.select(*kept), "rated"), materialize(sim.years, "portfolio")
+
+    # scenarios are independent jobs: submit a few at a time
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(run, scenarios))
+    base, parts = results[0][0], []
+    for scenario, (rated, years) in zip(scenarios, results):
+        buckets = bucket_summary(years, weight, n_years, "indep").where("bucket = 'catastrophic'")
         means = rated.agg(
             *[F.round(F.avg(c), d).alias(n) for n, c, d in (
                 ("mean_el", "el_total", 1), ("mean_premium", "premium", 1), ("mean_el_erosion", "el_er", 1),

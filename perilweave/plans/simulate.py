@@ -9,6 +9,7 @@ the year, so nothing is cross-joined and no district is tied to one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,14 +187,16 @@ def year_claims(independent: bool) -> list[Claim]:
     return out
 
 
+def any_claim(claims: list[Claim]) -> Column:
+    return reduce(lambda a, b: a | b, [happens for happens, _ in claims])
+
+
 def with_claim_list(df: DataFrame, claims: list[Claim]) -> DataFrame:
     """Add ``hit`` and, where it holds, the list of claims.
 
     The flag is a column of its own: nearly all rows stop there.
     """
-    from functools import reduce
-
-    hit = reduce(lambda a, b: a | b, [happens for happens, _ in claims])
+    hit = any_claim(claims)
     wanted = F.array_compact(F.array(*[F.when(happens, c) for happens, c in claims]))
     return df.withColumn("hit", hit).withColumn("claims", F.when(F.col("hit"), wanted))
 
@@ -238,14 +241,26 @@ def year_losses(
     return claim_losses(rows.select(KEY, YEAR, F.inline("claims")), params).drop("view")
 
 
+FACTS = (
+    *(f"u_{k}" for k in A.PERILS), *(f"z_{k}" for k in A.INSURED), *(f"q_{k}" for k in A.INSURED),
+    *(f"qi_{k}" for k in ("sub", "fl", "gw")), *(f"e_{k}" for k in A.INSURED),
+)
+
+
+def _all_claims(gaussian: bool) -> list[Claim]:
+    claims = claims_of("vine") + claims_of("independent") + year_claims(False) + year_claims(True)
+    return claims + (claims_of("gaussian", A.INSURED) if gaussian else [])
+
+
 def simulate_rows(
     params: DataFrame, draws: DataFrame, n_years: int, seed: int = 42,
     assumptions: A.Assumptions = A.Assumptions(), gaussian: bool = True,
 ) -> DataFrame:
-    """One row per district-year: expected loss given the year, and the claims of all views.
+    """One row per district-year: expected loss given the year, and facts of its claims.
 
-    ``cond`` is dense; ``claims`` is empty in nearly all rows. Erosion is no
-    event and stays out of the national view.
+    ``cond`` is dense. ``facts`` is NULL unless some view claims (``hit``),
+    which few rows do, so claims are spelled out and priced afterwards on
+    those alone. Erosion is no event and stays out of the national view.
     """
     df = district_draws(params, draws, n_years)
     if gaussian:
@@ -257,16 +272,23 @@ def simulate_rows(
         {f"e_{k}": uniform_slice(F.col("_d"), i) for i, k in enumerate(("wx", "fl", "sub", "gw"))}
     )
     cond = sum((F.col(f"q_{k}") * F.col(f"mean_{k}") for k in A.INSURED), F.lit(0.0))
-    claims = claims_of("vine") + claims_of("independent") + year_claims(False) + year_claims(True)
-    if gaussian:
-        claims += claims_of("gaussian", A.INSURED)
-    df = with_claim_list(df.withColumn("cond", cond), claims)
-    return df.select(KEY, YEAR, "cond", "hit", "claims")
+    facts = [*FACTS, *([f"gs_{k}" for k in A.INSURED] if gaussian else [])]
+    df = df.withColumn("hit", any_claim(_all_claims(gaussian)))
+    return df.select(KEY, YEAR, cond.alias("cond"), "hit", F.when(F.col("hit"), F.struct(*facts)).alias("facts"))
 
 
-def losses_of(rows: DataFrame, params: DataFrame) -> DataFrame:
+def losses_of(rows: DataFrame, params: DataFrame, draws: DataFrame) -> DataFrame:
     """All losses of the simulated rows: (district, year, view, peril, loss)."""
-    return claim_losses(rows.where("hit").select(KEY, YEAR, F.inline("claims")), params)
+    gaussian = "gs_fl" in rows.schema["facts"].dataType.names
+    shared = [f"ui_{k}" for k in ("sub", "fl", "gw", "er")] + [f"zi_{k}" for k in ("sub", "fl", "gw")]
+    some = (
+        rows.where("hit").select(KEY, YEAR, "facts.*")
+        .join(params.select(KEY, *[f"p_{k}" for k in A.PERILS]), KEY)
+        .join(draws.select(YEAR, *shared), YEAR)
+    )
+    claims = [F.when(happens, c) for happens, c in _all_claims(gaussian)]
+    listed = some.select(KEY, YEAR, F.inline(F.array_compact(F.array(*claims))))
+    return claim_losses(listed, params)
 
 
 def portfolio_view(losses: DataFrame, rows: DataFrame, exposure: DataFrame, n_years: int) -> DataFrame:
@@ -295,7 +317,7 @@ class Simulation:
     n_years: int
 
 
-def summarise(rows: DataFrame, params: DataFrame, n_years: int) -> Simulation:
+def summarise(rows: DataFrame, params: DataFrame, draws: DataFrame, n_years: int) -> Simulation:
     """Per-district results and the portfolio's years from the simulated rows.
 
     ``rows`` is read several times: pass a materialized table.
@@ -304,19 +326,33 @@ def summarise(rows: DataFrame, params: DataFrame, n_years: int) -> Simulation:
     from ..operators.years import worst_years
     from ..session import materialize
 
-    losses = materialize(losses_of(rows, params), "losses")
+    losses = materialize(losses_of(rows, params, draws), "losses")
     in_view = lambda v, ks: losses.where((F.col("view") == v) & F.col("peril").isin(*ks))
     out = T.expected_loss(in_view("vine", A.INSURED), params, n_years)
     analytic = params.select(KEY, F.expr("p_er * mean_er").alias("el_er"))
     out = out.join(analytic, KEY).withColumn("el_total5", F.expr("el_total + el_er"))
-    for view, name, perils in (
+    # every structure and total is a group of its own in one windowed pass
+    totals = (
         ("vine", "vine", A.INSURED), ("independent", "indep", A.INSURED), ("gaussian", "gauss", A.INSURED),
         ("vine", "vine5", A.PERILS), ("independent", "indep5", A.PERILS),
-    ):
-        years = T.district_years(in_view(view, perils), perils)
-        out = out.join(
-            T.tail_measures(years, params, n_years, names=(f"tvar99_{name}", f"var995_{name}")), KEY
-        )
+    )
+    tagged = [
+        F.when((F.col("view") == view) & F.col("peril").isin(*perils), F.lit(name)) for view, name, perils in totals
+    ]
+    years = (
+        losses.where(~F.col("view").startswith("year"))
+        .select(KEY, YEAR, "loss", F.explode(F.array_compact(F.array(*tagged))).alias("total"))
+        .groupBy(KEY, YEAR, "total")
+        .agg(F.sum("loss").alias("loss"))
+    )
+    measured = T.tail_measures(years, params, n_years, by="total").groupBy(KEY).agg(
+        *[
+            F.coalesce(F.max(F.when(F.col("total") == name, F.col(m))), F.lit(0.0)).alias(f"{m}_{name}")
+            for _, name, _ in totals for m in ("tvar99", "var995")
+        ]
+    )
+    names = [f"{m}_{name}" for _, name, _ in totals for m in ("tvar99", "var995")]
+    out = out.join(measured, KEY, "left").fillna(0.0, names)
     out = out.withColumn("uplift_pct", T.tail_uplift_pct(F.col("tvar99_vine"), F.col("tvar99_indep")))
 
     years = portfolio_view(losses, rows, params, n_years)
@@ -346,8 +382,8 @@ def simulate(
     params = materialize(
         district_parameters(scored, multiplier, loadings or dict(A.BASE_LOADING), assumptions, gaussian), "params"
     )
-    draws = draw_years(scored.sparkSession, n_years, seed)
+    draws = materialize(draw_years(scored.sparkSession, n_years, seed), "draws")
     rows = materialize(
         simulate_rows(params, draws, n_years, seed, assumptions, gaussian), f"years-{assumptions.name}"
     )
-    return summarise(rows, params, n_years)
+    return summarise(rows, params, draws, n_years)
