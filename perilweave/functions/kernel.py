@@ -102,7 +102,7 @@ def vine_struct(rho: dict[str, float]) -> Callable[..., Column]:
         arrays = [c.to_numpy(dtype=float) for c in cols]
         theta = dict(zip(("fl", *GIVEN_WEATHER), arrays[:4]))
         u = vine_probabilities(theta, dict(zip(DRAWS, arrays[4:])), rho)
-        return pd.DataFrame({f"u_{k}": u[k] for k in fields})
+        return pd.DataFrame({f"u_{k}": u[k] for k in fields}, copy=False)
 
     return uniforms
 
@@ -138,6 +138,6 @@ def systemic_struct(rho: dict[str, float]) -> Callable[..., Column]:
             out[f"q_{k}"] = cdf((pull * z - c[f"t_{k}"]) / open_share)
             if k != "wx":
                 out[f"qi_{k}"] = cdf((pull * c[f"zi_{k}"] - c[f"t_{k}"]) / open_share)
-        return pd.DataFrame(out)[names]
+        return pd.DataFrame({n: out[n] for n in names}, copy=False)
 
     return systemic

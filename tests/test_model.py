@@ -124,7 +124,7 @@ def test_gaussian_factor_exists_over_the_whole_range(spark):
 
 def test_simulation_identities_and_stability(spark):
     s = spark.createDataFrame(random_fields(60))
-    runs = [S.simulate(s, 4000, seed, loadings=dict(A.BASE_LOADING), gaussian=seed == 42) for seed in (42, 43)]
+    runs = [S.simulate(s, 20_000, seed, loadings=dict(A.BASE_LOADING), gaussian=seed == 42) for seed in (42, 43)]
     a = runs[0].districts.toPandas().set_index("district_id")
     assert np.allclose(a.el_total5, a.el_total + a.el_er)
     assert np.allclose(a.el_total, a.el_sub + a.el_wx + a.el_fl + a.el_gw)
@@ -134,7 +134,7 @@ def test_simulation_identities_and_stability(spark):
     r = T.rank_agreement(runs[0].districts, runs[1].districts, "tvar99_euler").first()
     assert r.corr > 0.95 and r.median_move < 0.12
     years = runs[0].years.toPandas()
-    assert len(years) == 4000 and (years.filter(like="loss_") >= 0).all().all()
+    assert len(years) == 20_000 and (years.filter(like="loss_") >= 0).all().all()
     # realised claims happen at the calibrated frequency
     p = S.district_parameters(s, gaussian=False).toPandas().set_index("district_id")
     share = years.hit_wx.mean() / p.households.sum()
