@@ -21,18 +21,17 @@ def _scratch(spark):
 @query("k3_a1_feature_files", sql("district_corners", f"""
     SELECT district_id, concat('A', CAST(s_nationkey AS VARCHAR)) AS area, round({area_expr()}, 1) AS size FROM district_corners JOIN supplier ON district_id = s_suppkey"""))
 def features(spark, sf):
-    """Write one feature collection per area, then read the folder back."""
+    """Write features, land them as one-line collections by area, and read the folders back."""
     root = _scratch(spark)
     s = load_input(spark, sf, "supplier").selectExpr("s_suppkey AS district_id", "concat('A', CAST(s_nationkey AS STRING)) AS area")
-    rows = Sk.feature_rows(districts(spark, sf), ["district_id"]).select(
-        "value", F.get_json_object("value", "$.properties.district_id").cast("long").alias("district_id")
+    Sk.write_feature_collection(districts(spark, sf), f"{root}/features", ["district_id"])
+    lines = spark.read.text(f"{root}/features").withColumn(
+        "district_id", F.get_json_object("value", "$.properties.district_id").cast("long")
     )
-    Sk.write_feature_collection(districts(spark, sf), f"{root}/lines", ["district_id"])
-    docs = rows.join(s, "district_id").groupBy("area").agg(
-        F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value")
-    )
-    docs.write.partitionBy("area").text(f"{root}/byarea")
-    back = Rd.read_features(spark, f"{root}/byarea/*", {"district_id": "BIGINT"})
+    lines.join(s, "district_id").select(
+        "area", F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "value", F.lit("]}")).alias("value")
+    ).write.partitionBy("area").text(f"{root}/landed")
+    back = Rd.read_features(spark, f"{root}/landed/*", {"district_id": "BIGINT"}, one_per_file=False)
     # Spark names its own files, so the area comes from the table here
     return back.drop("area").join(s, "district_id").select(
         "district_id", "area", F.round(S.ring_area(), 1).alias("size")

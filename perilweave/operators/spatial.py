@@ -39,13 +39,13 @@ def with_bbox(df: DataFrame, rings: str = "rings") -> DataFrame:
 
 def edges(df: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     """One row per edge with nonzero length."""
-    ring = df.select(key, F.explode(rings).alias("ring"))
-    corner = ring.select(key, "ring", F.posexplode("ring").alias("pos", "a"))
-    after = F.col("ring")[(F.col("pos") + 1) % F.size("ring")]
+    ring = df.select(key, F.explode(rings).alias("_ring"))
+    corner = ring.select(key, "_ring", F.posexplode("_ring").alias("_pos", "_at"))
+    after = F.col("_ring")[(F.col("_pos") + 1) % F.size("_ring")]
     return corner.select(
         key,
-        F.col("a.x").alias("x1"),
-        F.col("a.y").alias("y1"),
+        F.col("_at.x").alias("x1"),
+        F.col("_at.y").alias("y1"),
         after["x"].alias("x2"),
         after["y"].alias("y2"),
     ).where("x1 <> x2 OR y1 <> y2")

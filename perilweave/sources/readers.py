@@ -19,14 +19,17 @@ def _features_schema(properties: Mapping[str, str]) -> str:
     )
 
 
-def read_features(spark: SparkSession, path: str, properties: Mapping[str, str]) -> DataFrame:
+def read_features(
+    spark: SparkSession, path: str, properties: Mapping[str, str], one_per_file: bool = True
+) -> DataFrame:
     """Feature collections of a folder: the file stem becomes ``area``, rings become arrays.
 
-    One file is one record, so files are the unit of parallelism. Polygons and
-    multipolygons are read; other shapes give no rings.
+    With one collection per file, files are the unit of parallelism; with one
+    per line, large files split. Polygons and multipolygons are read; other
+    shapes give no rings.
     """
     raw = (
-        spark.read.schema(_features_schema(properties)).option("multiLine", True).json(path)
+        spark.read.schema(_features_schema(properties)).option("multiLine", one_per_file).json(path)
         .select(F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)\.[^.]+$", 1).alias("area"), F.explode("features").alias("f"))
     )
     one = F.from_json("f.geometry.coordinates", "ARRAY<ARRAY<ARRAY<DOUBLE>>>")
