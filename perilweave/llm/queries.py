@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts, token_files
+from . import bpe, jaccard_join, token_counts, token_files
 
 # The vocabulary files and ids that the queries are specified with.
 BYTE_LEVEL = "byte_bpe_50k.json"
@@ -33,5 +35,37 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_bpe_round_trip, op5_token_files)}
-ORACLES: dict[str, str] = {}
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(
+        table(spark, sf_dir, "documents"), n=3, threshold=Fraction(9, 10), band_steps=3
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op3_jaccard_join, op4_bpe_round_trip, op5_token_files)
+}
+WORDS = "[^\\x20\\x09-\\x0D]+"
+FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES: dict[str, str] = {
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(coalesce({FOLDED}, ''), '{WORDS}') AS ws FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, unnest(CASE
+            WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]))
+            WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+        n AS (
+          SELECT w.doc_id, count(shingle) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+        common AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+          FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (
+          SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * c >= 90 * (x.n_shingles + y.n_shingles - c)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (
+          SELECT doc_id AS at, doc_id AS root FROM n
+          UNION SELECT b, root FROM reach JOIN edge ON a = at)
+        SELECT n.doc_id, n_shingles, min(root) AS component_id FROM n JOIN reach ON at = n.doc_id GROUP BY 1, 2""",
+}
