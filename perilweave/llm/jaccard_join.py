@@ -201,16 +201,17 @@ def _signed(docs: DataFrame, n: int, threshold: Fraction, steps: int) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("tie"),
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.int64(), mask=sizes == 0),
                         counts,
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig[order])),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "sketch", "signatures"],
+                    ["doc_id", "tie", "n_shingles", "set_key", "sketch", "signatures"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key long, sketch binary, signatures array<long>"
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(
+        run, "doc_id long, tie long, n_shingles long, set_key long, sketch binary, signatures array<long>"
     )
 
 
@@ -351,6 +352,27 @@ def jaccard_components(
     as soon as the comparisons left are few against the table (or after
     HUB_ROUNDS) all of them are made, so no similar pair stays unlinked.
     """
+    return _components(docs, n, threshold, band_steps).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(
+    docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), band_steps: int = 2
+) -> DataFrame:
+    """The rows of ``docs`` of which one of each component stays: that with the smallest doc_id.
+
+    Repeated rows of one doc_id and text are one. Rows without a doc_id stay if
+    no row of their component has one.
+    """
+    groups = _components(docs, n, threshold, band_steps)
+    key = {"_row_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_row_tie": F.xxhash64("text")}
+    gone = groups.where("component_id is not null and not (doc_id <=> component_id)")
+    gone = gone.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_row_id"), F.col("tie").alias("_row_tie")).distinct()
+    kept = docs.withColumns(key).join(gone, list(key), "left_anti")
+    return kept.dropDuplicates(list(key)).drop(*key)
+
+
+def _components(docs: DataFrame, n: int, threshold: Fraction, band_steps: int) -> DataFrame:
+    """doc_id, tie (a digest of the text), n_shingles and component_id of every row."""
     signed = materialize(_signed(docs, n, threshold, band_steps), "signed")
     # Shuffled once by signature; copies of one set collapse before the shuffle.
     buckets = signed.select(F.explode("signatures").alias("sig"), "set_key").distinct()
@@ -408,10 +430,11 @@ def jaccard_components(
     named = of_key.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = of_key.join(named, "root").select("set_key", "component_id")
     return (
-        signed.select("doc_id", "n_shingles", "set_key")
+        signed.select("doc_id", "tie", "n_shingles", "set_key")
         .join(labels, "set_key", "left")
         .select(
             "doc_id",
+            "tie",
             "n_shingles",
             F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         )

@@ -7,7 +7,18 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, jaccard_join, mixing, nearest_neighbours, token_counts, token_files
+from . import (
+    bpe,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    mixing,
+    nearest_neighbours,
+    quality,
+    token_counts,
+    token_files,
+    toxicity,
+)
 
 # The vocabulary files and ids that the queries are specified with.
 BYTE_LEVEL = "byte_bpe_50k.json"
@@ -45,6 +56,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -54,9 +73,16 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_embedding_dedup, op3_jaccard_join, op4_bpe_round_trip, op5_token_files, op8_nearest_neighbours, op9_mixture)
+    for f in (
+        op1_token_counts, op2_embedding_dedup, op3_jaccard_join, op4_bpe_round_trip, op5_token_files,
+        op6_language_id, op7_quality, op8_nearest_neighbours, op9_mixture, op10_toxicity,
+    )
 }
 WORDS = "[^\\x20\\x09-\\x0D]+"
 FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
