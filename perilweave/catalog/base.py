@@ -7,11 +7,13 @@ oracle start from the same rows; everything after that is written twice.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, wraps
 from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import materialize
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -22,9 +24,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Tables written once for the query that is being built, by what they hold.
+_STAGES: dict[tuple, DataFrame] = {}
+
+
+def staged(key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, written once for all its readers in the running query."""
+    if key not in _STAGES:
+        _STAGES[key] = materialize(build(), str(key[0]))
+    return _STAGES[key]
+
+
 def query(name: str, oracle: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            _STAGES.clear()
+            try:
+                return fn(spark, sf)
+            finally:
+                _STAGES.clear()
+
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = oracle
         return fn
@@ -143,9 +164,13 @@ def _element(i: int, spark: bool) -> str:
 
 
 def load_input(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table or a domain table as a DataFrame."""
+    """A driver table, or a domain table that is derived once per query."""
     if name in TABLES:
         return table(spark, sf, name)
+    return staged((name, sf), lambda: _derived(spark, sf, name))
+
+
+def _derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
     parts, text = {}, INPUTS[name]
     for need in _needs(name):
         if need.startswith("elem"):

@@ -1,9 +1,11 @@
 """Exact global ranks, running totals and quantiles without a one-task sort.
 
-Values are first put into order-preserving bins, and equal values into runs of
-65,536 key values, so no task sorts more than a thin slice of the table even if
-one value fills a third of it. Only the per-bin totals (a few thousand rows,
-whatever the input size) meet in one task.
+Rows are range-partitioned by value and key into slices, written once with the
+number of their slice, and only the totals of the slices (one row a task) meet
+in one task. The key splits copies of one value, and the ranges are drawn from
+the values themselves, so neither a value that fills a third of the table nor
+an outlier makes a large slice. The input is read once, whatever is built on
+the result.
 """
 
 from __future__ import annotations
@@ -12,24 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-LINEAR_BINS = 1024
-BINS_PER_OCTAVE = 64
-OCTAVE_SHIFT = 70_000
-KEY_RUN = 65_536
+from ..session import materialize
 
-_BIN = ["_lin", "_oct"]
 
-
-def _octave(v: Column) -> Column:
-    """Position on a logarithmic scale that keeps the order of signed values."""
-    size = F.floor(BINS_PER_OCTAVE * F.log2(F.greatest(F.abs(v), F.lit(1e-300)))) + OCTAVE_SHIFT
-    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size).cast("long")
-
-
-def _linear(v: Column, lo: Column, hi: Column) -> Column:
-    return F.coalesce(
-        F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * (LINEAR_BINS - 1)), F.lit(0)
-    ).cast("long")
+def _sliced(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in ranges of the keys, with the number of each row's range in ``_slice``."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = df.repartitionByRange(parts, *[F.col(k).asc_nulls_last() for k in keys])
+    return materialize(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
 def running(
@@ -48,35 +40,17 @@ def running(
     """
     value = F.col(order_by).cast("double")
     value = F.when(value == 0, F.lit(0.0)).otherwise(-value if descending else value)
-    base = df.withColumns(
-        {"_v": value, "_run": F.floor(F.col(key).cast("double") / KEY_RUN).cast("long")}
-    )
-    extent = base.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("e")).scalar()
-    present = base.where(F.col("_v").isNotNull()).withColumns(
-        {"_lin": _linear(F.col("_v"), extent["lo"], extent["hi"]), "_oct": _octave(F.col("_v"))}
-    )
+    placed = _sliced(df.withColumn("_v", value), "_v", key)
+    present = placed.where(F.col("_v").isNotNull())
     measure = F.sum(F.col(total_of)) if total_of else F.lit(None).cast("double")
-    cells = present.groupBy(*_BIN, "_v", "_run").agg(
-        F.count(F.lit(1)).alias("_n"), measure.alias("_m")
+    slices = present.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"), measure.alias("_m"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(
+        "_slice",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.coalesce(F.sum("_m").over(before), F.lit(0.0)).alias("_start_m"),
     )
-    bins = cells.groupBy(*_BIN).agg(F.sum("_n").alias("_bn"), F.sum("_m").alias("_bm"))
-    before = Window.orderBy(*_BIN).rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(
-        *_BIN,
-        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_bin_n"),
-        F.coalesce(F.sum("_bm").over(before), F.lit(0.0)).alias("_bin_m"),
-    )
-    inside = (
-        Window.partitionBy(*_BIN).orderBy("_v", "_run").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    cells = cells.join(bins, _BIN).select(
-        "_v",
-        "_run",
-        (F.col("_bin_n") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_start"),
-        (F.col("_bin_m") + F.coalesce(F.sum("_m").over(inside), F.lit(0.0))).alias("_start_m"),
-    )
-    joined = base.join(cells, ["_v", "_run"], "left")
-    within = Window.partitionBy("_v", "_run").orderBy(key)
+    within = Window.partitionBy("_slice").orderBy(F.col("_v").asc_nulls_last(), key)
     out = {}
     if rank:
         out[rank] = F.when(F.col("_v").isNotNull(), F.col("_start") + F.row_number().over(within))
@@ -85,7 +59,7 @@ def running(
         out[total] = F.when(
             F.col("_v").isNotNull(), F.col("_start_m") + F.sum(total_of).over(so_far)
         )
-    return joined.withColumns(out).drop("_v", "_run", "_start", "_start_m")
+    return placed.join(slices, "_slice", "left").withColumns(out).drop("_v", "_slice", "_start", "_start_m")
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -93,8 +67,8 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
 
     ``wanted`` maps an output name to (column, probability). All of them come
     from a single pass: values are counted (so copies of one value collapse
-    before the shuffle), binned, and only the two order statistics each
-    quantile needs are read off the running counts. NULLs are left out.
+    before the shuffle) and cut into slices; only the slices that hold an order
+    statistic asked for are opened. NULLs are left out.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     tagged = F.array(
@@ -109,41 +83,39 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
         .groupBy("_c", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    extent = counts.groupBy("_c").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all")
-    )
-    binned = counts.join(extent, "_c").withColumns(
-        {"_lin": _linear(F.col("_v"), F.col("_lo"), F.col("_hi")), "_oct": _octave(F.col("_v"))}
+    placed = _sliced(counts, "_c", "_v")
+    slices = placed.groupBy("_c", "_slice").agg(F.sum("_n").alias("_sn"))
+    own = Window.partitionBy("_c")
+    before = own.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(
+        "_c",
+        "_slice",
+        "_sn",
+        F.sum("_sn").over(own).alias("_all"),
+        F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_first"),
     )
-    before = (
-        Window.partitionBy("_c").orderBy(*_BIN).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    bins = (
-        binned.groupBy("_c", *_BIN)
-        .agg(F.sum("_n").alias("_bn"))
-        .select("_c", *_BIN, F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_bin_n"))
-    )
-    inside = (
-        Window.partitionBy("_c", *_BIN).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = binned.join(bins, ["_c", *_BIN]).withColumn(
-        "_start", F.col("_bin_n") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+
+    def place(column: str, q: float) -> Column:
+        return F.when(F.col("_c") == columns.index(column), F.lit(float(q)) * (F.col("_all") - 1))
+
+    def holds(k: Column, first: str, n: str) -> Column:
+        return (F.col(first) <= k) & (k < F.col(first) + F.col(n))
+
+    asked = F.lit(False)
+    for column, q in wanted.values():
+        for end in (F.floor, F.ceil):
+            asked = asked | F.coalesce(holds(end(place(column, q)), "_first", "_sn"), F.lit(False))
+    inside = Window.partitionBy("_c", "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    opened = placed.join(slices.where(asked), ["_c", "_slice"]).withColumn(
+        "_start", F.col("_first") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     )
     picks = []
     for name, (column, q) in wanted.items():
-        position = F.lit(float(q)) * (F.col("_all") - 1)
-        holds = lambda k: (
-            (F.col("_c") == columns.index(column))
-            & (F.col("_start") <= k)
-            & (k < F.col("_start") + F.col("_n"))
-        )
-        low = F.max(F.when(holds(F.floor(position)), F.col("_v")))
-        high = F.max(F.when(holds(F.ceil(position)), F.col("_v")))
-        part = F.max(
-            F.when(F.col("_c") == columns.index(column), position - F.floor(position))
-        )
-        picks.append((low + (high - low) * part).alias(name))
-    return placed.agg(*picks)
+        position = place(column, q)
+        low = F.max(F.when(holds(F.floor(position), "_start", "_n"), F.col("_v")))
+        high = F.max(F.when(holds(F.ceil(position), "_start", "_n"), F.col("_v")))
+        picks.append((low + (high - low) * F.max(position - F.floor(position))).alias(name))
+    return materialize(opened.agg(*picks), "quantiles")
 
 
 def as_scalar(one_row: DataFrame) -> Column:
@@ -160,7 +132,7 @@ def decile_group(
     an edge belongs below it; ``ntile`` puts its edges elsewhere.
     """
     ranked = running(df, order_by, key, rank="_rank")
-    n = df.agg(F.count(order_by).alias("n")).scalar()
+    n = ranked.agg(F.max("_rank").alias("n")).scalar()
     step = F.expr(f"(_rank - 1) * {groups}")
     span = F.greatest(n - 1, F.lit(1))
     return ranked.withColumn(
@@ -173,7 +145,7 @@ def equal_area_cuts(
 ) -> DataFrame:
     """First position at which the running area reaches each share of the total."""
     run = running(df, position, key, rank=None, total_of=area, total="_cum")
-    whole = df.agg(F.sum(area).alias("t")).scalar()
+    whole = run.agg(F.max("_cum").alias("t")).scalar()
     reached = run.withColumn("_share", F.col("_cum") / whole)
     return reached.agg(
         *[
