@@ -68,13 +68,14 @@ def tvar(spark, sf):
     di AS (SELECT district_id, year_id, sum(loss) AS loss FROM ylt_indep WHERE loss > 0 GROUP BY 1, 2),
     ri AS (SELECT *, row_number() OVER (PARTITION BY district_id ORDER BY loss DESC, year_id) AS rn FROM di),
     ti AS (SELECT district_id, sum(loss) / 10 AS tvar99 FROM ri WHERE rn <= 10 GROUP BY district_id)
-    SELECT tl.district_id, round(100 * (tl.tvar99 - coalesce(ti.tvar99, 0)) / greatest(coalesce(ti.tvar99, 0), 1e-9), 4) AS uplift_pct
-    FROM tl LEFT JOIN ti ON tl.district_id = ti.district_id WHERE coalesce(ti.tvar99, 0) > 0"""))
+    SELECT tl.district_id, round(100 * (round(tl.tvar99, 6) - round(coalesce(ti.tvar99, 0), 6)) / greatest(round(coalesce(ti.tvar99, 0), 6), 1e-9), 4) AS uplift_pct
+    FROM tl LEFT JOIN ti ON tl.district_id = ti.district_id"""))
 def uplift(spark, sf):
     e = exposure(spark, sf)
     a = T.tail_measures(T.district_years(ylt(spark, sf)), e, YEARS, names=("dep", "v1"))
     b = T.tail_measures(T.district_years(ylt(spark, sf, "ylt_indep")), e, YEARS, names=("ind", "v2"))
-    out = a.join(b, "district_id").where("ind > 0")
+    # Rounded first: on the floor of 1e-9 the last digit of a sum would show.
+    out = a.join(b, "district_id").withColumns({c: F.round(c, 6) for c in ("dep", "ind")})
     return out.select("district_id", F.round(T.tail_uplift_pct(F.col("dep"), F.col("ind")), 4).alias("uplift_pct"))
 
 

@@ -88,7 +88,7 @@ def loss_drivers(df: DataFrame, out: str = "driver") -> DataFrame:
     df = df.withColumn("_n", F.when(F.size("_n") > 0, F.col("_n")).otherwise(F.slice("_r", 1, 1)))
     pct = lambda i: F.concat(F.bround(100 * share(F.col("_n")[i]), 0).cast("int").cast("string"), F.lit("%"))
     names = F.array_join(F.transform(F.slice("_n", 1, 3), lambda p: p["peril"]), " + ")
-    cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 100))
+    cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
     text = F.when(
         F.size("_n") == 1, F.concat(cap(F.col("_n")[0]["peril"]), F.lit("-dominated ("), pct(0), F.lit(" of E[loss])"))
     ).otherwise(F.concat(cap(names), F.lit(" ("), pct(0), F.lit(" / "), F.try_element_at(F.transform("_n", lambda p: F.concat(F.bround(100 * share(p), 0).cast("int").cast("string"), F.lit("%"))), F.lit(2)), F.lit(")")))
