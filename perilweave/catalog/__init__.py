@@ -8,7 +8,7 @@ from .base import ORACLES, QUERIES
 
 MODULES = (
     "ingest", "sinks", "rules", "lookups", "spatial", "raster", "weather", "tail", "scores",
-    "simulation", "rating", "reports", "streams",
+    "distributions", "rating", "reports", "streams",
 )
 
 

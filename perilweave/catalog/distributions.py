@@ -1,4 +1,4 @@
-"""Distribution functions, copulas, draws, calibration and simulated years."""
+"""Distribution functions, copulas and calibration."""
 
 from __future__ import annotations
 
@@ -7,27 +7,18 @@ from pyspark.sql import functions as F
 from ..functions import copula as C
 from ..functions.draws import uniform
 from ..functions.normal import with_norm_cdf, with_norm_ppf
-from ..operators.ordering import as_scalar
 from ..plans import assumptions as A
-from ..plans import simulate as S
 from ..plans.calibrate import calibrate_loading, frequency_multipliers, loadings
-from ..plans.marginals import marginal_frequency
+from ..plans.marginals import FACTOR_ORDER, implied_factor, marginal_frequency, pair_strength
 from . import sqltext as Q
 from .base import load_input, query, sql
 from .rules import FREQ, MULT
 
-SIM_YEARS = 400
-
 
 def scored(spark, sf):
     return load_input(spark, sf, "scored")
 
 
-def params(spark, sf, **kw):
-    s = scored(spark, sf)
-    return S.district_parameters(s, as_scalar(frequency_multipliers(s)), **kw)
-
-
 def order_draws(spark, sf):
     """One uniform per order, three independent ones for copula checks."""
     o = load_input(spark, sf, "orders")
@@ -93,7 +84,7 @@ def gumbel_h_inverse(spark, sf):
     SELECT o_orderkey, round(exp(-pow(-ln(t) / s, 1 / 22e-1)), 8) AS u1, round(exp(-pow(-ln(1 - t) / s, 1 / 22e-1)), 8) AS u2 FROM f""")
 def gumbel_pair(spark, sf):
     th = F.lit(2.2)
-    s = C.stable_frailty(th, F.lit(S.PI) * F.col("u"), -F.log("v"))
+    s = C.stable_frailty(th, F.lit(3.141592653589793) * F.col("u"), -F.log("v"))
     d = order_draws(spark, sf).withColumn("s", s)
     return d.select(
         "o_orderkey", F.round(C.gumbel_margin(-F.log("t"), F.col("s"), th), 8).alias("u1"),
@@ -109,14 +100,33 @@ def gaussian_conditional(spark, sf):
     return with_norm_cdf(d, {"t": "s"}).select("o_orderkey", F.round("t", 8).alias("t"))
 
 
-@query("f9_implied_correlation", sql("scored", MULT + ", " + Q.PARAMS + """,
-    r AS (SELECT district_id, sin(pi() * (1 - 1 / th_fl) / 2) AS f, sin(pi() * (1 - 1 / th_gw) / 2) AS g, sin(pi() * (1 - 1 / th_sub) / 2) AS s FROM pm),
-    k AS (SELECT district_id, f, g, s, f * g + 25e-2 * sqrt((1 - f * f) * (1 - g * g)) AS fg, g * s + 25e-2 * 15e-2 * sqrt((1 - g * g) * (1 - s * s)) AS gs FROM r)
-    SELECT district_id, round(f, 6) AS c_10, round(sqrt(1 - f * f), 6) AS c_11, round((fg - f * g) / sqrt(1 - f * f), 6) AS c_21,
-      round(sqrt(1 - g * g - pow((fg - f * g) / sqrt(1 - f * f), 2)), 6) AS c_22 FROM k"""))
+def _factor_sql() -> str:
+    """CTEs ending in ``f5``: the factor column by column."""
+    rho = A.Assumptions().rho
+    partial = lambda a, b: rho[b] if a == "fl" else rho[a] if b == "fl" else rho[a] * rho[b]
+    out = "f0 AS (SELECT district_id, " + ", ".join(
+        f"sin(pi() * (1 - 1 / th_{k}) / 2) AS r_{k}" for k in FACTOR_ORDER[1:]
+    ) + " FROM pm)"
+    for j, a in enumerate(FACTOR_ORDER):
+        done = lambda i: " + ".join(["0e0", *(f"c_{i}{m} * c_{j}{m}" for m in range(j))])  # noqa: E731,B023
+        out += f",\n    g{j} AS (SELECT *, sqrt(1 - ({done(j)})) AS c_{j}{j} FROM f{j})"
+        rest = ""
+        for i in range(j + 1, 5):
+            b = FACTOR_ORDER[i]
+            corr = f"r_{b}" if a == "wx" else f"(r_{a} * r_{b} + {partial(a, b)!r} * sqrt((1 - r_{a} * r_{a}) * (1 - r_{b} * r_{b})))"
+            rest += f", ({corr} - ({done(i)})) / c_{j}{j} AS c_{i}{j}"
+        out += f",\n    f{j + 1} AS (SELECT *{rest} FROM g{j})"
+    return out
+
+
+FACTORS = [f"c_{i}{j}" for i in range(5) for j in range(i + 1)]
+
+
+@query("f9_implied_correlation", sql("scored", MULT + ", " + Q.PARAMS + ", " + _factor_sql() + """
+    SELECT district_id, """ + ", ".join(f"round({c}, 6) AS {c}" for c in FACTORS) + " FROM f5"))
 def implied(spark, sf):
-    p = params(spark, sf)
-    return p.select("district_id", *[F.round(c, 6).alias(c) for c in ("c_10", "c_11", "c_21", "c_22")])
+    p = implied_factor(pair_strength(scored(spark, sf)))
+    return p.select("district_id", *[F.round(c, 6).alias(c) for c in FACTORS])
 
 
 @query("f10_mix_systemic", f"""WITH {DRAWN}, z AS (SELECT o_orderkey, {Q.ppf('u')} AS a, {Q.ppf('v')} AS b FROM o),
@@ -156,59 +166,6 @@ def loading(spark, sf):
     )
 
 
-@query("j15_district_draws", sql("scored", Q.draws(SIM_YEARS) + """
-    SELECT district_id, year_id, round(angle, 8) AS angle, round(z1, 8) AS z1, round(ui_fl, 8) AS ui_fl FROM scored CROSS JOIN dr"""))
-def district_draws(spark, sf):
-    rows = S.district_draws(scored(spark, sf).select("district_id"), S.draw_years(spark, SIM_YEARS), SIM_YEARS)
-    return rows.select("district_id", "year_id", *[F.round(c, 8).alias(c) for c in ("angle", "z1", "ui_fl")])
-
-
-def summed(ylt):
-    return ylt.groupBy("district_id", "peril").agg(
-        F.count(F.lit(1)).alias("claims"), F.round(F.sum("loss"), 2).alias("loss")
-    )
-
-
-SUMMED = "SELECT district_id, peril, count(*) AS claims, round(sum(loss), 2) AS loss FROM y GROUP BY 1, 2"
-HEAD = MULT + ", " + Q.PARAMS + ", " + Q.draws(SIM_YEARS)
-
-
-@query("s10_year_losses_vine", sql("scored", HEAD + ", " + Q.vine() + ", " + Q.loss("vn", "y", A.PERILS) + SUMMED))
-def vine(spark, sf):
-    return summed(S.year_losses(params(spark, sf, gaussian=False), S.draw_years(spark, SIM_YEARS), SIM_YEARS, "vine"))
-
-
-@query("s10_year_losses_independent", sql("scored", HEAD + ", " + Q.vine() + """,
-    ind AS (SELECT vn.* EXCLUDE (u_fl, u_sub, u_gw, u_er), ui_fl AS u_fl, ui_sub AS u_sub, ui_gw AS u_gw, ui_er AS u_er FROM vn), """ + Q.loss("ind", "y", A.PERILS) + SUMMED))
-def independent(spark, sf):
-    return summed(S.year_losses(params(spark, sf, gaussian=False), S.draw_years(spark, SIM_YEARS), SIM_YEARS, "independent"))
-
-
-@query("s10_year_losses_gaussian", sql("scored", HEAD + """,
-    r AS (SELECT pm.*, sin(pi() * (1 - 1 / th_fl) / 2) AS f, sin(pi() * (1 - 1 / th_gw) / 2) AS g FROM pm),
-    k AS (SELECT r.*, (f * g + 25e-2 * sqrt((1 - f * f) * (1 - g * g)) - f * g) / sqrt(1 - f * f) AS c21 FROM r),
-    zz AS (SELECT k.*, dr.year_id, z1 AS zw, f * z1 + sqrt(1 - f * f) * z2 AS zf, g * z1 + c21 * z2 + sqrt(1 - g * g - c21 * c21) * z4 AS zg FROM k CROSS JOIN dr),
-    ug AS (SELECT *, """ + f"{Q.cdf('zw')} AS u_wx, {Q.cdf('zf')} AS u_fl, {Q.cdf('zg')} AS u_gw FROM zz), " + Q.loss("ug", "y", ("wx", "fl", "gw")) + SUMMED))
-def gaussian(spark, sf):
-    y = S.year_losses(params(spark, sf), S.draw_years(spark, SIM_YEARS), SIM_YEARS, "gaussian")
-    return summed(y).where("peril IN ('wx', 'fl', 'gw')")
-
-
-@query("s11_year_view", sql("scored", HEAD + ", " + Q.vine() + """,
-    zc AS (SELECT *, """ + ", ".join(f"least(greatest(u_{k}, 1e-12), 1 - 1e-12) AS c_{k}, 1 - q_{k} AS o_{k}" for k in A.INSURED) + """ FROM vn),
-    zs AS (SELECT *, """ + ", ".join(f"{Q.ppf(f'c_{k}')} AS zz_{k}, {Q.ppf(f'o_{k}')} AS t_{k}" for k in A.INSURED) + """ FROM zc),
-    sc AS (SELECT *, """ + ", ".join(f"(sqrt({w!r}) * zz_{k} - t_{k}) / sqrt(1 - {w!r}) AS sk_{k}" for k, w in A.BASE_LOADING.items()) + """ FROM zs),
-    cq AS (SELECT *, """ + ", ".join(f"{Q.cdf(f'sk_{k}')} AS cq_{k}" for k in A.INSURED) + """ FROM sc)
-    SELECT year_id, round(sum((""" + " + ".join(f"cq_{k} * exp(mu_{k} + {Q.SIGMA[k]} * {Q.SIGMA[k]} / 2)" for k in A.INSURED) + """) * households) / sum(households), 4) AS cond FROM cq GROUP BY year_id"""))
-def year_view(spark, sf):
-    p = params(spark, sf, loadings=dict(A.BASE_LOADING))
-    rows = S.simulate_rows(p, S.draw_years(spark, SIM_YEARS), SIM_YEARS, gaussian=False)
-    years = rows.join(p.select("district_id", "households"), "district_id").groupBy("year_id").agg(
-        F.round(F.sum(F.col("cond") * F.col("households")) / F.sum("households"), 4).alias("cond")
-    )
-    return years
-
-
 @query("g16_analytic_expected_loss", sql("scored", FREQ + """
     SELECT district_id, round(p_er * exp(ln(25e4) - 35e-2 * 35e-2 / 2 + 35e-2 * 35e-2 / 2), 4) AS el_er FROM p"""))
 def analytic(spark, sf):

@@ -13,8 +13,11 @@ from ..plans import rating as P
 from ..plans import scores as Sc
 from ..plans.marginals import pair_strength
 from .base import INPUTS, YEARS, load_input, query, sql
+from ..schema import SIMULATION_INPUTS, require_columns
+from .rules import FREQ
 from .scores import FLOOD
-from .tail import DENSE, DY, EL, PORT, exposure, r4, ylt
+from .sqltext import PARAMS
+from .tail import BOOT, DENSE, DY, EL, JOINT, PORT, exposure, r4, ylt
 
 YE = ["ylt", "exposure"]
 for _status, _name in (("F", "ylt_present"), ("O", "ylt_future")):
@@ -101,21 +104,86 @@ def identities(spark, sf):
     return Qy.result_identities(O.decile_group(published(spark, sf), "premium", "district_id"))
 
 
-@query("s13_rating_table")
-def rating_table(spark, sf):
-    s = load_input(spark, sf, "scored")
-    rated, _ = P.rate(s, 400)
-    return Rp.publish_rounded(rated)
+RATED = (
+    "name", "area", "country", "households", "sub_score", "wx_score", "fl_score", "gw_score", "f_high", "f_low", "sw_high", "sw_low",
+    "gw_frac", "sw_sev", "er_score", "el_sub", "el_wx", "el_fl", "el_gw", "el_er", "el_total", "el_total5", "var995_vine", "tvar99_vine",
+    "tvar99_indep", "tvar99_euler", "capital", "el_total_cc", "capital_cc", "premium_cc", "cc_uplift_pct", "cc_covered", "uplift_pct",
+    "tail_dep_wf", "tail_dep_ws", "tail_dep_wg", "tail_dep_we", "theta_wf", "theta_ws", "theta_wg", "theta_we", "premium", "group",
+)
+LETTERS = {"fl": "f", "sub": "s", "gw": "g", "er": "e"}
+
 
+def rated_table(spark, sf):
+    """Scores and supplied year-loss tables (dependent, independent, future) to the published table."""
+    from ..functions.rules import coverage_mask
 
-@query("s15_sensitivity_table")
-def sensitivity(spark, sf):
-    return P.sensitivity_table(load_input(spark, sf, "scored"), 200)
+    s = require_columns(pair_strength(load_input(spark, sf, "scored")), SIMULATION_INPUTS, "scores")
+    s = s.join(load_input(spark, sf, "country"), "district_id")
+    cov = s.select("district_id", coverage_mask(F.col("country"), F.col("share"), "EUROPE").alias("covered"))
+    e = exposure(spark, sf)
+    alone = T.tail_measures(T.district_years(ylt(spark, sf, "ylt_indep")), e, YEARS, names=("tvar99_indep", "_v"))
+    r = P.reprice(priced(spark, sf, "ylt_present"), priced(spark, sf, "ylt_future"), cov)
+    r = r.join(alone.select("district_id", "tvar99_indep"), "district_id").withColumnsRenamed(
+        {"tvar99": "tvar99_vine", "var995": "var995_vine", "euler": "tvar99_euler"}
+    )
+    out = s.join(r, "district_id").withColumn("el_er", F.col("er_frac") / A.EROSION_YEARS * A.SEVERITY["er"])
+    out = out.withColumns(
+        {
+            "el_total5": F.col("el_total") + F.col("el_er"),
+            "uplift_pct": T.tail_uplift_pct(F.round("tvar99_vine", 6), F.round("tvar99_indep", 6)),
+            **{f"{c}_w{letter}": F.col(f"{c}_{peril}") for c in ("theta", "tail_dep") for peril, letter in LETTERS.items()},
+            "premium": F.round("premium", 6),
+        }
+    )
+    grouped = O.decile_group(Rp.fill_undefined(out), "premium", "district_id")
+    return require_columns(grouped, RATED, "rated table").select(*RATED)
+
+
+def _rated_sql() -> str:
+    theta = ", ".join(f"th_{k} AS theta_w{x}, 2 - pow(2e0, 1 / th_{k}) AS tail_dep_w{x}" for k, x in LETTERS.items())
+    kinds = {c: "text" for c in ("name", "area", "country", "group", "cc_covered")}
+    out = []
+    for c in RATED:
+        d, name = Rp.decimals_of(c), f'"{c}"'
+        out.append(name if c in kinds or d is None else f"round_even({name}, {d}) AS {name}")
+    return (
+        _side("ylt_present") + ",\n" + _side("ylt_future") + ",\n" + EL.replace("ylt", "ylt_present") + ",\n"
+        + DENSE.replace("FROM ylt WHERE", "FROM ylt_present WHERE") + ",\n" + FREQ + ",\n" + PARAMS.replace("CROSS JOIN m)", "CROSS JOIN one)").replace("pm AS", "one AS (SELECT 1e0 AS k_sub, 1e0 AS k_wx, 1e0 AS k_fl, 1e0 AS k_gw),\n    pm AS") + f""",
+    di AS (SELECT district_id, year_id, sum(loss) AS loss FROM ylt_indep WHERE loss > 0 GROUP BY 1, 2),
+    ri AS (SELECT *, row_number() OVER (PARTITION BY district_id ORDER BY loss DESC, year_id) AS rn FROM di),
+    ti AS (SELECT district_id, sum(loss) / 10 AS tv FROM ri WHERE rn <= 10 GROUP BY district_id),
+    c AS (SELECT district_id, country, coalesce(country = 'EUROPE' AND share >= 95e-2, FALSE) AS covered FROM country),
+    t AS (SELECT pm.* EXCLUDE (households), pm.households, {theta}, c.country, CAST(covered AS INT) AS cc_covered, el_sub, el_wx, el_fl, el_gw, el_total,
+        er_frac / 80 * 250000 AS el_er, el_total + er_frac / 80 * 250000 AS el_total5, tl.tvar99 AS tvar99_vine, tl.var995 AS var995_vine,
+        coalesce(tv, 0) AS tvar99_indep, x.eu AS tvar99_euler, 6e-2 * greatest(x.eu - x.el, 0) AS capital, round(x.premium, 6) AS premium,
+        y.el AS el_total_cc, 6e-2 * greatest(y.eu - y.el, 0) AS capital_cc, y.premium AS premium_cc,
+        CASE WHEN covered THEN 100 * (y.premium / greatest(x.premium, 1e-9) - 1) ELSE 0 END AS cc_uplift_pct,
+        100 * (round(tl.tvar99, 6) - round(coalesce(tv, 0), 6)) / greatest(round(coalesce(tv, 0), 6), 1e-9) AS uplift_pct
+      FROM pm JOIN el ON el.district_id = pm.district_id JOIN tl ON tl.district_id = pm.district_id LEFT JOIN ti ON ti.district_id = pm.district_id
+        JOIN s_eu x ON x.district_id = pm.district_id JOIN f_eu y ON y.district_id = pm.district_id JOIN c ON c.district_id = pm.district_id),
+    g AS (SELECT *, CAST(greatest(1, ceil((row_number() OVER (ORDER BY premium, district_id) - 1) * 10e0 / greatest(count(*) OVER () - 1, 1))) AS INT) AS "group" FROM t)
+    SELECT {", ".join(out)} FROM g"""
+    ).replace("    di AS", """    s_eu AS (SELECT a.district_id, a.el, a.eu, b.premium FROM e_ylt_present a JOIN p_ylt_present b USING (district_id)),
+    f_eu AS (SELECT a.district_id, a.el, a.eu, b.premium FROM e_ylt_future a JOIN p_ylt_future b USING (district_id)),
+    di AS""", 1)
+
+
+@query("s13_rating_table", sql(["ylt_present", "ylt_future", "ylt_indep", "exposure", "country", "scored"], _rated_sql()))
+def rating_table(spark, sf):
+    return Rp.publish_rounded(rated_table(spark, sf))
 
 
-@query("s16_dependence_report")
+@query("s16_dependence_report", sql(["ylt", "ylt_indep", "exposure"], BOOT + f""",
+    ja AS (SELECT count(*) / (SELECT count(*) * 1000e0 FROM exposure) AS p FROM {JOINT.format(t='ylt')} x),
+    jb AS (SELECT count(*) / (SELECT count(*) * 1000e0 FROM exposure) AS p FROM {JOINT.format(t='ylt_indep')} x),
+    pt AS (SELECT sum(loss) FILTER (run = 'dep') / max(k) AS dep, sum(loss) FILTER (run = 'ind') / max(k) AS ind FROM
+      (SELECT *, row_number() OVER (PARTITION BY run ORDER BY loss DESC, district_id, year_id) AS rn FROM bd) r CROSS JOIN k WHERE rn <= k)
+    SELECT round(ja.p, 6) AS multi_peril_vine, round(jb.p, 6) AS multi_peril_indep, round(CASE WHEN jb.p <> 0 THEN ja.p / jb.p END, 6) AS multi_peril_ratio,
+      round(dep, 6) AS tvar99_vine, round(ind, 6) AS tvar99_indep, round(100 * (dep / ind - 1), 6) AS tvar_uplift_pct,
+      round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM ja CROSS JOIN jb CROSS JOIN pt CROSS JOIN bci"""))
 def dependence(spark, sf):
-    return P.dependence_report(load_input(spark, sf, "scored"), 400)
+    n = exposure(spark, sf).count()
+    return r4(P.dependence_report(ylt(spark, sf), ylt(spark, sf, "ylt_indep"), n, YEARS), digits=6)
 
 
 @query("s21_level_check", sql(YE, EL + f""" SELECT round(avg(el_total), 4) AS modelled, CAST({A.LOSS_PER_POLICY!r} AS DOUBLE) AS published,

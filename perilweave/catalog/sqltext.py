@@ -39,20 +39,6 @@ def uniform(*parts: str) -> str:
     return f"((('0x' || substr(md5({key}), 1, 13))::BIGINT + 5e-1) / pow(16e0, 13))"
 
 
-DRAW_NAMES = ("angle", "w", "e1", "e2", "z1", "z2", "z3", "z4", "z5", "sub", "fl", "gw", "er")
-
-
-def draws(n_years: int, seed: int = 42) -> str:
-    """CTEs ending in ``dr``: one row of shared draws per year."""
-    u = ", ".join(f"{uniform(repr(str(seed)), repr(n), 'year_id')} AS u_{n}" for n in DRAW_NAMES)
-    z = ", ".join(f"{ppf(f'u_z{i}')} AS z{i}" for i in range(1, 6))
-    zi = ", ".join(f"{ppf(f'u_{k}')} AS zi_{k}" for k in ("sub", "fl", "gw"))
-    return f"""ys AS (SELECT CAST(range AS BIGINT) AS year_id FROM range({n_years})),
-    du AS (SELECT year_id, {u} FROM ys),
-    dr AS (SELECT year_id, 1e-9 + (3.141592653589793e0 - 2e-9) * u_angle AS angle, -ln(u_w) AS w, -ln(u_e1) AS e1, -ln(u_e2) AS e2,
-      {z}, u_sub AS ui_sub, u_fl AS ui_fl, u_gw AS ui_gw, u_er AS ui_er, {zi} FROM du)"""
-
-
 PARAMS = """pm AS (SELECT p.*, p_sub * k_sub AS q_sub, p_wx * k_wx AS q_wx, (p_river + p_surface) * k_fl AS q_fl, p_gw * k_gw AS q_gw, p_er AS q_er,
       ln(17820e0) - 81e-2 / 2 AS mu_sub, ln(2450e0) - 121e-2 / 2 AS mu_wx,
       (p_river * (ln(35e3) - 81e-2 / 2) + p_surface * (ln(18e3 * sw_sev) - 81e-2 / 2)) / (p_river + p_surface) AS mu_fl,
@@ -60,42 +46,3 @@ PARAMS = """pm AS (SELECT p.*, p_sub * k_sub AS q_sub, p_wx * k_wx AS q_wx, (p_r
       least(125e-2 + 125e-2 * sqrt(wx_score * sub_score), 25e-1) AS th_sub, least(14e-1 + 16e-1 * sqrt(wx_score * fl_score), 3e0) AS th_fl,
       least(13e-1 + 11e-1 * sqrt(wx_score * gw_score), 24e-1) AS th_gw, least(135e-2 + 13e-1 * sqrt(wx_score * er_score), 26e-1) AS th_er
     FROM p CROSS JOIN m)"""
-SIGMA = {"sub": "9e-1", "wx": "11e-1", "fl": "9e-1", "gw": "8e-1", "er": "35e-2"}
-
-
-def vine() -> str:
-    """CTEs ending in ``vn``: every district and year with u_wx .. u_er."""
-    keep = "district_id, year_id"
-    newton = ""
-    pairs = {"gw": "z4", "sub": "z3", "er": "z5"}
-    rho = {"gw": "25e-2", "sub": "15e-2", "er": "35e-2"}
-    for i in range(9):
-        cols = ", ".join(
-            f"d_{k} - (d_{k} + (th_{k} - 1) * ln(1 + d_{k} / x) - g_{k}) * (x + d_{k}) / (x + d_{k} + th_{k} - 1) AS d_{k}" for k in pairs
-        )
-        others = "* EXCLUDE (" + ", ".join(f"d_{k}" for k in pairs) + ")"
-        newton += f",\n    n{i + 1} AS (SELECT {others}, {cols} FROM n{i})"
-    return f"""v0 AS (SELECT pm.*, dr.*, sin(angle / th_fl) / pow(sin(angle), th_fl) * pow(sin((1 - 1 / th_fl) * angle) / w, th_fl - 1) AS s FROM pm CROSS JOIN dr),
-    v1 AS (SELECT *, least(greatest(pow(e1 / s, 1 / th_fl), 1e-12), -ln(1e-12)) AS x, least(greatest(pow(e2 / s, 1 / th_fl), 1e-12), -ln(1e-12)) AS xf,
-      least(greatest(pow((e1 + e2) / s, 1 / th_fl), 1e-12), -ln(1e-12)) AS y FROM v0),
-    v2 AS (SELECT *, least(greatest(exp(x - y) * pow(x / y, th_fl - 1), 1e-9), 1 - 1e-9) AS v FROM v1),
-    v3 AS (SELECT *, {ppf('v')} AS zv FROM v2),
-    v4 AS (SELECT *, {', '.join(f"{rho[k]} * zv + sqrt(1 - {rho[k]} * {rho[k]}) * {z} AS s_{k}" for k, z in pairs.items())} FROM v3),
-    v5 AS (SELECT *, {', '.join(f"-ln(least(greatest({cdf(f's_{k}')}, 1e-9), 1 - 1e-9)) AS g_{k}" for k in pairs)} FROM v4),
-    n0 AS (SELECT *, {', '.join(f"greatest(g_{k} * x / (x + th_{k} - 1), g_{k} - (th_{k} - 1) * ln(1 + g_{k} / x)) AS d_{k}" for k in pairs)} FROM v5){newton},
-    vn AS (SELECT *, exp(-x) AS u_wx, exp(-xf) AS u_fl, {', '.join(
-      f"least(greatest(exp(-x * pow(pow(1 + d_{k} / x, th_{k}) - 1, 1 / th_{k})), 1e-9), 1 - 1e-9) AS u_{k}" for k in pairs)} FROM n9)"""
-
-
-def claim(u: str, k: str) -> str:
-    """Inside probability of a claim, NULL where there is none."""
-    return f"CASE WHEN {u} > 1 - q_{k} THEN least(greatest(({u} - (1 - q_{k})) / q_{k}, 1e-12), 1 - 1e-12) END"
-
-
-def loss(source: str, name: str, perils, prefix: str = "u") -> str:
-    """CTEs ``name``: the year-loss table of probabilities u_<peril> in ``source``."""
-    parts = " UNION ALL ".join(
-        f"SELECT district_id, year_id, '{k}' AS peril, mu_{k} AS mu, {SIGMA[k]} AS sg, {claim(f'{prefix}_{k}', k)} AS ins FROM {source}" for k in perils
-    )
-    return f"""{name}_c AS ({parts}),
-    {name} AS (SELECT district_id, year_id, peril, exp(mu + sg * ({ppf('ins')})) AS loss FROM {name}_c WHERE ins IS NOT NULL)"""

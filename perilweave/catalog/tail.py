@@ -8,6 +8,7 @@ from ..operators import ordering as O
 from ..operators import tail as T
 from ..operators import years as Y
 from .base import YEARS, load_input, query, sql
+from .sqltext import uniform
 
 
 def ylt(spark, sf, name="ylt"):
@@ -208,10 +209,23 @@ def joint(spark, sf):
     return one("dependent", "ylt").unionByName(one("independent", "ylt_indep"))
 
 
-@query("g28_bootstrap_ci")
+WEIGHT = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in T.poisson_one())
+# k is a hundredth of all district-years, those without a loss included
+BOOT = f"""k AS (SELECT greatest(CAST(floor(count(*) * 1000 * (1 - 99e-2)) AS BIGINT), 1) AS k FROM exposure),
+    bd AS (SELECT 'dep' AS run, district_id, year_id, sum(loss) AS loss FROM ylt WHERE loss > 0 GROUP BY 2, 3
+      UNION ALL SELECT 'ind', district_id, year_id, sum(loss) FROM ylt_indep WHERE loss > 0 GROUP BY 2, 3),
+    bu AS (SELECT bd.*, rep, {uniform("'3'", "'boot'", 'rep', 'district_id', 'year_id')} AS u FROM bd CROSS JOIN (SELECT range + 1 AS rep FROM range(120)) r),
+    bw AS (SELECT *, {WEIGHT} AS w FROM bu),
+    bh AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY run, rep ORDER BY loss DESC, district_id, year_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM bw),
+    bt AS (SELECT rep, sum(CASE WHEN run = 'dep' THEN part END) AS dep, sum(CASE WHEN run = 'ind' THEN part END) AS ind
+      FROM (SELECT run, rep, least(w, greatest(k - held, 0)) * loss AS part FROM bh CROSS JOIN k) x GROUP BY rep),
+    bci AS (SELECT quantile_cont(100 * (dep / ind - 1), 25e-3) AS ci_low, quantile_cont(100 * (dep / ind - 1), 975e-3) AS ci_high FROM bt)"""
+
+
+@query("g28_bootstrap_ci", sql(["ylt", "ylt_indep", "exposure"], BOOT + " SELECT round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM bci"))
 def bootstrap(spark, sf):
     n = exposure(spark, sf).count() * YEARS
-    return T.bootstrap_ci(T.district_years(ylt(spark, sf)), T.district_years(ylt(spark, sf, "ylt_indep")), n)
+    return r4(T.bootstrap_ci(T.district_years(ylt(spark, sf)), T.district_years(ylt(spark, sf, "ylt_indep")), n), digits=6)
 
 
 @query("g29_rank_agreement", sql(["ylt", "ylt_indep", "exposure"], """

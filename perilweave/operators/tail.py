@@ -7,12 +7,14 @@ order statistics run over positive rows only: missing ranks are zeros.
 
 from __future__ import annotations
 
-from math import ceil, floor
+from math import ceil, exp, floor, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.draws import uniform
+from ..session import materialize
 from .ordering import as_scalar, quantiles, running
 from .years import worst_years
 
@@ -243,57 +245,63 @@ def kendall_tau(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
     )
 
 
-# Cumulative probabilities of a Poisson variable with mean 1.
-POISSON_ONE = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-    0.999998874797402, 0.9999998885745217,
-)
+def poisson_one() -> list[float]:
+    """Cumulative probabilities of a Poisson variable with mean 1, as far as a 52-bit draw can tell."""
+    term, total, out = exp(-1.0), 0.0, []
+    while total < 1 - 2.0**-53:
+        total += term
+        out.append(total)
+        term /= len(out)
+    return out
+
+
+def with_resampling_weight(df: DataFrame, seed: int, replicate: str = "rep") -> DataFrame:
+    """Add ``w``, the Poisson(1) weight of a district-year in a replicate, from a digest of its key."""
+    u = uniform(seed, "boot", F.col(replicate), F.col(KEY), F.col(YEAR))
+    above = sum((F.when(F.col("_u") > c, 1).otherwise(0) for c in poisson_one()), F.lit(0))
+    return df.withColumn("_u", u).withColumn("w", above).drop("_u")
+
+
+def pooled_tail(dependent: DataFrame, independent: DataFrame, n_total: int, q: float = 0.99) -> DataFrame:
+    """One row: mean of the largest (1 - q) of all district-years in either run."""
+    k, parts = tail_count(n_total, q), []
+    for run in (dependent, independent):
+        ranked = running(run.withColumn("_id", F.xxhash64(KEY, YEAR)), "loss", "_id", descending=True, rank="_rn")
+        parts.append(ranked.where(F.col("_rn") <= k).agg((F.sum("loss") / k).alias("t")).select("t").scalar())
+    return dependent.sparkSession.range(1).select(parts[0].alias("dep"), parts[1].alias("ind"))
 
 
 def bootstrap_ci(
     dependent: DataFrame, independent: DataFrame, n_total: int, replicates: int = 120,
-    q: float = 0.99, seed: int = 3, block: int = 1024,
+    q: float = 0.99, seed: int = 3,
 ) -> DataFrame:
     """One row: interval of the pooled tail uplift over resampled district-years.
 
-    A district-year enters a replicate with a Poisson(1) weight hashed from its
-    key, the same in both runs. Rows are ranked once; weights are added up per
-    block of ranks, and only the block in which a replicate's tail ends is
-    opened row by row.
+    A district-year enters a replicate with a Poisson(1) weight from a digest
+    of its key, the same in both runs. Rows are ranked once. Only the head that
+    can hold the tail of some replicate is drawn: as long as the weights of a
+    replicate do not fill its tail, the head doubles.
     """
-    k = tail_count(n_total, q)
-    runs = dependent.select(F.lit("dep").alias("run"), KEY, YEAR, "loss").unionByName(
-        independent.select(F.lit("ind").alias("run"), KEY, YEAR, "loss")
-    ).withColumn("_id", F.xxhash64("run", KEY, YEAR))
-    parts = []
-    for run in ("dep", "ind"):
-        ranked = running(runs.where(F.col("run") == run), "loss", "_id", descending=True, rank="rn")
-        # Resampling reaches past rank k, never past the positive rows.
-        parts.append(ranked.withColumn("block", F.floor((F.col("rn") - 1) / block)))
-    rows = parts[0].unionByName(parts[1])
-    draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "rep", KEY, YEAR), F.lit(2**52)) + 0.5) / float(2**52)
-    weight = sum((F.when(F.col("u") > c, 1).otherwise(0) for c in POISSON_ONE), F.lit(0))
-    draws = draws.withColumn("u", u).withColumn("w", weight).where("w > 0").drop("u")
-    sums = draws.groupBy("run", "rep", "block").agg(
-        F.sum("w").alias("bw"), F.sum(F.col("w") * F.col("loss")).alias("bl")
-    )
-    upto = Window.partitionBy("run", "rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("bw").over(upto), F.lit(0)))
-    whole = sums.where(F.col("before") + F.col("bw") <= k).select("run", "rep", F.col("bl").alias("part"))
-    split = sums.where((F.col("before") < k) & (F.col("before") + F.col("bw") > k)).select(
-        "run", "rep", "block", "before"
-    )
-    inside = Window.partitionBy("run", "rep").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    opened = draws.join(split, ["run", "rep", "block"]).withColumn(
-        "held", F.col("before") + F.coalesce(F.sum("w").over(inside), F.lit(0))
-    )
-    partial = opened.where(F.col("held") < k).select(
-        "run", "rep", (F.least(F.col("w"), F.lit(k) - F.col("held")) * F.col("loss")).alias("part")
-    )
-    tails = whole.unionByName(partial).groupBy("rep").agg(
-        *[F.sum(F.when(F.col("run") == r, F.col("part"))).alias(r) for r in ("dep", "ind")]
-    )
-    uplift = tails.withColumn("uplift", 100 * (F.col("dep") / F.col("ind") - 1))
+    k, runs = tail_count(n_total, q), []
+    for name, run in (("dep", dependent), ("ind", independent)):
+        run = run.select(F.lit(name).alias("run"), KEY, YEAR, "loss").withColumn("_id", F.xxhash64(KEY, YEAR))
+        runs.append(running(run, "loss", "_id", descending=True, rank="rn"))
+    ranked = materialize(runs[0].unionByName(runs[1]).drop("_id"), "ranked")
+    head = int(k + 8 * sqrt(k) + 64)
+    while True:
+        rows = ranked.where(F.col("rn") <= head)
+        draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+        draws = with_resampling_weight(draws, seed).where("w > 0")
+        upto = Window.partitionBy("run", "rep").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+        held = draws.withColumn("held", F.coalesce(F.sum("w").over(upto), F.lit(0)))
+        part = F.least(F.col("w"), F.greatest(F.lit(k) - F.col("held"), F.lit(0))) * F.col("loss")
+        tails = materialize(held.groupBy("run", "rep").agg(F.sum(part).alias("tail"), F.sum("w").alias("drawn")), "tails")
+        short = tails.where(F.col("drawn") < k).select("run").distinct()
+        longer = ranked.join(short, "run", "left_semi").where(F.col("rn") > head)
+        if longer.isEmpty():
+            break
+        head *= 2
+    uplift = tails.groupBy("rep").agg(
+        *[F.sum(F.when(F.col("run") == r, F.col("tail"))).alias(r) for r in ("dep", "ind")]
+    ).withColumn("uplift", 100 * (F.col("dep") / F.col("ind") - 1))
     return quantiles(uplift, {"ci_low": ("uplift", 0.025), "ci_high": ("uplift", 0.975)})

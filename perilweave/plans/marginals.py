@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.copula import kendall_tau, log_median_for_mean, upper_tail_dependence
+from ..functions.copula import implied_rho, kendall_tau, log_median_for_mean, tau_matched_rho, upper_tail_dependence
 from . import assumptions as A
 
 
@@ -85,3 +85,28 @@ def analytic_expected_loss(peril: str) -> Column:
     """Frequency times mean claim, for a peril too rare to draw."""
     s = F.col(f"sigma_{peril}")
     return F.col(f"p_{peril}") * F.exp(F.col(f"mu_{peril}") + s * s / 2)
+
+
+FACTOR_ORDER = ("wx", "fl", "gw", "sub", "er")
+
+
+def implied_factor(df: DataFrame, assumptions: A.Assumptions = A.Assumptions()) -> DataFrame:
+    """Add the triangular factor of the tau-matched 5 x 5 correlation, as columns c_ij."""
+    rho = dict(assumptions.rho)
+    df = df.withColumns({f"r_{k}": tau_matched_rho(F.col(f"theta_{k}")) for k in A.THETA})
+    partial = lambda a, b: (
+        rho[b] if a == "fl" else rho[a] if b == "fl" else rho[a] * rho[b]
+    )
+
+    def corr(i: int, j: int) -> Column:
+        a, b = FACTOR_ORDER[j], FACTOR_ORDER[i]
+        if a == "wx":
+            return F.col(f"r_{b}")
+        return implied_rho(F.col(f"r_{a}"), F.col(f"r_{b}"), F.lit(partial(a, b)))
+
+    for j in range(5):
+        done = lambda i: sum((F.col(f"c_{i}{m}") * F.col(f"c_{j}{m}") for m in range(j)), F.lit(0.0))  # noqa: E731,B023
+        df = df.withColumn(f"c_{j}{j}", F.sqrt(1 - done(j)))
+        rest = {f"c_{i}{j}": (corr(i, j) - done(i)) / F.col(f"c_{j}{j}") for i in range(j + 1, 5)}
+        df = df.withColumns(rest) if rest else df
+    return df

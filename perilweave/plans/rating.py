@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,97 +40,21 @@ def repricing_summary(repriced: DataFrame) -> DataFrame:
     )
 
 
-def rate(scored: DataFrame, n_years: int, seed: int = 42, calibration=None, assumptions: A.Assumptions = A.Assumptions(), gaussian: bool = True):
-    """Simulate, price and group a scored table; returns (rated table, simulation)."""
-    from ..operators.ordering import decile_group
-    from .calibrate import loadings
-    from .simulate import simulate
-
-    multiplier, factor = calibration or calibrate(scored)
-    sim = simulate(scored, n_years, seed, multiplier, loadings(factor), assumptions, gaussian)
-    results = price(sim.districts.drop("households"))
-    rated = scored.join(results, "district_id")
-    return decile_group(rated, "premium", "district_id"), sim
-
-
-def calibrate(scored: DataFrame) -> tuple[dict[str, float], float]:
-    """Frequency multipliers and loading factor: five numbers, held fixed in scenarios."""
-    from .calibrate import calibrate_loading, frequency_multipliers
-    from .marginals import marginal_frequency
-
-    multiplier = frequency_multipliers(scored).first().asDict()
-    return multiplier, calibrate_loading(marginal_frequency(scored, multiplier))
-
-
-def sensitivity_table(
-    scored: DataFrame, n_years: int = 8_000, step: int = 3, seed: int = 42, scenarios=A.SCENARIOS
+def dependence_report(
+    dependent: DataFrame, independent: DataFrame, n_districts: int, n_years: int, replicates: int = 120
 ) -> DataFrame:
-    """One row per scenario: cost, premium, tail and group churn on a systematic sample.
-
-    Calibration comes from the full table and stays; draws are shared, so every
-    scenario is paired with the baseline.
-    """
-    from ..operators.lookup import compare_groups
-    from ..operators.sampling import systematic_sample
-    from ..operators.years import bucket_summary
-    from ..session import materialize
-
-    calibration = calibrate(scored)
-    sample = materialize(systematic_sample(scored, "district_id", step), "sample")
-    weight = sample.agg(F.sum("households").alias("w")).scalar()
-    kept = ("district_id", "el_total", "el_er", "premium", "group", "tvar99_vine", "uplift_pct")
-
-    def run(scenario: A.Assumptions) -> tuple[DataFrame, DataFrame]:
-        rated, sim = rate(sample, n_years, seed, calibration, scenario, gaussian=False)
-        return materialize(rated.select(*kept), "rated"), materialize(sim.years, "portfolio")
-
-    # scenarios are independent jobs: submit a few at a time
-    with ThreadPoolExecutor(4) as pool:
-        results = list(pool.map(run, scenarios))
-    base, parts = results[0][0], []
-    for scenario, (rated, years) in zip(scenarios, results):
-        buckets = bucket_summary(years, weight, n_years, "indep").where("bucket = 'catastrophic'")
-        means = rated.agg(
-            *[F.round(F.avg(c), d).alias(n) for n, c, d in (
-                ("mean_el", "el_total", 1), ("mean_premium", "premium", 1), ("mean_el_erosion", "el_er", 1),
-                ("mean_tvar99", "tvar99_vine", 1), ("mean_uplift_pct", "uplift_pct", 2),
-            )]
-        )
-        cat = buckets.select(F.struct("mean_total", "indep_mean_total").alias("c")).scalar()
-        churn = compare_groups(base, rated, "district_id", "group").select("churn_pct").scalar()
-        parts.append(
-            means.select(
-                F.lit(scenario.name).alias("scenario"), "*",
-                F.round(cat["mean_total"], 1).alias("cat_year_cost"),
-                F.round(100 * (cat["mean_total"] - cat["indep_mean_total"]) / cat["indep_mean_total"], 1).alias("cat_vs_indep_pct"),
-                F.round(churn, 1).alias("group_churn_pct"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def dependence_report(scored: DataFrame, n_years: int, seed: int = 11, replicates: int = 120) -> DataFrame:
-    """One row: joint claims and pooled tail uplift of the vine against independence."""
+    """One row: joint claims and pooled tail uplift of a year-loss table against an independent one."""
     from ..operators import tail as T
-    from ..session import materialize
-    from .simulate import district_parameters, draw_years, year_losses
-    from .calibrate import frequency_multipliers
     from ..operators.ordering import as_scalar
 
-    params = materialize(district_parameters(scored, as_scalar(frequency_multipliers(scored)), gaussian=False), "params")
-    draws = draw_years(scored.sparkSession, n_years, seed)
-    n = scored.agg(F.count(F.lit(1)).alias("n")).scalar()
-    run = {s: materialize(year_losses(params, draws, n_years, s, perils=A.INSURED), s) for s in ("vine", "independent")}
-    joint = {s: T.joint_peril_probability(y, n, n_years).select("probability").scalar() for s, y in run.items()}
-    years = {s: T.district_years(y) for s, y in run.items()}
-    total = scored.count() * n_years
-    k = T.tail_count(total, 0.99)
-    tail = {s: y.orderBy(F.desc("loss"), "district_id", "year_id").limit(k).agg((F.sum("loss") / k).alias("t")).scalar() for s, y in years.items()}
-    ci = T.bootstrap_ci(years["vine"], years["independent"], total, replicates)
+    joint = lambda y: T.joint_peril_probability(y, n_districts, n_years).select("probability").scalar()
+    years = [T.district_years(y) for y in (dependent, independent)]
+    pooled = as_scalar(T.pooled_tail(*years, n_districts * n_years))
+    ci = T.bootstrap_ci(*years, n_districts * n_years, replicates)
+    a, b = joint(dependent), joint(independent)
     return ci.select(
-        joint["vine"].alias("multi_peril_vine"), joint["independent"].alias("multi_peril_indep"),
-        F.try_divide(joint["vine"], joint["independent"]).alias("multi_peril_ratio"),
-        tail["vine"].alias("tvar99_vine"), tail["independent"].alias("tvar99_indep"),
-        (100 * (tail["vine"] / tail["independent"] - 1)).alias("tvar_uplift_pct"),
-        F.col("ci_low"), F.col("ci_high"),
+        a.alias("multi_peril_vine"), b.alias("multi_peril_indep"), F.try_divide(a, b).alias("multi_peril_ratio"),
+        pooled["dep"].alias("tvar99_vine"), pooled["ind"].alias("tvar99_indep"),
+        (100 * (pooled["dep"] / pooled["ind"] - 1)).alias("tvar_uplift_pct"),
+        "ci_low", "ci_high",
     )

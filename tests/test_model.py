@@ -9,7 +9,6 @@ from perilweave.operators import tail as T
 from perilweave.plans import assumptions as A
 from perilweave.plans import marginals as M
 from perilweave.plans import scores as Sc
-from perilweave.plans import simulate as S
 from perilweave.plans.calibrate import calibrate_loading, frequency_multipliers, tail_frequency, weighted_mean
 
 
@@ -84,58 +83,10 @@ def test_calibration_hits_targets(spark):
     assert r.tail / r.mean == pytest.approx(2.0, rel=1e-6)
 
 
-@pytest.fixture(scope="module")
-def uniforms(spark):
-    """20,000 years of one district at fixed dependence."""
-    n = 20_000
-    p = spark.createDataFrame([(0, 2.6, 1.7, 1.9, 2.1)], "district_id long, theta_fl double, theta_gw double, theta_sub double, theta_er double")
-    rows = S.with_vine(S.district_draws(p, S.draw_years(spark, n), n))
-    return rows.select("year_id", *[f"u_{k}" for k in A.PERILS]).toPandas()
-
-
-def test_vine_margins_are_uniform(uniforms):
-    n = len(uniforms)
-    for k in A.PERILS:
-        u = np.sort(uniforms[f"u_{k}"].to_numpy())
-        gap = np.maximum(np.arange(1, n + 1) / n - u, u - np.arange(n) / n).max()
-        assert gap < 1.63 / np.sqrt(n), k
-
-
-def test_vine_pairs_recover_kendall_tau(spark, uniforms):
-    part = spark.createDataFrame(uniforms.head(6000))
-    for k, theta in (("fl", 2.6), ("gw", 1.7), ("sub", 1.9), ("er", 2.1)):
-        tau = T.kendall_tau(part, "u_wx", f"u_{k}", "year_id").first().tau
-        assert abs(tau - (1 - 1 / theta)) < 0.03, k
-
-
-def test_gumbel_keeps_joint_extremes(uniforms):
-    both = ((uniforms.u_wx > 0.99) & (uniforms.u_fl > 0.99)).mean() / 0.01
-    assert both > 0.5 * (2 - 2 ** (1 / 2.6))
-
-
 def test_gaussian_factor_exists_over_the_whole_range(spark):
     g = spark.range(12).selectExpr("1 + id * 2D / 11 AS t")
     g = g.select(F.col("t").alias("theta_sub")).crossJoin(g.select(F.col("t").alias("theta_fl"))).crossJoin(
         g.select(F.col("t").alias("theta_gw"))
     ).withColumn("theta_er", F.col("theta_sub"))
-    f = S.with_gaussian_factor(g.where("theta_fl < 3 AND theta_sub < 3 AND theta_gw < 3"), A.Assumptions())
+    f = M.implied_factor(g.where("theta_fl < 3 AND theta_sub < 3 AND theta_gw < 3"))
     assert f.where(F.isnan("c_44") | F.col("c_44").isNull() | F.isnan("c_33")).count() == 0
-
-
-def test_simulation_identities_and_stability(spark):
-    s = spark.createDataFrame(random_fields(60))
-    runs = [S.simulate(s, 20_000, seed, loadings=dict(A.BASE_LOADING), gaussian=seed == 42) for seed in (42, 43)]
-    a = runs[0].districts.toPandas().set_index("district_id")
-    assert np.allclose(a.el_total5, a.el_total + a.el_er)
-    assert np.allclose(a.el_total, a.el_sub + a.el_wx + a.el_fl + a.el_gw)
-    assert (a.tvar99_vine5 >= a.tvar99_vine - 1e-6).all()
-    want = s.toPandas().set_index("district_id").er_frac / 80 * 250000
-    assert np.allclose(a.el_er, want.loc[a.index])
-    r = T.rank_agreement(runs[0].districts, runs[1].districts, "tvar99_euler").first()
-    assert r.corr > 0.95 and r.median_move < 0.12
-    years = runs[0].years.toPandas()
-    assert len(years) == 20_000 and (years.filter(like="loss_") >= 0).all().all()
-    # realised claims happen at the calibrated frequency
-    p = S.district_parameters(s, gaussian=False).toPandas().set_index("district_id")
-    share = years.hit_wx.mean() / p.households.sum()
-    assert share == pytest.approx(np.average(p.p_wx, weights=p.households), rel=0.15)
