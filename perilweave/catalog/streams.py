@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..sources.sinks import read_complete, write_complete
 from ..streaming.ingest import annual_maxima_stream, ingest_pages_stream
 from .base import load_input, query
 
@@ -21,7 +22,9 @@ def pages(spark, sf):
     o = load_input(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     # landed pages overlap: every row is in two of them
     o.unionByName(o).repartition(8).write.parquet(f"{root}/landed")
-    done = ingest_pages_stream(spark, f"{root}/landed", o.schema, "o_orderkey", f"{root}/staged", f"{root}/checkpoint")
+    staged = ingest_pages_stream(spark, f"{root}/landed", o.schema, "o_orderkey", f"{root}/staged", f"{root}/checkpoint")
+    write_complete(staged, f"{root}/orders", o.agg(F.count(F.lit(1)).alias("n")))
+    done = read_complete(spark, f"{root}/orders", o.schema)
     return done.groupBy((F.col("o_custkey") % 7).alias("part")).agg(
         F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,16 +96,28 @@ def drop_incomplete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(how="any", subset=list(columns))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def _absent(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
+def read_if_present(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The parquet table at ``path``, or an empty one of the same shape if it is absent."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def optional_input(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """The table at ``path``, or an empty one of the same shape if it is absent."""
-    if _exists(spark, path):
+    """The CSV table at ``path``, or an empty one of the same shape if it is absent."""
+    try:
         return read_keyed_csv(spark, path, schema)
-    return spark.createDataFrame([], schema)
+    except AnalysisException as error:
+        if not _absent(error):
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def resume_by_partition(df: DataFrame, done: DataFrame, column: str, layout: DataFrame) -> DataFrame:

@@ -1,53 +1,69 @@
-"""Restartable ingest and daily maxima as Structured Streaming jobs."""
+"""Restartable ingest and daily maxima as Structured Streaming jobs.
+
+State lives in the tables that the micro-batches write, one folder a batch, so
+nothing is forgotten and nothing is held for ever. A batch that is run again
+writes its own folder anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.readers import read_if_present
+
+
+def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that micro-batches have written so far, with the number of each row's batch."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = T.StructType([*fields.fields, T.StructField("batch", T.LongType())])
+    return read_if_present(spark, path, whole)
+
+
+def _run(stream: DataFrame, take, checkpoint: str) -> None:
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query.start().awaitTermination()
 
 
 def ingest_pages_stream(spark: SparkSession, source: str, schema, key: str, staging: str, checkpoint: str) -> DataFrame:
-    """Take in all landed page files once, drop repeated rows, and return the staged table.
+    """Take in all landed page files once and return the staged table, each key once.
 
     The file source remembers finished files in ``checkpoint``, so a rerun
-    after a failure takes up the rest. Promotion is the completeness gate's
-    business.
+    after a failure takes up the rest. A batch is compared with what is staged,
+    however long ago. Promotion is the completeness gate's business.
     """
-    pages = spark.readStream.schema(schema).parquet(source).dropDuplicates([key])
-    query = (
-        pages.writeStream.format("parquet").outputMode("append").option("path", staging)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(staging)
+
+    def take(pages: DataFrame, number: int) -> None:
+        earlier = _batches(pages.sparkSession, staging, schema).where(F.col("batch") < number)
+        fresh = pages.dropDuplicates([key]).join(earlier.select(key), key, "left_anti")
+        fresh.select(*pages.columns).write.mode("overwrite").parquet(f"{staging}/batch={number}")
+
+    _run(spark.readStream.schema(schema).parquet(source), take, checkpoint)
+    return _batches(spark, staging, schema).drop("batch")
 
 
 def daily_maxima(events: DataFrame, time: str, key: str, value: str) -> DataFrame:
-    """Largest value per key and day; runs on a batch or, with a watermark, on a stream."""
+    """Largest value per key and day, and the number of rows."""
     return (
-        events.groupBy(F.window(time, "1 day"), key)
+        events.groupBy(F.date_trunc("day", F.col(time).cast("timestamp")).alias("day"), key)
         .agg(F.max(value).alias("peak"), F.count(F.lit(1)).alias("n"))
-        .select(F.col("window.start").alias("day"), key, "peak", "n")
     )
 
 
 def annual_maxima_stream(
-    spark: SparkSession, source: str, schema, time: str, key: str, value: str, sink: str, checkpoint: str,
-    delay: str = "1 day",
+    spark: SparkSession, source: str, schema, time: str, key: str, value: str, sink: str, checkpoint: str
 ) -> DataFrame:
-    """Stream files into daily maxima and roll them up to years in batch.
+    """Stream files into partial daily maxima and return the maxima over all partials.
 
-    Days are written when the watermark has passed them; the days still open
-    at the end of the input are read from the source for the roll-up.
+    Every batch writes what it knows of its days; a day may have any number of
+    partials, so a row counts however late it comes.
     """
-    typed = lambda df: df.withColumn(time, F.col(time).cast("timestamp"))
-    stream = typed(spark.readStream.schema(schema).parquet(source)).withWatermark(time, delay)
-    query = (
-        daily_maxima(stream, time, key, value).writeStream.format("parquet").outputMode("append")
-        .option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    closed = spark.read.schema(f"day TIMESTAMP, `{key}` BIGINT, peak DOUBLE, n BIGINT").parquet(sink)
-    last = closed.agg(F.coalesce(F.max("day") + F.expr("INTERVAL 1 DAY"), F.lit("1900-01-01").cast("timestamp")).alias("d")).scalar()
-    still_open = daily_maxima(typed(spark.read.schema(schema).parquet(source)).where(F.col(time) >= last), time, key, value)
-    return closed.unionByName(still_open)
+    kind = f"day TIMESTAMP, `{key}` BIGINT, peak DOUBLE, n BIGINT"
+
+    def take(events: DataFrame, number: int) -> None:
+        daily_maxima(events, time, key, value).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    _run(spark.readStream.schema(schema).parquet(source), take, checkpoint)
+    partials = _batches(spark, sink, kind)
+    return partials.groupBy("day", key).agg(F.max("peak").alias("peak"), F.sum("n").alias("n"))

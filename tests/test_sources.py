@@ -22,6 +22,10 @@ def test_feature_files(spark, tmp_path):
     assert rows == {"AB1": ("AB", 16.0, None), "AB2": ("AB", 31.0, None), "CD1": ("CD", 15.0, None)}
     line = json.loads(feature_rows(got.where("name = 'CD1'"), ["name"]).first().value)
     assert line["properties"] == {"name": "CD1"} and len(line["geometry"]["coordinates"]) == 2
+    open_ring = got.where("name = 'CD1'").withColumn("rings", F.transform("rings", lambda r: F.slice(r, 1, 4)))
+    line = json.loads(feature_rows(open_ring.withColumn("parts", F.array("rings")), ["name"], parts="parts").first().value)
+    assert line["geometry"]["type"] == "MultiPolygon"
+    assert [r[0] == r[-1] and len(r) == 5 for r in line["geometry"]["coordinates"][0]] == [True, True]
 
 
 def test_csv_readers(spark, tmp_path):
