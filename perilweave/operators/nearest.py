@@ -1,10 +1,11 @@
 """Exact nearest-neighbour joins by descending a pyramid of cell counts.
 
-Each target starts at one cell that holds everything. At every level its
-candidate cells are split in 16; the counts of the children give an upper bound
-on the k-th distance, and children that start farther away are dropped. Only
-cells that can hold an answer are ever opened, so no target meets all points
-and a dense cluster costs its neighbours nothing.
+The finest cell around a target that holds k items bounds the distance of its
+k-th neighbour, so its search starts at the few cells of about that size around
+it. At every level its candidate cells are split in 16; the counts of the
+children give an upper bound on the k-th distance, and children that start
+farther away are dropped. Only cells that can hold an answer are ever opened,
+so no target meets all points and a dense cluster costs its neighbours nothing.
 """
 
 from __future__ import annotations
@@ -38,6 +39,47 @@ def _pyramid_depth(items: DataFrame, x0: float, y0: float, size: float) -> int:
     return int(fullest["lv"] or MAX_LEVELS)
 
 
+def _starting_cells(
+    targets: DataFrame, leaves: DataFrame, target_id: str, k: int, x0: float, y0: float, leaf: float, depth: int
+) -> DataFrame:
+    """The cells at which each target's search begins: (target_id, tx, ty, tr, level, cx, cy).
+
+    The finest cell around the target that holds k items bounds the k-th
+    distance. Cells at least that wide around the target hold all answers, a
+    handful of them however many items there are.
+    """
+    side = SPLIT**depth
+    own = lambda c, low: F.least(F.greatest(F.floor((F.col(c) - low) / leaf), F.lit(0)), F.lit(side - 1)).cast("long")
+    tiers = leaves.select("lx", "ly", "n", "h", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
+    shrink = F.pow(F.lit(SPLIT), F.lit(depth) - F.col("level")).cast("long")
+    tiers = tiers.groupBy(
+        "level", F.floor(F.col("lx") / shrink).alias("cx"), F.floor(F.col("ly") / shrink).alias("cy")
+    ).agg(F.sum("n").alias("n"), F.max("h").alias("h"))
+    placed = targets.select(
+        target_id, F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("r").alias("tr"),
+        own("x", x0).alias("lx"), own("y", y0).alias("ly"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"),
+    ).withColumns({"cx": F.floor(F.col("lx") / shrink), "cy": F.floor(F.col("ly") / shrink)})
+    met = placed.join(tiers, ["level", "cx", "cy"]).where((F.col("n") >= k) | (F.col("level") == 0))
+    found = met.groupBy(target_id, "tx", "ty", "tr").agg(
+        F.max_by(F.struct("level", "cx", "cy", "h", "n"), "level").alias("c"), F.max("h").alias("h")
+    )
+    width = F.lit(leaf) * F.pow(F.lit(float(SPLIT)), F.lit(depth) - F.col("c.level"))
+    far = lambda t, c, low: F.greatest(F.abs(t - (c * width + low)), F.abs(t - ((c + 1) * width + low)))
+    reach = F.hypot(far(F.col("tx"), F.col("c.cx"), x0), far(F.col("ty"), F.col("c.cy"), y0))
+    # the true distance differs from the centre distance by the radii on both sides
+    bound = F.when(F.col("c.n") >= k, reach + 2 * (F.col("tr") + F.col("h"))).otherwise(F.lit(leaf * side * 4) + reach)
+    level = F.greatest(F.least(F.floor(depth - F.log(bound / leaf) / F.log(F.lit(float(SPLIT)))), F.col("c.level")), F.lit(0))
+    begun = found.select(target_id, "tx", "ty", "tr", bound.alias("bound"), level.cast("int").alias("level"))
+    wide = F.lit(leaf) * F.pow(F.lit(float(SPLIT)), F.lit(depth) - F.col("level"))
+    most = F.pow(F.lit(SPLIT), F.col("level")).cast("long") - 1
+
+    def span(c: str, low: float):
+        edge = lambda v: F.least(F.greatest(F.floor((v - low) / wide), F.lit(0)), most).cast("long")
+        return F.sequence(edge(F.col(c) - F.col("bound")), edge(F.col(c) + F.col("bound")))
+
+    return begun.withColumn("cx", F.explode(span("tx", x0))).withColumn("cy", F.explode(span("ty", y0))).drop("bound")
+
+
 def candidates(targets: DataFrame, items: DataFrame, target_id: str, k: int) -> DataFrame:
     """Pairs that can be among the k nearest, from centres and radii.
 
@@ -61,10 +103,8 @@ def candidates(targets: DataFrame, items: DataFrame, target_id: str, k: int) ->
         {"lx": F.floor((F.col("x") - x0) / leaf), "ly": F.floor((F.col("y") - y0) / leaf)}
     )
     leaves = at_leaf.groupBy("lx", "ly").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h"))
-    open_cells = targets.select(
-        target_id, F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("r").alias("tr"),
-        F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"),
-    )
+    start = _starting_cells(targets, leaves, target_id, k, x0, y0, leaf, depth)
+    open_cells = None
     by_max = Window.partitionBy(target_id).orderBy("far").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -72,6 +112,8 @@ def candidates(targets: DataFrame, items: DataFrame, target_id: str, k: int) ->
     for level in range(1, depth + 1):
         shrink = SPLIT ** (depth - level)
         width = leaf * shrink
+        begun = start.where(F.col("level") == level - 1).drop("level")
+        open_cells = begun if open_cells is None else open_cells.unionByName(begun)
         children = (
             leaves.groupBy(
                 F.floor(F.col("lx") / shrink).alias("kx"), F.floor(F.col("ly") / shrink).alias("ky")
@@ -98,6 +140,7 @@ def candidates(targets: DataFrame, items: DataFrame, target_id: str, k: int) ->
             .where(F.col("near") <= F.col("bound") * (1 + 1e-9) + F.col("tr") + F.col("h"))
             .select(target_id, "tx", "ty", "tr", F.col("kx").alias("cx"), F.col("ky").alias("cy"))
         )
+    open_cells = open_cells.unionByName(start.where(F.col("level") == depth).drop("level"))
     return open_cells.join(
         at_leaf.withColumnsRenamed({"lx": "cx", "ly": "cy"}), ["cx", "cy"]
     ).drop("cx", "cy")
