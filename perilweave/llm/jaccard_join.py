@@ -18,9 +18,10 @@ from .batches import mix64, row_sums, slices, word_hashes, words
 from .components import connected_components
 
 BITMAP_BITS = 1 << 26
-HUB_ROUNDS = 6
-PAIRS_PER_ROW = 4
+HUB_ROUNDS = 4
+PAIRS_PER_ROW = 40
 DEALINGS = 3
+KEYS_REMEMBERED = 200_000
 SKETCH_PARTS = 64
 SMALLEST_PAIR_BUDGET = 100_000
 
@@ -183,16 +184,25 @@ def sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int, threshold: Fraction, steps: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, sketch and signatures of every row; null key for an empty set."""
+    """doc_id, tie, n_shingles, set_key, sketch and signatures of every row; null key for an empty set.
+
+    Of the copies of a set at least one row in a task has the signatures.
+    """
 
     def run(batches):
-        bands = Bands(threshold, steps)
+        bands, met = Bands(threshold, steps), set()
         for batch in batches:
             for start, stop in slices(batch.column("text")):
                 part = batch.slice(start, stop - start)
                 values, offsets = shingle_sets(part.column("text"), n)
                 keys, sizes = set_keys(values, offsets), np.diff(offsets)
                 row, sig = signatures(values, offsets, bands)
+                # copies met before in this task need no signatures of their own
+                fresh = np.zeros(len(keys), bool)
+                fresh[[i for i, k in enumerate(keys.tolist()) if k not in met and not met.add(k)]] = True
+                row, sig = row[fresh[row]], sig[fresh[row]]
+                if len(met) > KEYS_REMEMBERED:
+                    met.clear()
                 order = np.argsort(row, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
                 counts = pa.FixedSizeBinaryArray.from_buffers(
@@ -374,8 +384,10 @@ def representatives(
 def _components(docs: DataFrame, n: int, threshold: Fraction, band_steps: int) -> DataFrame:
     """doc_id, tie (a digest of the text), n_shingles and component_id of every row."""
     signed = materialize(_signed(docs, n, threshold, band_steps), "signed")
-    # Shuffled once by signature; copies of one set collapse before the shuffle.
-    buckets = signed.select(F.explode("signatures").alias("sig"), "set_key").distinct()
+    # One shuffle, by signature, serves the removal of copies and the window.
+    buckets = signed.select(F.explode("signatures").alias("sig"), "set_key")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    buckets = buckets.repartition(parts, "sig").dropDuplicates(["sig", "set_key"])
     ordered = Window.partitionBy("sig").orderBy("set_key")
     buckets = buckets.select(
         "sig",
@@ -396,21 +408,32 @@ def _components(docs: DataFrame, n: int, threshold: Fraction, band_steps: int) -
         open_rows = buckets.join(nodes.withColumnRenamed("node", "set_key"), "set_key", "left").select(
             "sig", "set_key", root
         )
-        mixed = open_rows.groupBy("sig").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"),
-            F.min(F.struct(F.xxhash64(F.lit(turn), "set_key").alias("h"), F.col("set_key").alias("hub"), F.col("root").alias("hub_root"))).alias("pick"),
+        by_root = open_rows.groupBy("sig", "root").agg(
+            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("digest"),
+            F.min(F.struct(F.xxhash64(F.lit(turn), "set_key").alias("h"), F.col("set_key").alias("hub"))).alias("pick"),
+        )
+        mixed = by_root.groupBy("sig").agg(
+            F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("major"),
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor("digest").alias("digest"),
+            F.min_by(F.struct("pick.hub", F.col("root").alias("hub_root")), "pick.h").alias("pick"),
         ).where("lo <> hi")
-        open_rows = open_rows.join(mixed.select("sig", "members", "pick.hub", "pick.hub_root"), "sig")
+        # Near copies share many buckets with the same members; one of each will do.
+        mixed = mixed.groupBy("members", "digest", "lo", "hi").agg(
+            F.min("sig").alias("sig"), *[F.first(c).alias(c) for c in ("most", "major", "pick")]
+        )
+        open_rows = open_rows.join(mixed.select("sig", "members", "most", "major", "pick.hub", "pick.hub_root"), "sig")
         open_rows = materialize(open_rows, "open")
-        # all pairs of the open buckets, counted twice
-        cost = open_rows.agg(F.sum("members").alias("n")).first().n
+        # Of two members in different components one at least is outside the bucket's largest.
+        outside = F.col("root") != F.col("major")
+        cost = open_rows.agg(F.sum(F.when(outside, F.col("members"))).alias("n")).first().n
         if not cost:
             break
         last = turn >= HUB_ROUNDS or cost <= max(PAIRS_PER_ROW * rows, SMALLEST_PAIR_BUDGET)
         if last:
-            one = open_rows.select("sig", F.col("set_key").alias("a"), F.col("root").alias("ra"))
-            two = open_rows.select("sig", F.col("set_key").alias("b"), F.col("root").alias("rb"))
-            pairs = one.join(two, "sig").where("a < b and ra <> rb").select("a", "b")
+            one = open_rows.where(outside).select("sig", F.col("set_key").alias("x"), F.col("root").alias("rx"))
+            two = open_rows.select("sig", F.col("set_key").alias("y"), F.col("root").alias("ry"))
+            pairs = one.join(two, "sig").where("rx <> ry")
+            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         else:
             pairs = open_rows.where("root <> hub_root").select(
                 F.least("hub", "set_key").alias("a"), F.greatest("hub", "set_key").alias("b")
