@@ -23,10 +23,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    steps, turn = [], 0
+    steps = []
     while not steps or not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("p"), F.col(c).alias("n"))  # noqa: B023, E731
+        # The same priorities in every round: the middle of a star, once small, stays so.
+        rank = lambda c: F.struct(F.xxhash64(c).alias("p"), F.col(c).alias("n"))
         pointer = both.groupBy("a").agg(F.min(rank("b")).alias("best"))
         pointer = materialize(
             pointer.select(
@@ -45,7 +46,6 @@ def connected_components(links: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
-        turn += 1
     roots = steps[0]
     for step in steps[1:]:
         step = step.select(F.col("node").alias("target"), F.col("target").alias("next"))
