@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 from .ordering import running
 
 
-def systematic_sample(df: DataFrame, key: str, step: int, at_most: int | None = None) -> DataFrame:
+def systematic_sample(df: DataFrame, key: str, step: int) -> DataFrame:
     """Every ``step``-th row in key order, starting with the first."""
     ranked = running(df, key, key, rank="_rn")
-    kept = ranked.where((F.col("_rn") - 1) % step == 0)
-    if at_most is not None:
-        kept = kept.where((F.col("_rn") - 1) / step < at_most)
-    return kept.drop("_rn")
+    return ranked.where((F.col("_rn") - 1) % step == 0).drop("_rn")

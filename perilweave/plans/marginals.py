@@ -87,6 +87,7 @@ def analytic_expected_loss(peril: str) -> Column:
     return F.col(f"p_{peril}") * F.exp(F.col(f"mu_{peril}") + s * s / 2)
 
 
+# The order in which the factor takes the perils.
 FACTOR_ORDER = ("wx", "fl", "gw", "sub", "er")
 
 

@@ -158,19 +158,22 @@ def depth_severity(
 # Weight of each component with and without extreme gusts.
 WITH_GUSTS = {"wind": 0.30, "wdr": 0.25, "gust_rp50": 0.20, "rain10": 0.15, "precip": 0.10}
 WITHOUT_GUSTS = {"wind": 0.35, "wdr": 0.30, "rain10": 0.20, "precip": 0.15}
-MIN_GUST_POINTS = 60
 
 
-def weather_score(targets: DataFrame, grids: list[tuple[DataFrame, list[str]]], key: str = KEY, k: int = 4) -> DataFrame:
+def weather_score(
+    targets: DataFrame, grids: list[tuple[DataFrame, list[str]]], key: str = KEY, k: int = 4, use_gusts: bool = True
+) -> DataFrame:
     """Interpolated weather values and their weighted score.
 
     ``grids`` pairs a table (point_id, x, y, values) with the values it holds;
-    values that share a grid share one neighbour search. A gust grid with too
-    few points is left out, which switches the weights.
+    values that share a grid share one neighbour search. Whether gusts count is
+    the caller's choice (the published scores use them from 60 grid points on);
+    without them the weights are those without gusts.
     """
     out = targets.select(key)
     for points, values in grids:
-        if values == ["gust_rp50"] and points.limit(MIN_GUST_POINTS).count() < MIN_GUST_POINTS:
+        values = [v for v in values if use_gusts or v != "gust_rp50"]
+        if not values:
             continue
         near = N.knn_join(targets.select(key, "x", "y"), points.select("point_id", "x", "y"), key, "point_id", k)
         out = out.join(N.idw(near, points, key, "point_id", values), key)
