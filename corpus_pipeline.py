@@ -35,7 +35,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near duplicates."""
-    return jaccard_join.representatives(docs, n=5, threshold=Fraction(4, 5), band_steps=2)
+    return jaccard_join.representatives(docs, n=5, threshold=Fraction(4, 5), band_steps=1)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from fractions import Fraction
 from functools import lru_cache
 from itertools import combinations
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -98,19 +99,32 @@ class Bands:
         gap = (1 - self.threshold) / (1 + self.threshold)
         return int(gap * 2 * largest)
 
+    def smallest(self, band: int) -> int:
+        """Smallest size that takes part in a band, sets from the band below included."""
+        return max(1, int(self.threshold * self.edges[band]))
 
-@lru_cache(maxsize=None)
-def scheme(distance: int) -> tuple[int, int, int]:
-    """(first-level parts, second-level parts in each, parts that may differ).
 
-    A difference of at most ``distance`` elements leaves at least one of the
-    first-level parts with at most ``spare`` of them, by the pigeonhole
-    principle; in that part some choice of all but ``spare`` second-level parts
-    is free of them.
+@lru_cache(maxsize=None)
+def scheme(distance: int, smallest: int) -> tuple[int, int, int, int]:
+    """(first-level parts, second-level parts in each, parts that may differ, slack).
+
+    A difference of at most ``distance`` elements leaves more than ``slack`` of
+    the first-level parts with at most ``spare`` of them, by the pigeonhole
+    principle; in each of those some choice of all but ``spare`` second-level
+    parts is free of them. So sets that hold nothing in choices of up to
+    ``slack`` first-level parts still share a choice in which they hold
+    something. The slack is what sets of the ``smallest`` size hardly exceed.
     """
     if distance <= 2:
-        return 1, max(1, distance + 2 if distance else 1), distance
-    return (distance + 2) // 2, 3, 1
+        return 1, distance + 2 if distance else 1, distance, 0
+    for second, spare in ((3, 1), (2, 1), (1, 0)):
+        least = distance // (spare + 1) + 1
+        for slack in range(least // 2 + 1):
+            first = least + slack
+            empty = first * second * exp(-smallest / first * (second - spare) / second)
+            if slack >= (empty + sqrt(empty) if empty > 0.02 else 0):
+                return first, second, spare, slack
+    return distance // 2 + 1, 3, 1, 0
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +133,10 @@ def signatures(values: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[n
     The domain of shingles is dealt to the second-level parts by hash, the same
     way for all sets of a band; a signature stands for what a set holds in one
     choice of parts. A choice in which a set holds nothing would put unrelated
-    sets into one bucket. It is left out, and a set with such a choice gets the
-    signatures of another dealing as well: a similar set that shares the empty
-    choice gets them too, and shares one of them by the same argument. The last
-    dealing keeps its empty choices, so the guarantee holds.
+    sets into one bucket, so it is left out. A set with more such parts than
+    the scheme's slack gets the signatures of another dealing as well: a similar
+    set either has fewer, and shares a signature of this dealing, or gets them
+    too. The last dealing keeps its empty choices, so the guarantee holds.
     """
     rows_out, sigs_out = [], []
     sizes = np.diff(offsets)
@@ -130,12 +144,14 @@ def signatures(values: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[n
     for band in np.unique(np.concatenate([own[sizes > 0], own[joins_next & (sizes > 0)] + 1])):
         rows = np.flatnonzero((sizes > 0) & ((own == band) | (joins_next & (own + 1 == band))))
         for dealing in range(DEALINGS):
-            sig, empty = _dealt(values, offsets, rows, bands.distance(int(band)), int(band), dealing)
+            plan = scheme(bands.distance(int(band)), bands.smallest(int(band)))
+            sig, empty = _dealt(values, offsets, rows, plan, int(band), dealing)
             last = dealing == DEALINGS - 1
             keep = np.ones_like(empty) if last else ~empty
             rows_out.append(np.broadcast_to(rows[:, None], sig.shape)[keep])
             sigs_out.append(sig[keep])
-            rows = rows[empty.any(axis=1)]
+            first, slack = plan[0], plan[3]
+            rows = rows[empty.reshape(len(rows), -1, first).any(axis=1).sum(axis=1) > slack]
             if last or not len(rows):
                 break
     if not rows_out:
@@ -143,9 +159,9 @@ def signatures(values: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[n
     return np.concatenate(rows_out), np.concatenate(sigs_out).view(np.int64)
 
 
-def _dealt(values, offsets, rows, distance: int, band: int, dealing: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the rows (rows x choices) in one dealing, and which choices hold nothing."""
-    first, second, spare = scheme(distance)
+def _dealt(values, offsets, rows, plan, band: int, dealing: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the rows (rows x choices of all first-level parts) in one dealing, and which hold nothing."""
+    first, second, spare, _ = plan
     parts, size = first * second, np.diff(offsets)[rows]
     at = np.repeat(offsets[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     members = values[at]
@@ -183,28 +199,15 @@ def sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- join
 
 
-def _signed(docs: DataFrame, n: int, threshold: Fraction, steps: int) -> DataFrame:
-    """doc_id, tie, n_shingles, set_key, sketch and signatures of every row; null key for an empty set.
-
-    Of the copies of a set at least one row in a task has the signatures.
-    """
+def _keyed(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, tie, n_shingles, set_key and sketch of every row; null key for an empty set."""
 
     def run(batches):
-        bands, met = Bands(threshold, steps), set()
         for batch in batches:
             for start, stop in slices(batch.column("text")):
                 part = batch.slice(start, stop - start)
                 values, offsets = shingle_sets(part.column("text"), n)
                 keys, sizes = set_keys(values, offsets), np.diff(offsets)
-                row, sig = signatures(values, offsets, bands)
-                # copies met before in this task need no signatures of their own
-                fresh = np.zeros(len(keys), bool)
-                fresh[[i for i, k in enumerate(keys.tolist()) if k not in met and not met.add(k)]] = True
-                row, sig = row[fresh[row]], sig[fresh[row]]
-                if len(met) > KEYS_REMEMBERED:
-                    met.clear()
-                order = np.argsort(row, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
                 counts = pa.FixedSizeBinaryArray.from_buffers(
                     pa.binary(SKETCH_PARTS), len(sizes), [None, pa.py_buffer(sketches(values, offsets))]
                 ).cast(pa.binary())
@@ -215,16 +218,39 @@ def _signed(docs: DataFrame, n: int, threshold: Fraction, steps: int) -> DataFra
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.int64(), mask=sizes == 0),
                         counts,
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig[order])),
                     ],
-                    ["doc_id", "tie", "n_shingles", "set_key", "sketch", "signatures"],
+                    ["doc_id", "tie", "n_shingles", "set_key", "sketch"],
                 )
 
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(
-        run, "doc_id long, tie long, n_shingles long, set_key long, sketch binary, signatures array<long>"
+        run, "doc_id long, tie long, n_shingles long, set_key long, sketch binary"
     )
 
 
+def _signed(docs: DataFrame, n: int, threshold: Fraction, steps: int) -> DataFrame:
+    """(sig, set_key): the signatures of every set, of copies met in one task once."""
+
+    def run(batches):
+        bands, met = Bands(threshold, steps), set()
+        for batch in batches:
+            for start, stop in slices(batch.column("text")):
+                values, offsets = shingle_sets(batch.column("text").slice(start, stop - start), n)
+                keys = set_keys(values, offsets)
+                fresh = [i for i, k in enumerate(keys.tolist()) if k not in met and not met.add(k)]
+                if len(met) > KEYS_REMEMBERED:
+                    met.clear()
+                chosen = np.zeros(len(keys), bool)
+                chosen[fresh] = True
+                member = np.repeat(chosen, np.diff(offsets))
+                sizes = np.where(chosen, np.diff(offsets), 0)
+                row, sig = signatures(values[member], np.concatenate([[0], np.cumsum(sizes)]), bands)
+                for at in range(0, len(row), 1 << 18):
+                    end = at + (1 << 18)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[at:end]), pa.array(keys[row[at:end]])], ["sig", "set_key"])
+
+    return docs.select("text").mapInArrow(run, "sig long, set_key long")
+
+
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """A fixed-size bitmap (8 MB at most) with the bits of the ids' hashes set."""
     position = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
@@ -343,7 +369,7 @@ class _Comparison:
 
 
 def jaccard_components(
-    docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), band_steps: int = 2
+    docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), band_steps: int = 1
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``.
 
@@ -366,7 +392,7 @@ def jaccard_components(
 
 
 def representatives(
-    docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), band_steps: int = 2
+    docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), band_steps: int = 1
 ) -> DataFrame:
     """The rows of ``docs`` of which one of each component stays: that with the smallest doc_id.
 
@@ -383,11 +409,10 @@ def representatives(
 
 def _components(docs: DataFrame, n: int, threshold: Fraction, band_steps: int) -> DataFrame:
     """doc_id, tie (a digest of the text), n_shingles and component_id of every row."""
-    signed = materialize(_signed(docs, n, threshold, band_steps), "signed")
+    signed = materialize(_keyed(docs, n), "keyed")
     # One shuffle, by signature, serves the removal of copies and the window.
-    buckets = signed.select(F.explode("signatures").alias("sig"), "set_key")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = buckets.repartition(parts, "sig").dropDuplicates(["sig", "set_key"])
+    buckets = _signed(docs, n, threshold, band_steps).repartition(parts, "sig").dropDuplicates(["sig", "set_key"])
     ordered = Window.partitionBy("sig").orderBy("set_key")
     buckets = buckets.select(
         "sig",
