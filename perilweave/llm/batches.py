@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 SEPARATOR = "\x00\x01\x00"
 # White space of any library's notion on either side of a space.
 _BESIDE_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}] | [\s\x0B\x1C-\x1F\x{85}\p{Z}]"
@@ -78,7 +78,7 @@ def spaced_pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 class Recent:
     """A dictionary of what was used lately, in two generations of bounded size."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 80_000):
         self.limit, self.young, self.old = limit, {}, {}
 
     def get(self, key):

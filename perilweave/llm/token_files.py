@@ -20,6 +20,7 @@ from .token_counts import library_tokenizer
 
 NO_DOCUMENT_ID = -(1 << 63)
 READ_IDS = 1 << 20
+KEYS_PER_PART = 50
 
 
 @lru_cache(maxsize=4)
@@ -33,8 +34,32 @@ def id_type(vocabulary_size: int) -> str:
     return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, tie (a digest of the text), n_tokens and packed ids, with the end id, of every row.
+def _bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """(doc_id, tie) pairs that cut the rows into ``parts`` ranges of about equal size.
+
+    Taken from a sample of KEYS_PER_PART keys a part, by a digest of the keys;
+    the sample only decides how even the parts are.
+    """
+    keys = docs.select(F.coalesce("doc_id", F.lit(NO_DOCUMENT_ID)).alias("doc_id"), F.xxhash64("text").alias("tie"))
+    share = min(1.0, KEYS_PER_PART * parts / max(docs.count(), 1))
+    drawn = F.pmod(F.xxhash64("doc_id", "tie", F.lit("range")), F.lit(1 << 30)) < int(share * (1 << 30))
+    found = keys.where(drawn).limit(2 * KEYS_PER_PART * parts).toArrow().to_pydict()
+    pairs = sorted(zip(found["doc_id"], found["tie"]))
+    return np.array([pairs[len(pairs) * i // parts] for i in range(1, parts)] if pairs else [], np.int64).reshape(-1, 2)
+
+
+def _part_of(keys: np.ndarray, ties: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each (doc_id, tie): how many bounds are not above it."""
+    low = np.searchsorted(bounds[:, 0], keys, "left")
+    high = np.searchsorted(bounds[:, 0], keys, "right")
+    tied = np.flatnonzero(high > low)
+    for i in tied:
+        high[i] = low[i] + np.searchsorted(bounds[low[i] : high[i], 1], ties[i], "right")
+    return high
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """doc_id, tie (a digest of the text), part, n_tokens and packed ids, with the end id, of every row.
 
     For tokenizers that drop white space and take each run of other characters
     by itself, so that distinct words are encoded once per worker.
@@ -55,20 +80,19 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 inside = np.ones(len(ids), bool)
                 inside[ends - 1] = False
                 ids[inside] = gather(flat, at, counts, codes)
-                width = np.dtype(kind).itemsize
-                data = pa.Array.from_buffers(
-                    pa.binary(),
-                    len(n),
-                    [None, pa.py_buffer(np.concatenate([[0], ends * width]).astype(np.int32)), pa.py_buffer(ids)],
-                )
+                at = np.concatenate([[0], ends * ids.itemsize]).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+                keys, ties = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("tie")
+                place = _part_of(keys, ties.to_numpy(zero_copy_only=False), bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("tie"), pa.array(n + 1, pa.int64()), data],
-                    ["doc_id", "tie", "n_tokens", "ids"],
+                    [part.column("doc_id"), ties, pa.array(place, pa.int32()), pa.array(n + 1, pa.int64()), data],
+                    ["doc_id", "tie", "part", "n_tokens", "ids"],
                 )
 
     # The digest only orders repeated rows of one document.
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return keyed.mapInArrow(run, "doc_id long, tie long, n_tokens long, ids binary")
+    key = F.coalesce("doc_id", F.lit(NO_DOCUMENT_ID)).alias("doc_id")
+    keyed = docs.select(key, F.xxhash64("text").alias("tie"), "text")
+    return keyed.mapInArrow(run, "doc_id long, tie long, part int, n_tokens long, ids binary")
 
 
 def file_system(uri: str):
@@ -92,19 +116,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     sum).
     """
     spark = docs.sparkSession
-    table = materialize(encoded(docs, tokenizer_path, end_id), "ids")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def write(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        name, n_docs, n_tokens, out, width = f"part-{part:06d}-{uuid.uuid4().hex}", 0, 0, None, 0
+        name, part, n_docs, n_tokens, out, width = f"part-{uuid.uuid4().hex}", 0, 0, 0, None, 0
         try:
             for batch in batches:
                 if not len(batch):
                     continue
                 if out is None:
+                    part = batch.column("part")[0].as_py()
                     where, path = file_system(folder)
                     where.create_dir(path, recursive=True)
                     out = [where.open_output_stream(f"{path}/{name}.{x}") for x in ("ids", "offsets", "documents")]
@@ -114,8 +135,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 for data in batch.column("ids"):
                     out[0].write(data.as_buffer())
                 out[1].write((n_tokens + np.cumsum(sizes)).astype("<u8").tobytes())
-                keys = pc.fill_null(batch.column("doc_id"), NO_DOCUMENT_ID)
-                out[2].write(keys.to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                out[2].write(batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 n_docs, n_tokens = n_docs + len(batch), n_tokens + int(sizes.sum())
         finally:
             for stream in out or ():
@@ -126,9 +146,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 pa.schema([("part", pa.int32()), ("name", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
             )
 
-    ordered = table.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # The ranges are known, so the ids are encoded once and shuffled once.
+    table = encoded(docs, tokenizer_path, end_id, _bounds(docs, parts))
+    ordered = table.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "tie")
     manifest = materialize(
-        ordered.select("doc_id", "ids", "n_tokens").mapInArrow(
+        ordered.select("part", "doc_id", "ids", "n_tokens").mapInArrow(
             write, "part int, name string, width int, n_docs long, n_tokens long"
         ),
         "manifest",
