@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from perilweave.catalog import load
@@ -18,10 +19,14 @@ QUERIES = (
     "g27_joint_peril_probability", "w1_decile_group", "j11_apportion", "j1_lookup_or_median", "s17_backtest_index",
     "j5_overlay_area", "g5_pixel_fraction", "j8_knn_join", "s14_scenario_repricing", "s13_rating_table",
 )
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, partitions=max(int(cpus) if cpus.isdigit() else 8, 2), name="bench")
+    shared = tempfile.TemporaryDirectory(prefix="spark-bench-")
+    parts = max(int(cpus) if cpus.isdigit() else 8, 2)
+    spark = local_session(cpus, partitions=parts, name="bench", shared=f"file://{shared.name}", memory="8g")
     spark.sparkContext.setLogLevel("OFF")
     queries, seconds = load()[0], {}
     queries["w7_first_rank"](spark, sf).write.format("noop").mode("overwrite").save()
@@ -37,6 +42,7 @@ def main() -> None:
             }
         )
     )
+    shared.cleanup()
 
 
 if __name__ == "__main__":

@@ -8,23 +8,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", partitions: int = 8, name: str = "perilweave") -> SparkSession:
-    """A small single-machine session for tests and benchmarks."""
-    spark = (
+def local_session(
+    cores: str = "*", partitions: int = 8, name: str = "perilweave", shared: str | None = None,
+    memory: str = "4g",
+) -> SparkSession:
+    """A small single-machine session for tests and benchmarks; ``shared`` is its folder for stages."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", memory)
         .config("spark.sql.adaptive.enabled", "true")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+# Folders of local sessions that name none; the setting itself is fixed once a session runs.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
@@ -35,9 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="spark-perilweave-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    application = spark.sparkContext.applicationId
+    if application not in _own_dirs:
+        _own_dirs[application] = tempfile.mkdtemp(prefix="spark-perilweave-")
+    return _own_dirs[application]
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
