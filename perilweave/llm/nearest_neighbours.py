@@ -19,6 +19,7 @@ CODES = 16
 BLOCK_ROWS = 4096
 QUERY_BLOCK = 512
 PILOT_QUERIES = 256
+PILOT_SEED = 11
 
 
 class MultiIndex:
@@ -65,14 +66,15 @@ class MultiIndex:
 def probe_share(index: MultiIndex, drawn: np.ndarray, k: int, recall: float) -> float:
     """The share of entries to visit so that the sample's own neighbours are found.
 
-    Each of the first PILOT_QUERIES sampled vectors asks for its best ones among
-    the sample (as many of them as make the same share of it as k makes of
-    itself, k at least); the share is where ``recall`` of all of them is reached.
+    PILOT_QUERIES vectors, drawn among the distinct ones of the sample so that a
+    group of copies asks once, ask for their k best ones among the sample, copies
+    included; the share is where ``recall`` of all of them is reached.
     """
     cells = index.cell_of(drawn)
     counts = np.bincount(cells, minlength=index.cells)
     needed = []
-    for i in range(min(PILOT_QUERIES, len(drawn))):
+    distinct = np.unique(drawn, axis=0, return_index=True)[1] if len(drawn) else np.zeros(0, np.int64)
+    for i in np.random.default_rng(PILOT_SEED).permutation(distinct)[:PILOT_QUERIES]:
         score = drawn @ drawn[i]
         score[i] = -np.inf
         best = np.argpartition(-score, min(k, len(score) - 1))[:k]

@@ -173,6 +173,23 @@ def test_nearest_neighbours_recall_and_order(spark, monkeypatch):
     assert not nearest_neighbours.nearest_neighbours(table.where("false"), queries.where("false")).collect()
 
 
+def test_nearest_neighbours_recall_beside_many_copies(spark):
+    draw = np.random.default_rng(6)
+    matrix = np.float32(draw.normal(size=(1500, 16)))
+    matrix[1200:] = matrix[1200]
+    matrix[1200:, -1] = -6  # the copies stand lowest in the last component
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(set)
+    for r in nearest_neighbours.nearest_neighbours(table, table.where("vec_id % 10 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    x = matrix.astype(float)
+    hits = []
+    for q in range(0, 1200, 10):
+        order = [i for i in np.lexsort((np.arange(len(x)), -(x @ x[q]))) if i != q][:20]
+        hits.append(len(got[q] & set(order)) / 20)
+    assert np.mean(hits) >= 0.94
+
+
 def test_multi_index_walks_cells_in_order():
     draw = np.random.default_rng(3)
     index = nearest_neighbours.MultiIndex(draw.normal(size=(500, 6)), codes=7)
