@@ -18,27 +18,36 @@ BUCKETS = 1 << 14
 LABELLED_ROWS = 8_000
 SMOOTHING = 0.5
 LEAST_CHANCE = 0.05
+HELD_BACK = 0.2
+KEPT_CLEAN = 0.998
 HISTOGRAM = 4096
+REPEATED = np.uint64(0)
 
 
 @dataclass
 class Model:
-    """log p(target) - log p(raw) of each bucket, and the calibration of a text's ratio."""
+    """log p(target) - log p(raw) of each bucket, the calibration of a text's ratio, and the log odds from which a row counts as target text."""
 
     ratio: np.ndarray
     slope: float = 1.0
     spread: float = 0.0
     base: float = 0.0
+    least: float = 0.0
 
 
 def n_gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every one- and two-token sequence, row offsets), tokens being words or runs of signs."""
+    """(bucket of every one- and two-token sequence, row offsets), tokens being words or runs of signs.
+
+    A token that follows itself is one and the same sequence whatever the token,
+    so that repetition is learned from any words and known with all.
+    """
     offsets, codes, known = words(tokens(texts))
     hashed = mix64(word_hashes(known))[codes] if len(codes) else np.zeros(0, np.uint64)
     size = np.diff(offsets)
     follows = np.ones(len(hashed), bool)
     follows[offsets[1:][size > 0] - 1] = False
-    pairs = mix64(hashed[:-1] * np.uint64(3) + hashed[1:])[follows[:-1]] if len(hashed) else hashed
+    pairs = mix64(hashed[:-1] * np.uint64(3) + hashed[1:]) if len(hashed) else hashed
+    pairs = np.where(hashed[:-1] == hashed[1:], REPEATED, pairs)[follows[:-1]] if len(hashed) else hashed
     row = np.repeat(np.arange(len(size)), size)
     both = np.concatenate([hashed, pairs])
     rows = np.concatenate([row, row[:-1][follows[:-1]] if len(row) else row])
@@ -48,15 +57,21 @@ def n_gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit the two generative models and the calibration.
+    """Fit the two generative models, the calibration and the least log odds.
 
     The raw model counts the n-grams of every row of ``docs(doc_id, text)``, the
     target model those of the sampled rows labelled 1 in ``labels(doc_id,
     quality)``. At most twice LABELLED_ROWS rows are sampled, a bound that makes
     the broadcast safe. None if one of the classes is missing.
+
+    HELD_BACK of the sample takes no part in models and calibration, if 50 rows
+    are labelled 1; the least log odds are set on these rows, otherwise on all.
     """
     drawn = materialize(labelled_sample(labels, "quality", LABELLED_ROWS, "quality"), "labelled")
-    marked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id", "left").select("label", "text")
+    share = HELD_BACK if drawn.where("label = 1").count() >= 50 else 0.0
+    drawn = drawn.withColumn("held", digest_share(F.col("doc_id"), "held back") < share)
+    marked = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id", "left")
+    marked = marked.select(F.when(~F.col("held"), F.col("label")).alias("label"), "text")
 
     def run(batches):
         counts = np.zeros((2, BUCKETS), np.int64)
@@ -81,10 +96,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     model = Model(np.log(target / target.sum()) - np.log(raw / raw.sum()))
     known = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    seen = known.select("label", ratio_column(model).alias("r")).where("r.n > 0").select("label", "r.log_ratio", "r.n").toPandas()
+    seen = known.select("label", "held", ratio_column(model).alias("r")).where("r.n > 0")
+    seen = seen.select("label", "held", "r.log_ratio", "r.n").toPandas()
     if seen.label.nunique() < 2:
         return None
-    return _calibrated(model, seen)
+    used = seen[~seen.held]
+    model = _calibrated(model, used if used.label.nunique() > 1 else seen)
+    held = seen[seen.held & (seen.label == 1)]
+    model.least = _least_odds(model, held if len(held) else seen[seen.label == 1])
+    return model
+
+
+def _least_odds(model: Model, clean) -> float:
+    """The highest log odds that KEPT_CLEAN of the clean rows reach, between LEAST_CHANCE and even odds.
+
+    Beyond even odds a threshold would drop texts that the model holds to be clean.
+    """
+    n = clean.n.to_numpy(np.float64)
+    odds = model.slope * _features(model, clean.log_ratio.to_numpy(), n) + model.base
+    return float(np.clip(np.quantile(odds, 1 - KEPT_CLEAN, method="lower"), _log_odds(LEAST_CHANCE), 0.0))
+
+
+def _log_odds(chance: float) -> float:
+    return float(np.log(chance / (1 - chance)))
 
 
 def _features(model: Model, ratio, n, sqrt=np.sqrt):
@@ -142,9 +176,10 @@ def _weights(model: Model | None) -> dict[str, Column]:
     return {"n": n, "log_ratio": ratio, "log_odds": odds, "key": odds + gumbel}
 
 
-def _edge(keys: DataFrame, least_chance: float) -> float:
+def _edge(keys: DataFrame, model: Model | None, least_chance: float | None) -> float:
     """The smallest key that Gumbel top-k selects among ``keys(log_odds, key)``."""
-    k = keys.where(F.col("log_odds") >= float(np.log(least_chance / (1 - least_chance)))).count()
+    least = _log_odds(least_chance) if least_chance is not None else model.least if model else 0.0
+    k = keys.where(F.col("log_odds") >= least).count()
     return top_k_edge(keys.select("key"), k)
 
 
@@ -171,29 +206,32 @@ def top_k_edge(keys: DataFrame, k: int) -> float:
     return low
 
 
-def select(docs: DataFrame, labels: DataFrame, least_chance: float = LEAST_CHANCE) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, least_chance: float | None = None) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` with its weight, sampling key and whether it is selected.
 
     Columns: doc_id, n (n-grams), log_ratio, log_odds, key, selected. Gumbel
     top-k draws without replacement in proportion to the odds; k is the number
     of rows whose calibrated chance of being target text is at least
-    ``least_chance``, so clear cases on either side stay where they are and only
-    rows near the edge are left to the draw. Null, empty and blank texts have
+    ``least_chance`` (without it, what held-back labelled rows give), so clear
+    cases on either side stay where they are and only rows near the edge are
+    left to the draw. Null, empty and blank texts have
     the least odds. Equal rows have equal keys, and all rows at the edge are
     selected. If nothing can be learned every row has even odds and all are
     selected; other columns are ignored; an empty table gives no rows.
     """
-    weights = _weights(fit(docs, labels))
+    model = fit(docs, labels)
+    weights = _weights(model)
     rows = docs.select("doc_id", *[c.alias(name) for name, c in weights.items()])
     rows = materialize(rows, "weighed")
-    return rows.withColumn("selected", F.col("key") >= _edge(rows, least_chance))
+    return rows.withColumn("selected", F.col("key") >= _edge(rows, model, least_chance))
 
 
-def selected_rows(docs: DataFrame, labels: DataFrame, least_chance: float = LEAST_CHANCE) -> DataFrame:
+def selected_rows(docs: DataFrame, labels: DataFrame, least_chance: float | None = None) -> DataFrame:
     """The rows that ``select`` selects, with the columns of ``docs``.
 
     The weight is computed again for the filter, so no text is written or shuffled.
     """
-    weights = _weights(fit(docs, labels))
+    model = fit(docs, labels)
+    weights = _weights(model)
     keys = materialize(docs.select(weights["log_odds"].alias("log_odds"), weights["key"].alias("key")), "keys")
-    return docs.where(weights["key"] >= _edge(keys, least_chance))
+    return docs.where(weights["key"] >= _edge(keys, model, least_chance))

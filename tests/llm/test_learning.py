@@ -92,6 +92,27 @@ def test_quality_keeps_clean_and_drops_junk(spark, corpus):
     assert not quality.select(docs.where("false"), labels).collect()
 
 
+def test_quality_drops_texts_of_repeated_words(spark):
+    draw, rows, labels = np.random.default_rng(4), [], []
+    syllables = [a + b for a in "bdfghklmnprst" for b in "aeiou"]
+    known = np.array(["".join(draw.choice(syllables, draw.integers(1, 4))) for _ in range(3000)])
+    for i in range(800):
+        words = list(known[(3000 * draw.random(draw.integers(100, 600)) ** 2).astype(int)])
+        if i % 20 == 0:
+            half, times = len(words) // 2, int(draw.integers(6, 15))
+            words = words[:half] + [w for w in words[half : half + half // times + 1] for _ in range(times)]
+        elif i % 5 == 0:
+            words = [w + "&&&" for w in words]
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            labels.append((i, int(i % 5 != 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.select(docs, labels).where("selected").collect()}
+    assert np.mean([i in kept for i in range(800) if i % 5]) > 0.97
+    assert np.mean([i in kept for i in range(0, 800, 20)]) < 0.05
+
+
 def test_gumbel_edge_is_the_k_th_largest_key(spark):
     draw = np.random.default_rng(8)
     values = np.concatenate([draw.normal(size=500), np.full(300, 0.25), [1e6, -1e6]])
