@@ -15,17 +15,14 @@ from perilweave.session import materialize
 # Stages that learn models or run a vocabulary are not expressible in SQL.
 ORACLE_SQL = None
 
-LEAST_LANGUAGE_SCORE = 0.3
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter, and those whose language stays open."""
+    """Drop texts without a letter, and those in no learned language or open between several."""
     model = language_id.train(docs.where(~language_id.held_out()))
     found = language_id.language_column(model)
     if model is None:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    certain = (found["lang_pred"] != language_id.UNKNOWN) & (found["score"] >= LEAST_LANGUAGE_SCORE)
-    return docs.where(certain)
+    return docs.where((found["lang_pred"] != language_id.UNKNOWN) & found["known"])
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

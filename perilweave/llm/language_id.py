@@ -21,6 +21,10 @@ ROWS_PER_LANGUAGE = 1_000
 MOST_LANGUAGES = 512
 HELD_BACK = 0.2
 UNKNOWN = "und"
+# Of the rows learned from: the share that sets a bound, and how far beyond it texts still count as known.
+KEPT_SHARE = 0.995
+MARGIN = 1.5
+LEAST_ROWS = 20
 
 
 @dataclass
@@ -30,6 +34,10 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    rarity: np.ndarray | None = None
+    usual: np.ndarray | None = None
+    bound: np.ndarray | None = None
+    least_score: float = 0.0
 
 
 def word_grams(known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,32 +102,34 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _vectors(sample: DataFrame) -> list[tuple[str, float, np.ndarray, np.ndarray]]:
-    """(language, digest, n-gram numbers, frequencies) of the sampled rows."""
+    """(language, digest, n-gram numbers, frequencies, n-grams in all) of the sampled rows."""
 
     def run(batches):
         for part, offsets, codes, known in _slices_of(batches):
             grams, at, counts = word_grams(known)
-            numbers, shares = [], []
+            numbers, shares, sizes = [], [], []
             for i in range(len(part)):
                 own = gather(grams, at, counts, codes[offsets[i] : offsets[i + 1]])
                 number, n = np.unique(own, return_counts=True)
                 numbers.append(number)
+                sizes.append(len(own))
                 shares.append((n / max(len(own), 1)).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("lang"), part.column("digest"),
-                    pa.array(numbers, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32())),
+                    pa.array(numbers, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32())), pa.array(sizes, pa.int64()),
                 ],
-                ["lang", "digest", "grams", "tf"],
+                ["lang", "digest", "grams", "tf", "n"],
             )
 
     table = sample.select("text", "lang", "digest").mapInArrow(
-        run, "lang string, digest double, grams array<int>, tf array<float>"
+        run, "lang string, digest double, grams array<int>, tf array<float>, n long"
     ).toArrow()
     rows = []
     for i in range(len(table)):
         grams, tf = (table.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("grams", "tf"))
-        rows.append((table.column("lang")[i].as_py(), table.column("digest")[i].as_py(), grams, tf.astype(np.float64)))
+        lang, digest, n = (table.column(c)[i].as_py() for c in ("lang", "digest", "n"))
+        rows.append((lang, digest, grams, tf.astype(np.float64), n))
     return sorted(rows, key=lambda r: (r[1], r[0]))
 
 
@@ -154,7 +164,7 @@ def train(docs: DataFrame, epochs: int = 6) -> Model | None:
     held, used = examples[:cut], examples[cut:]
     learner, bias = Ftrl((DIMENSIONS, len(languages)), rate=2.0, l1=1e-3, l2=1e-4), Ftrl(len(languages), l1=0, l2=0)
     for _ in range(epochs):
-        for lang, _, grams, tf in used:
+        for lang, _, grams, tf, _ in used:
             x = tf * idf[grams]
             w, b = learner.weights(grams), bias.weights()
             error = _softmax(x @ w + b)
@@ -163,7 +173,7 @@ def train(docs: DataFrame, epochs: int = 6) -> Model | None:
             bias.update(slice(None), error, b)
     model = Model(languages, idf, learner.weights(), bias.weights())
     calibrated = held or used
-    logits = np.array([(tf * idf[g]) @ model.weights[g] + model.bias for _, _, g, tf in calibrated])
+    logits = np.array([(tf * idf[g]) @ model.weights[g] + model.bias for _, _, g, tf, _ in calibrated])
     truth = np.array([number[lang] for lang, *_ in calibrated])
     best = np.inf
     for temperature in np.geomspace(0.05, 5, 80):
@@ -171,37 +181,76 @@ def train(docs: DataFrame, epochs: int = 6) -> Model | None:
         loss = -np.log(np.maximum(p, 1e-12)).mean()
         if loss < best - 1e-9:
             best, model.temperature = loss, float(temperature)
+    _bound(model, examples, number, counts, total)
+    p = _softmax(logits / model.temperature)[np.arange(len(truth)), truth]
+    even = 1 / len(languages)
+    if len(p) >= LEAST_ROWS:
+        model.least_score = max(0.0, even + (np.quantile(p, 1 - KEPT_SHARE, method="lower") - even) / MARGIN)
     return model
 
 
+def _bound(model: Model, examples: list, number: dict[str, int], counts: np.ndarray, total: int) -> None:
+    """How rare a language's n-grams usually are, and how rare they may be.
+
+    A softmax only tells the learned languages apart. Texts in none of them show
+    by n-grams that few rows hold. The examples are measured without themselves,
+    and a language with fewer than LEAST_ROWS of them rejects nothing.
+    """
+    model.rarity = np.log((1 + total) / (1 + counts))
+    without = np.log((1 + total) / np.maximum(counts, 1))
+    model.usual, model.bound = np.zeros(len(number)), np.full(len(number), np.inf)
+    mean, size, lang = (np.array(x) for x in zip(*[(tf @ without[g], n, number[k]) for k, _, g, tf, n in examples if n])) if any(
+        e[4] for e in examples
+    ) else (np.zeros(0),) * 3
+    for k in range(len(number)):
+        own = lang == k
+        if own.sum() >= LEAST_ROWS:
+            model.usual[k] = np.median(mean[own])
+            strange = _strangeness(mean[own], model.usual[k], size[own])
+            model.bound[k] = MARGIN * np.quantile(strange, KEPT_SHARE, method="higher")
+
+
+def _strangeness(rarity, usual, n):
+    """Mean rarity beyond the usual, weighed up the more n-grams there are."""
+    return (rarity - usual) * np.sqrt(n / (n + 20.0))
+
+
 def language_column(model: Model | None, text: str = "text") -> Column:
-    """struct(lang_pred, score) of a text; ``und`` with score 0 if it is null or has no letter."""
+    """struct(lang_pred, score, known) of a text; ``und`` with score 0 if it is null or has no letter.
+
+    ``known`` says whether the text can be in a learned language at all.
+    """
     if model is None:
-        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("known"))
     table = model.idf[:, None] * model.weights
+    table = np.concatenate([table, model.rarity[:, None]], axis=1)
     bias, names, temperature = model.bias, pa.array(model.languages), model.temperature
+    usual, bound, least_score = model.usual, model.bound, model.least_score
 
-    @F.arrow_udf("struct<lang_pred string, score double>")
+    @F.arrow_udf("struct<lang_pred string, score double, known boolean>")
     def predict(texts: pa.Array) -> pa.Array:
-        langs, scores = [], []
+        langs, scores, knowns = [], [], []
         for start, stop in slices(texts):
             offsets, codes, known = words(texts.slice(start, stop - start))
             grams, at, counts = word_grams(known)
             n = np.add.reduceat(np.append(counts[codes], 0), offsets[:-1]) if len(codes) else np.zeros(len(offsets) - 1)
             n = np.where(np.diff(offsets) > 0, n, 0)
-            logits = np.zeros((len(offsets) - 1, len(names)))
-            for k in range(len(names)):
+            logits = np.zeros((len(offsets) - 1, len(names) + 1))
+            for k in range(len(names) + 1):
                 # TF-IDF is linear in the counts, so a word's share of the score is the same wherever it stands
                 by_word = np.add.reduceat(table[grams, k], at) if len(grams) else np.zeros(0)
                 total = np.concatenate([[0.0], np.cumsum(by_word[codes])]) if len(codes) else np.zeros(1)
                 logits[:, k] = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)
+            logits, rarity = logits[:, :-1], logits[:, -1]
             p = _softmax((logits + bias) / temperature)
             best = p.argmax(axis=1)
             langs.append(names.take(pa.array(best)))
             scores.append(p[np.arange(len(best)), best])
+            knowns.append((_strangeness(rarity, usual[best], n) <= bound[best]) & (scores[-1] >= least_score))
         langs = pa.concat_arrays(langs) if langs else pa.array([], pa.string())
         return pa.StructArray.from_arrays(
-            [langs, pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["lang_pred", "score"]
+            [langs, *(pa.array(np.concatenate(x) if x else np.zeros(0, t)) for x, t in ((scores, float), (knowns, bool)))],
+            ["lang_pred", "score", "known"],
         )
 
     lettered = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
@@ -209,6 +258,7 @@ def language_column(model: Model | None, text: str = "text") -> Column:
     return F.struct(
         F.when(lettered, found["lang_pred"]).otherwise(UNKNOWN).alias("lang_pred"),
         F.when(lettered, found["score"]).otherwise(0.0).alias("score"),
+        F.when(lettered, found["known"]).otherwise(False).alias("known"),
     )
 
 

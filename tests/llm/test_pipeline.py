@@ -48,6 +48,16 @@ def test_stages_take_effect(spark, small):
     assert seen[3].count() == seen[4].count()
 
 
+def test_texts_in_no_learned_language_are_dropped(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    strange = ["Это совсем другой язык и он не выучен", "これは日本語の文章です。学習されていません", "zzxq wqxz vvkj qqzx jjxk wwzp pqpq xzxz"]
+    more = [(1000 + i, t, None, "s1", len(t)) for i, t in enumerate(strange)]
+    both = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, both, small).select("doc_id").collect()}
+    assert not {r[0] for r in more} & kept
+    assert len({i for i in range(300) if i % 6} & kept) > 0.99 * 250
+
+
 def test_run_writes_each_stage(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
