@@ -38,7 +38,6 @@ THETA = {
     "gw": (1.30, 1.10, 2.4),
     "er": (1.35, 1.30, 2.6),
 }
-THETA_SCENARIO_CAP = 3.5
 
 INSURED = ("sub", "wx", "fl", "gw")
 PERILS = INSURED + ("er",)
@@ -55,16 +54,3 @@ class Assumptions:
     sigma_factor: float = 1.0
     flood_frequency_factor: float = 1.0
     erosion_column: str = "er_frac"
-
-
-# The published sensitivity scenarios.
-SCENARIOS = (
-    Assumptions("baseline"),
-    Assumptions("theta_low", theta_factor=0.75, theta_cap=THETA_SCENARIO_CAP),
-    Assumptions("theta_high", theta_factor=1.25, theta_cap=THETA_SCENARIO_CAP),
-    Assumptions("rho2_zero", rho={"sub": 0.0, "gw": 0.0, "er": 0.35}),
-    Assumptions("rho2_high", rho={"sub": 0.30, "gw": 0.50, "er": 0.35}),
-    Assumptions("sev_sigma_up", sigma_factor=1.10),
-    Assumptions("flood_freq_150", flood_frequency_factor=1.50),
-    Assumptions("erosion_no_intervention", erosion_column="er_nfi105"),
-)
