@@ -6,14 +6,19 @@ from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    conversations,
     embedding_dedup,
     jaccard_join,
     language_id,
+    manifest,
     mixing,
     nearest_neighbours,
+    oracles,
+    packing,
     quality,
     token_counts,
     token_files,
@@ -77,11 +82,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(given), given)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), END_ID, room=1024
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_embedding_dedup, op3_jaccard_join, op4_bpe_round_trip, op5_token_files,
-        op6_language_id, op7_quality, op8_nearest_neighbours, op9_mixture, op10_toxicity,
+        op6_language_id, op7_quality, op8_nearest_neighbours, op9_mixture, op10_toxicity, op11_merkle_manifest,
+        op12_conversation_repair, op13_packing,
     )
 }
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -106,6 +128,8 @@ def _due_sql(mix: mixing.Mix, demand: str) -> str:
 
 MIX = mixing.Mix()
 ORACLES: dict[str, str] = {
+    "op11_merkle_manifest": oracles.MANIFEST,
+    "op12_conversation_repair": oracles.CONVERSATIONS,
     "op2_embedding_dedup": """
         WITH RECURSIVE v AS (
           SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
