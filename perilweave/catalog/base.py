@@ -233,21 +233,24 @@ def overlap_cte(name: str, a: str, b: str, a_key: str, b_key: str) -> str:
     """Shared area of two corner tables, all boxes compared, whole edges."""
     return f"""{edge_cte(name + '_ea', a, a_key)}, {edge_cte(name + '_eb', b, b_key)},
     {name}_box AS (
-      SELECT a.{a_key}, b.{b_key}, least(a.y1, a.y2, a.y3, a.y4, b.y1, b.y2, b.y3, b.y4) AS base
+      SELECT a.{a_key}, b.{b_key},
+        least((greatest(a.x1, a.x2, a.x3, a.x4) - least(a.x1, a.x2, a.x3, a.x4)) * (greatest(a.y1, a.y2, a.y3, a.y4) - least(a.y1, a.y2, a.y3, a.y4)),
+          (greatest(b.x1, b.x2, b.x3, b.x4) - least(b.x1, b.x2, b.x3, b.x4)) * (greatest(b.y1, b.y2, b.y3, b.y4) - least(b.y1, b.y2, b.y3, b.y4))) AS box,
+        least(a.y1, a.y2, a.y3, a.y4, b.y1, b.y2, b.y3, b.y4) AS base
       FROM {a} a JOIN {b} b
         ON least(a.x1, a.x2, a.x3, a.x4) < greatest(b.x1, b.x2, b.x3, b.x4)
        AND least(b.x1, b.x2, b.x3, b.x4) < greatest(a.x1, a.x2, a.x3, a.x4)
        AND least(a.y1, a.y2, a.y3, a.y4) < greatest(b.y1, b.y2, b.y3, b.y4)
        AND least(b.y1, b.y2, b.y3, b.y4) < greatest(a.y1, a.y2, a.y3, a.y4)),
     {name}_met AS (
-      SELECT p.{a_key}, p.{b_key}, p.base, e.xs AS axs, e.ys AS ays, e.xe AS axe, e.ye AS aye,
+      SELECT p.{a_key}, p.{b_key}, p.base, p.box, e.xs AS axs, e.ys AS ays, e.xe AS axe, e.ye AS aye,
         f.xs AS bxs, f.ys AS bys, f.xe AS bxe, f.ye AS bye,
         greatest(least(e.xs, e.xe), least(f.xs, f.xe)) AS lo,
         least(greatest(e.xs, e.xe), greatest(f.xs, f.xe)) AS hi
       FROM {name}_box p JOIN {name}_ea e ON e.{a_key} = p.{a_key} JOIN {name}_eb f ON f.{b_key} = p.{b_key}
       WHERE e.xs <> e.xe AND f.xs <> f.xe),
     {name}_h AS (
-      SELECT {a_key}, {b_key}, hi - lo AS w, sign(axs - axe) * sign(bxs - bxe) AS sgn,
+      SELECT {a_key}, {b_key}, box, hi - lo AS w, sign(axs - axe) * sign(bxs - bxe) AS sgn,
         ays + (aye - ays) * (lo - axs) / (axe - axs) - base AS f0,
         ays + (aye - ays) * (hi - axs) / (axe - axs) - base AS f1,
         bys + (bye - bys) * (lo - bxs) / (bxe - bxs) - base AS g0,
@@ -259,4 +262,4 @@ def overlap_cte(name: str, a: str, b: str, a_key: str, b_key: str) -> str:
           WHEN f0 >= g0 AND f1 >= g1 THEN w * (g0 + g1) / 2
           WHEN f0 < g0 THEN w * (g0 + g1) / 2 + w * (f0 - g0) * (f0 - g0) / (2 * (f0 - g0 - f1 + g1))
           ELSE w * (g0 + g1) / 2 + w * (f1 - g1) * (f1 - g1) / (2 * (f1 - g1 - f0 + g0)) END)) AS overlap
-      FROM {name}_h GROUP BY {a_key}, {b_key} HAVING overlap > 1e-9)"""
+      FROM {name}_h GROUP BY {a_key}, {b_key} HAVING overlap > 1e-12 * min(box))"""

@@ -30,10 +30,10 @@ DZ = ["district_corners", "zone_corners"]
 
 
 @query("j5_overlay_area", sql(DZ, OVERLAY + """
-    SELECT district_id, zone_id, round(overlap, 4) AS overlap FROM ov WHERE overlap > 1e-3"""))
+    SELECT district_id, zone_id, round(overlap, 4) AS overlap FROM ov"""))
 def overlay(spark, sf):
     ov = S.overlay_area(districts(spark, sf), zones(spark, sf), "district_id", "zone_id", CELL)
-    return ov.where("overlap > 1e-3").withColumn("overlap", F.round("overlap", 4))
+    return ov.withColumn("overlap", F.round("overlap", 4))
 
 
 @query("f12_geometry_measures", sql("district_corners", f"""

@@ -222,30 +222,24 @@ def nearest_polygon(lonely: DataFrame, polys: DataFrame, target_id: str, poly_id
 
 def points_near_area(grid: DataFrame, areas: DataFrame, distance: float, cell: float) -> DataFrame:
     """Grid points (point_id, x, y) inside an area or within ``distance`` of one."""
-    from .spatial import edges, points_in_polygons, with_cells
+    from .spatial import edges, points_in_polygons
+    from .tiles import BOX, box_ctes, point_ctes
 
     key = areas.columns[0]
-    sides = edges(areas, key).withColumns(
-        {
-            "minx": F.least("x1", "x2") - distance,
-            "maxx": F.greatest("x1", "x2") + distance,
-            "miny": F.least("y1", "y2") - distance,
-            "maxy": F.greatest("y1", "y2") + distance,
-        }
-    )
-    cells = with_cells(sides, cell).alias("s")
-    located = grid.withColumns(
-        {"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)}
-    ).alias("g")
+    sides = edges(areas, key).selectExpr(
+        "x1", "y1", "x2", "y2", f"least(x1, x2) - {distance} AS minx", f"greatest(x1, x2) + {distance} AS maxx",
+        f"least(y1, y2) - {distance} AS miny", f"greatest(y1, y2) + {distance} AS maxy",
+    )
     along = (
         "least(greatest(((g.x-s.x1)*(s.x2-s.x1)+(g.y-s.y1)*(s.y2-s.y1))"
         "/(pow(s.x2-s.x1,2)+pow(s.y2-s.y1,2)),0D),1D)"
     )
-    close = (
-        (F.col("g.cx") == F.col("s.cx"))
-        & (F.col("g.cy") == F.col("s.cy"))
-        & F.expr(f"hypot(g.x-s.x1-{along}*(s.x2-s.x1), g.y-s.y1-{along}*(s.y2-s.y1)) <= {float(distance)}D")
-    )
-    beside = located.join(cells, close, "left_semi").select("point_id")
+    beside = grid.sparkSession.sql(
+        f"""WITH {box_ctes("side", "{sides}", ["x1", "y1", "x2", "y2", *BOX], cell)},
+          {point_ctes("spot", "{grid}", ["point_id", "x", "y"], "side_levels", cell)}
+        SELECT g.point_id FROM spot g LEFT SEMI JOIN side s ON g.lv = s.lv AND g.cx = s.cx AND g.cy = s.cy
+          AND hypot(g.x-s.x1-{along}*(s.x2-s.x1), g.y-s.y1-{along}*(s.y2-s.y1)) <= {float(distance)}D""",
+        sides=sides, grid=grid,
+    )
     inside = points_in_polygons(grid, areas, key, cell).select("point_id")
     return grid.join(beside.union(inside).distinct(), "point_id", "left_semi")

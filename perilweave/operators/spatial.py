@@ -1,11 +1,9 @@
-"""Polygon joins on plain arrays of corners, as equi-joins on grid cells.
+"""Polygon joins on plain arrays of corners, as equi-joins on tiles.
 
 A polygon is ``rings ARRAY<ARRAY<STRUCT<x, y>>>``: outer rings run
-counter-clockwise, holes clockwise. Layers meet through grid cells, so every
-join is an equi-join with a residual filter; a pair of boxes is kept only in
-the cell that holds the lower left corner of their intersection, which makes
-pairs unique without a ``distinct``. Edges are cut at grid columns, so polygons
-with many edges only compare edges that share a column.
+counter-clockwise, holes clockwise. Layers meet through the tiles of their
+boxes or of their cut edges (``tiles``), so every join is an equi-join with a
+residual filter, and no join has a polygon alone as its key.
 """
 
 from __future__ import annotations
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .tiles import BOX, PIECE, box_ctes, met_ctes, point_ctes, polygon_ctes, quoted, winding_sql
 
 def ring_area(rings: str = "rings") -> Column:
     """Signed area under the edges; holes subtract themselves."""
@@ -51,111 +50,51 @@ def edges(df: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     ).where("x1 <> x2 OR y1 <> y2")
 
 
-def edge_pieces(df: DataFrame, key: str, cell: float, rings: str = "rings") -> DataFrame:
-    """Edges cut at grid columns, left to right, with the sign of their direction.
-
-    Vertical edges enclose no area under them and drop out.
-    """
-    e = edges(df, key, rings).where("x1 <> x2")
-    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
-    e = e.select(
-        "*",
-        F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))).alias("strip"),
-    )
-    xa = F.greatest(lo, F.col("strip") * F.lit(float(cell)))
-    xb = F.least(hi, (F.col("strip") + 1) * F.lit(float(cell)))
-    y_at = lambda x: F.expr("y1") + (F.expr("y2 - y1")) * (x - F.col("x1")) / F.expr("x2 - x1")
-    return e.select(
-        key,
-        "strip",
-        xa.alias("xa"),
-        xb.alias("xb"),
-        y_at(xa).alias("ya"),
-        y_at(xb).alias("yb"),
-        F.signum(F.expr("x1 - x2")).alias("sgn"),
-    ).where("xa < xb")
-
-
-def with_cells(df: DataFrame, cell: float) -> DataFrame:
-    """One row per grid cell the box of a polygon touches."""
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    return df.withColumn("cx", F.explode(span("minx", "maxx"))).withColumn(
-        "cy", F.explode(span("miny", "maxy"))
-    )
-
-
-def box_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float) -> DataFrame:
-    """Pairs of polygons whose boxes overlap, each exactly once."""
-    box = lambda df, key, p: with_cells(
-        with_bbox(df).select(key, "minx", "miny", "maxx", "maxy"), cell
-    ).select(key, "cx", "cy", *[F.col(c).alias(f"{p}_{c}") for c in ("minx", "miny", "maxx", "maxy")])
-    left, right = box(a, a_id, "a"), box(b, b_id, "b")
-    corner_here = (
-        (F.floor(F.greatest("a_minx", "b_minx") / cell) == F.col("cx"))
-        & (F.floor(F.greatest("a_miny", "b_miny") / cell) == F.col("cy"))
-    )
-    return (
-        left.join(right, ["cx", "cy"])
-        .where("a_minx < b_maxx AND b_minx < a_maxx AND a_miny < b_maxy AND b_miny < a_maxy")
-        .where(corner_here)
-        .select(a_id, b_id, F.least("a_miny", "b_miny").alias("base"))
-    )
+# Overlaps below this share of the smaller box are rounding: polygons that only touch.
+TOUCHING = 1e-12
 
 
 def overlay_area(a: DataFrame, b: DataFrame, a_id: str, b_id: str, cell: float) -> DataFrame:
     """Area each overlapping pair shares, in one row per pair.
 
-    The shared area is the sum over pairs of edge pieces that meet in x of
-    the signed area under the lower of the two, measured from a base line
-    below both polygons.
+    Polygons meet tile by tile, each at its own level (``tiles``). Inside the
+    smaller of two tiles the shared area is the sum over pairs of pieces that
+    meet in x of the area under the lower of the two, above the tile's lower
+    border. Every positive overlap is kept down to what double precision tells
+    from touching (TOUCHING of the smaller box).
     """
-    pa = edge_pieces(a, a_id, cell).select(
-        a_id, "strip", *[F.col(c).alias(f"a_{c}") for c in ("xa", "xb", "ya", "yb", "sgn")]
-    )
-    pb = edge_pieces(b, b_id, cell).select(
-        b_id, "strip", *[F.col(c).alias(f"b_{c}") for c in ("xa", "xb", "ya", "yb", "sgn")]
-    )
-    met = (
-        box_pairs(a, b, a_id, b_id, cell)
-        .join(pa, a_id)
-        .join(pb, [b_id, "strip"])
-        .where("a_xa < b_xb AND b_xa < a_xb")
-    )
-    met = met.withColumns({"lo": F.greatest("a_xa", "b_xa"), "hi": F.least("a_xb", "b_xb")})
-    height = lambda p, x: F.expr(
-        f"{p}_ya + ({p}_yb - {p}_ya) * ({x} - {p}_xa) / ({p}_xb - {p}_xa) - base"
-    )
-    met = met.withColumns(
-        {
-            "w": F.expr("hi - lo"),
-            "g0": height("b", "lo"),
-            "g1": height("b", "hi"),
-            "d0": height("a", "lo") - height("b", "lo"),
-            "d1": height("a", "hi") - height("b", "hi"),
-        }
-    )
-    under = F.expr("w * (g0 + g1) / 2") + F.expr(
-        """CASE WHEN d0 <= 0 AND d1 <= 0 THEN w * (d0 + d1) / 2
+    meet = """a_xa < b_xb AND b_xa < a_xb AND a_minx < b_maxx AND b_minx < a_maxx AND a_miny < b_maxy AND b_miny < a_maxy
+        AND greatest(a_ya, a_yb) > b_cy * b_s AND greatest(b_ya, b_yb) > a_cy * a_s"""
+    # f is the piece of the smaller tile, c that of the larger one.
+    sides = ", ".join(
+        f"IF(a_finer = {finer}, a_{c}, b_{c}) AS {p}{c}" for p, finer in (("f", "true"), ("c", "false")) for c in ("xa", "xb", "ya", "yb")
+    )
+    height = lambda p, x: f"{p}ya - base + ({p}yb - {p}ya) * ({x} - {p}xa) / ({p}xb - {p}xa)"
+    return a.sparkSession.sql(
+        f"""WITH {polygon_ctes("ta", "{a}", [a_id], cell)}, {polygon_ctes("tb", "{b}", [b_id], cell)},
+          {met_ctes("met", "ta", "tb", [a_id, *BOX, *PIECE], [b_id, *BOX, *PIECE], meet)},
+          sided AS (
+            SELECT `a_{a_id}`, `b_{b_id}`, a_w * b_w AS w, {sides}, IF(a_finer, a_cy * a_s, b_cy * b_s) AS base,
+              least((a_maxx - a_minx) * (a_maxy - a_miny), (b_maxx - b_minx) * (b_maxy - b_miny)) AS box,
+              greatest(a_xa, b_xa) AS lo, least(a_xb, b_xb) AS hi FROM met),
+          heights AS (SELECT *, {height("c", "lo")} AS g0, {height("c", "hi")} AS g1 FROM sided),
+          -- the larger tile's piece may dip below the smaller tile: only its part above counts
+          raised AS (
+            SELECT * EXCEPT (lo, hi, g0, g1), IF(g0 < 0, lo + (hi - lo) * g0 / (g0 - g1), lo) AS lo,
+              IF(g1 < 0, lo + (hi - lo) * g0 / (g0 - g1), hi) AS hi, greatest(g0, 0D) AS g0, greatest(g1, 0D) AS g1
+            FROM heights WHERE g0 > 0 OR g1 > 0),
+          apart AS (
+            SELECT *, greatest(hi - lo, 0D) AS wide, {height("f", "lo")} - g0 AS d0, {height("f", "hi")} - g1 AS d1 FROM raised),
+          shared AS (
+            SELECT `a_{a_id}` AS `{a_id}`, `b_{b_id}` AS `{b_id}`, min(box) AS box, sum(w * wide * ((g0 + g1) / 2 + CASE
+                WHEN d0 <= 0 AND d1 <= 0 THEN (d0 + d1) / 2
                 WHEN d0 >= 0 AND d1 >= 0 THEN 0D
-                WHEN d0 < 0 THEN w * d0 * d0 / (2 * (d0 - d1))
-                ELSE w * d1 * d1 / (2 * (d1 - d0)) END"""
-    )
-    return (
-        met.groupBy(a_id, b_id)
-        .agg(F.sum(F.expr("a_sgn * b_sgn") * under).alias("overlap"))
-        .where("overlap > 1e-9")
-    )
-
-
-def polygon_cells(polys: DataFrame, key: str, cell: float, keep: list[str] | None = None) -> DataFrame:
-    """Grid cells of each polygon with the edge pieces of their column."""
-    strips = edge_pieces(polys, key, cell).groupBy(key, "strip").agg(
-        F.collect_list(F.struct("xa", "xb", "ya", "yb")).alias("pieces")
-    )
-    boxes = with_cells(
-        with_bbox(polys).select(key, *(keep or []), "minx", "miny", "maxx", "maxy"), cell
-    )
-    return boxes.join(strips.withColumnRenamed("strip", "cx"), [key, "cx"])
+                WHEN d0 < 0 THEN d0 * d0 / (2 * (d0 - d1))
+                ELSE d1 * d1 / (2 * (d1 - d0)) END)) AS overlap
+            FROM apart GROUP BY 1, 2)
+        SELECT `{a_id}`, `{b_id}`, overlap FROM shared WHERE overlap > {TOUCHING} * box""",
+        a=with_bbox(a), b=with_bbox(b),
+    )
 
 
 def points_in_polygons(
@@ -163,36 +102,32 @@ def points_in_polygons(
 ) -> DataFrame:
     """Pair each point (x, y) with the polygons that hold it.
 
-    The points are never shuffled when the polygon cells are small enough for
-    Spark to broadcast; a polygon holds a point if an odd number of its edges
-    lie above.
+    A point looks up its tile at each level the polygons have; the pieces of
+    that tile alone tell its winding number, which is odd inside. The points
+    are never shuffled when the tiles are small enough for Spark to broadcast.
     """
-    cells = polygon_cells(polys, key, cell, keep)
-    located = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    above = F.expr(
-        """size(filter(pieces, p -> p.xa <= x AND x < p.xb
-             AND p.ya + (p.yb - p.ya) * (x - p.xa) / (p.xb - p.xa) > y)) % 2 = 1"""
-    )
-    return (
-        located.join(cells, ["cx", "cy"])
-        .where("x >= minx AND x <= maxx AND y >= miny AND y <= maxy")
-        .where(above)
-        .drop("cx", "cy", "pieces", "minx", "miny", "maxx", "maxy")
-    )
+    columns = [key, *(keep or [])]
+    return points.sparkSession.sql(
+        f"""WITH {polygon_ctes("t", "{polys}", columns, cell)},
+          tile AS (
+            SELECT {quoted([*columns, "lv", "cx", "cy"])}, collect_list(struct({quoted(PIECE)})) AS pieces
+            FROM t GROUP BY {quoted([*columns, *BOX, "lv", "cx", "cy"])}),
+          {point_ctes("spot", "{points}", points.columns, "t_levels", cell)}
+        SELECT {quoted(points.columns, "spot.")}, {quoted(columns, "tile.")} FROM spot JOIN tile ON spot.lv = tile.lv AND spot.cx = tile.cx AND spot.cy = tile.cy
+        WHERE abs({winding_sql("tile.pieces", "spot.x", "spot.y")}) % 2 = 1""",
+        polys=with_bbox(polys), points=points,
+    )
 
 
 def tiles_touching(tiles: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     """Tiles (minx, miny, maxx, maxy) whose box meets the box of any area."""
-    boxes = with_cells(with_bbox(areas).select("minx", "miny", "maxx", "maxy"), cell).select(
-        "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")]
-    )
-    spread = with_cells(tiles.select("tile_id", "minx", "miny", "maxx", "maxy"), cell)
-    hit = (
-        (F.col("t.cx") == F.col("b.cx"))
-        & (F.col("t.cy") == F.col("b.cy"))
-        & F.expr("t.minx <= b.b_maxx AND b.b_minx <= t.maxx AND t.miny <= b.b_maxy AND b.b_miny <= t.maxy")
-    )
-    found = spread.alias("t").join(boxes.alias("b"), hit, "left_semi").select("tile_id").distinct()
+    touch = "a_minx <= b_maxx AND b_minx <= a_maxx AND a_miny <= b_maxy AND b_miny <= a_maxy"
+    found = tiles.sparkSession.sql(
+        f"""WITH {box_ctes("tt", "{tiles}", ["tile_id", *BOX], cell)}, {box_ctes("ar", "{areas}", BOX, cell)},
+          {met_ctes("met", "tt", "ar", ["tile_id", *BOX], BOX, touch, "LEFT SEMI JOIN")}
+        SELECT DISTINCT a_tile_id AS tile_id FROM met""",
+        tiles=tiles, areas=with_bbox(areas),
+    )
     return tiles.join(found, "tile_id", "left_semi")
 
 
