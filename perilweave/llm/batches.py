@@ -101,8 +101,8 @@ def packed(ids: list[int]) -> bytes:
 class PieceTable:
     """Packed ids of text pieces; those met lately are remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], longest: int = 64):
-        self.encode, self.longest, self.known = encode, longest, Recent()
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], longest: int = 64, limit: int = 80_000):
+        self.encode, self.longest, self.known = encode, longest, Recent(limit)
 
     def lookup(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(all ids, first position, count) of each piece."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -11,9 +12,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .batches import PieceTable, Recent, byte_letters, gather, packed, slices, spaced_pieces
+from .batches import PieceTable, byte_letters, gather, packed, slices, spaced_pieces
 
 NEVER = 1 << 60
+# A letter and the ASCII signs after it are never one pre-token (an apostrophe
+# may start a contraction, so it is no such sign): two pre-tokens by themselves.
+WORD_AND_SIGNS = (
+    r"^(?P<word> ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
+)
 # Fixed value: the published pre-token pattern of byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -24,6 +30,7 @@ class Codec:
     def __init__(self, path: str):
         import ahocorasick
         import regex
+        from tokenizers import pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -48,6 +55,7 @@ class Codec:
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self.pre_token = regex.compile(PRE_TOKEN)
+        self.library_cutter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.special.items():
             self.spelling[i] = content.encode()
@@ -57,11 +65,16 @@ class Codec:
             else None
         )
         self.tested: dict[int, bool] = {}
-        self.recent = Recent()
+        self.tested_before: dict[int, bool] = {}
         lengths = np.fromiter(map(len, self.spelling), np.int64, size)
         self.spelled = np.frombuffer(b"".join(self.spelling), np.uint8)
         self.spelled_at, self.spelled_n = np.cumsum(lengths) - lengths, lengths
-        self.table = PieceTable(lambda pieces: [packed(self.encode_piece(p)) for p in pieces])
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered of texts; a task starts and ends without it."""
+        self.pre_tokens = PieceTable(self.encode_pre_tokens, limit=160_000)
+        self.pieces = PieceTable(self.encode_pieces, limit=20_000)
 
     def compatible(self, a: int, b: int) -> bool:
         """Does encoding the bytes of token a, then those of token b, give just [a, b]?
@@ -72,6 +85,9 @@ class Codec:
         first.
         """
         key = a << 32 | b
+        if key in self.tested_before:
+            self.tested[key] = answer = self.tested_before[key]
+            return answer
         born, left_until, right_until, answer = self.born, NEVER, NEVER, True
         while True:
             rank = self.merges.get(a << 32 | b)
@@ -85,59 +101,101 @@ class Codec:
             else:
                 break
         if len(self.tested) > 500_000:
-            self.tested.clear()
+            self.tested_before, self.tested = self.tested, {}
         self.tested[key] = answer
         return answer
 
-    def encode_pre_token(self, text: str) -> list[int]:
-        """Ids of one pre-token.
+    def encode_pre_tokens(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of pre-tokens.
 
         For each prefix the automaton names the tokens that end it; exactly one
         of them is the last token of the prefix's encoding: the one compatible
-        with the last token of the prefix that it leaves.
+        with the last token of the prefix that it leaves. What is stored for a
+        prefix holds for all pre-tokens that start with it, so they are taken in
+        order and each goes on where it departs from the one before.
         """
-        data = text.encode().decode("latin-1")
-        last, width, settled = [-1] * (len(data) + 1), [0] * (len(data) + 1), -1
-        known, compatible = self.tested.get, self.compatible
-        for end, (token, length) in self.automaton.iter(data):
-            if end == settled:
-                continue
-            start = end + 1 - length
-            if start:
-                before = last[start]
-                fits = before >= 0 and known(before << 32 | token)
-                if fits is None:
-                    fits = compatible(before, token)
-                if not fits:
+        spelled = [t if t.isascii() else t.encode().decode("latin-1") for t in texts]
+        longest = max(map(len, spelled), default=0)
+        last, width, previous = [-1] * (longest + 1), [0] * (longest + 1), ""
+        out = [b""] * len(texts)
+        for i in sorted(range(len(spelled)), key=spelled.__getitem__):
+            data, shared = spelled[i], 0
+            for x, y in zip(data, previous):
+                if x != y:
+                    break
+                shared += 1
+            previous, settled, known, compatible = data, shared - 1, self.tested.get, self.compatible
+            matches = list(self.automaton.iter(data))
+            for end, (token, length) in matches[bisect_left(matches, (shared,)) :]:
+                if end == settled:
                     continue
-            last[end + 1], width[end + 1], settled = token, length, end
-        ids, at = [], len(data)
-        while at:
-            ids.append(last[at])
-            at -= width[at]
-        return ids[::-1]
-
-    def encode_piece(self, piece: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.specials.split(piece) if self.specials else [piece]:
-            if part in self.special:
-                ids.append(self.special[part])
-            else:
-                for token in self.pre_token.findall(part):
-                    found = self.recent.get(token)
-                    if found is None:
-                        found = self.encode_pre_token(token)
-                        if len(token) <= 64:
-                            self.recent.put(token, found)
-                    ids += found
-        return ids
+                start = end + 1 - length
+                if start:
+                    before = last[start]
+                    fits = known(before << 32 | token)
+                    if fits is None:
+                        fits = compatible(before, token)
+                        known = self.tested.get
+                    if not fits:
+                        continue
+                last[end + 1], width[end + 1], settled = token, length, end
+            ids, at = [], len(data)
+            while at:
+                ids.append(last[at])
+                at -= width[at]
+            ids.reverse()
+            out[i] = packed(ids)
+        return out
+
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings.
+
+        Beyond Latin-1 the library's own cutter decides, as its table of letters
+        is older than that of the regex package.
+        """
+        if text.isascii() or max(text) <= "\xff":
+            return self.pre_token.findall(text)
+        return [text[a:b] for _, (a, b) in self.library_cutter.pre_tokenize_str(text)]
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of any texts, special strings being their own ids."""
+        cuts, tokens = [], []
+        for piece in pieces:
+            found = len(tokens)
+            for part in self.specials.split(piece) if self.specials else [piece]:
+                tokens += [part] if part in self.special else self.cut(part)
+            cuts.append((found, len(tokens)))
+        distinct = dict.fromkeys(tokens)
+        plain = [t for t in distinct if t not in self.special]
+        distinct.update(zip(plain, self.encode_pre_tokens(plain)))
+        distinct.update((t, packed([i])) for t, i in self.special.items())
+        return [b"".join(map(distinct.__getitem__, tokens[a:b])) for a, b in cuts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets of the texts)."""
         offsets, codes, known = spaced_pieces(texts)
-        flat, starts, counts = self.table.lookup(known)
-        ends = np.concatenate([[0], np.cumsum(counts[codes])])
-        return gather(flat, starts, counts, codes), ends[offsets]
+        parts = pc.extract_regex(known, WORD_AND_SIGNS)
+        plain = parts.is_valid()
+        words = parts.field("word").filter(plain).dictionary_encode()
+        signs = parts.field("signs").filter(plain).dictionary_encode()
+        found = [
+            self.pre_tokens.lookup(words.dictionary),
+            self.pre_tokens.lookup(signs.dictionary),
+            self.pieces.lookup(known.filter(pc.invert(plain))),
+        ]
+        # Runs of ids: words, then signs, then other pieces; a piece is one run or two.
+        flat, counts = np.concatenate([f[0] for f in found]), np.concatenate([f[2] for f in found])
+        starts = np.cumsum(counts) - counts
+        plain = plain.to_numpy(zero_copy_only=False)
+        runs_of = np.where(plain, 2, 1)
+        at = np.cumsum(runs_of) - runs_of
+        runs = np.empty(int(runs_of.sum()), np.int64)
+        runs[at[plain]] = words.indices.to_numpy(zero_copy_only=False)
+        runs[at[plain] + 1] = signs.indices.to_numpy(zero_copy_only=False) + len(words.dictionary)
+        runs[at[~plain]] = np.arange(int((~plain).sum())) + len(words.dictionary) + len(signs.dictionary)
+        tokens = np.add.reduceat(np.append(counts[runs], 0), at) if len(at) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(tokens[codes])])
+        return gather(flat, starts, counts, gather(runs, at, runs_of, codes)), ends[offsets]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The texts, in UTF-8; bytes that are none become the replacement mark."""
@@ -203,6 +261,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         coder = codec(path)
+        coder.forget()
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             for start, stop in slices(batch.column("text")):
@@ -218,6 +277,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        coder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
