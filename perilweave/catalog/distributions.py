@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..functions import copula as C
@@ -157,11 +159,36 @@ def loading_factor(spark, sf):
     return calibrate_loading(marginal_frequency(s, frequency_multipliers(s).first().asDict()))
 
 
-@query("s8_calibrate_loading")
+def _bracket_sql(rounds: int = 5, points: int = 128) -> str:
+    """CTEs ending in ``b{rounds}``: the bracket of the loading factor, narrowed as the fit does."""
+    z = f"{NormalDist().inv_cdf(0.99)!r}"
+    load = {k: f"least({A.BASE_LOADING[k]!r} * f, {A.LOADING_CAP!r})" for k in A.INSURED}
+    odds = ", ".join(f"least(greatest(1 - q_{k}, {C.TINY!r}), 1 - {C.TINY!r}) AS o_{k}, q_{k}" for k in A.INSURED)
+    out = f"o AS (SELECT households, {odds} FROM pm), t AS (SELECT households, " + ", ".join(
+        f"{Q.ppf(f'o_{k}')} AS t_{k}, q_{k}" for k in A.INSURED
+    ) + " FROM o), b0 AS (SELECT 1e-2 AS lo, 1e0 AS hi)"
+    for r in range(1, rounds + 1):
+        scores = ", ".join(f"(sqrt({load[k]}) * {z} - t_{k}) / sqrt(1 - {load[k]}) AS s_{k}" for k in A.INSURED)
+        out += f""",
+    g{r} AS (SELECT lo, hi, i, lo + (hi - lo) * i / {points - 1} AS f FROM b{r - 1}, range({points}) x(i)),
+    s{r} AS (SELECT lo, hi, i, f, households, {" + ".join(f"q_{k}" for k in A.INSURED)} AS q, {scores} FROM g{r}, t),
+    e{r} AS (SELECT lo, hi, i, f, sum(households * ({" + ".join(f"({Q.cdf(f's_{k}')})" for k in A.INSURED)})) > {A.TAIL_FREQUENCY_RATIO!r} * sum(households * q) AS over
+      FROM s{r} GROUP BY lo, hi, i, f),
+    b{r} AS (SELECT CASE WHEN n IS NULL THEN top ELSE below END AS lo, CASE WHEN n IS NULL THEN top WHEN n = 0 THEN below ELSE hit END AS hi FROM (
+      SELECT n, max(hi) AS top, max(CASE WHEN i = n THEN f END) AS hit, max(CASE WHEN i = greatest(n - 1, 0) THEN f END) AS below
+      FROM e{r}, (SELECT min(i) FILTER (over) AS n FROM e{r}) GROUP BY n))"""
+    return out
+
+
+@query("s8_calibrate_loading", sql("scored", MULT + ", " + Q.PARAMS + ", " + _bracket_sql() + """,
+    f AS (SELECT (lo + hi) / 2 AS f FROM b5)
+    SELECT round(f, 6) AS factor, """ + ", ".join(
+        f"round(least({A.BASE_LOADING[k]!r} * f, {A.LOADING_CAP!r}), 6) AS load_{k}" for k in A.BASE_LOADING
+    ) + ", (SELECT count(*) FROM scored) AS districts FROM f"))
 def loading(spark, sf):
     factor = loading_factor(spark, sf)
     return scored(spark, sf).agg(
-        F.lit(factor).alias("factor"), *[F.lit(v).alias(f"load_{k}") for k, v in loadings(factor).items()],
+        F.lit(round(factor, 6)).alias("factor"), *[F.lit(round(v, 6)).alias(f"load_{k}") for k, v in loadings(factor).items()],
         F.count(F.lit(1)).alias("districts"),
     )
 

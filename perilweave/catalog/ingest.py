@@ -85,6 +85,8 @@ def resume(spark, sf):
     return left.groupBy("tile_id").agg(F.count("*").alias("pixels"))
 
 
-@query("a14_no_nan_gate", """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS nan_values FROM lineitem""")
+@query("a14_no_nan_gate", """SELECT count(*) AS rows, CAST(sum(CAST(isnan(CAST(l_quantity AS DOUBLE)) AS INT)
+      + CAST(isnan(CAST(l_extendedprice AS DOUBLE)) AS INT) + CAST(isnan(CAST(l_discount AS DOUBLE)) AS INT)
+      + CAST(isnan(CAST(l_tax AS DOUBLE)) AS INT)) AS BIGINT) AS nan_values FROM lineitem""")
 def nan_gate(spark, sf):
     return Q.no_nan_gate(load_input(spark, sf, "lineitem"))

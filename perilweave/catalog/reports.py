@@ -119,9 +119,15 @@ def search(spark, sf):
     return R.prefix_search(load_input(spark, sf, "part").select("p_name").distinct(), "p_name", " red")
 
 
-@query("g31_describe")
+MEASURES = ["sub_score", "wx_score", "fl_score", "gw_score"]
+
+
+@query("g31_describe", sql("scored", "SELECT * FROM (" + " UNION ALL ".join(f"""
+    SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS spread, round(min({c}), 6) AS least, round(max({c}), 6) AS most,
+      round(quantile_cont({c}, 25e-2), 6) AS q25, round(quantile_cont({c}, 5e-1), 6) AS q50, round(quantile_cont({c}, 75e-2), 6) AS q75 FROM scored""" for c in MEASURES) + ") x"))
 def describe(spark, sf):
-    return R.describe(load_input(spark, sf, "scored"), ["sub_score", "wx_score", "fl_score", "gw_score"])
+    found = R.describe(load_input(spark, sf, "scored"), MEASURES)
+    return found.select("measure", "n", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
 
 
 @query("g32_headline_stats", sql(["ylt_present", "ylt_future", "exposure", "country", "scored"], _side("ylt_present") + ",\n" + _side("ylt_future") + """,

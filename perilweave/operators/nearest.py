@@ -1,11 +1,11 @@
-"""Exact nearest-neighbour joins by descending a pyramid of cell counts.
-
-The finest cell around a target that holds k items bounds the distance of its
-k-th neighbour, so its search starts at the few cells of about that size around
-it. At every level its candidate cells are split in 16; the counts of the
-children give an upper bound on the k-th distance, and children that start
-farther away are dropped. Only cells that can hold an answer are ever opened,
-so no target meets all points and a dense cluster costs its neighbours nothing.
+"""Exact nearest-neighbour joins over leaves of a few dozen items each.
+
+Items are dealt into slabs of equal count by x and into leaves of equal count by
+y, by exact ranks, so a cluster is parted as finely as any other region and no
+leaf grows with the data, however the items lie. A target falls into a leaf as
+if it were an item; the k-th distance to that leaf's items bounds its search.
+The leaves whose boxes reach into the bound are found through box tiles, by an
+equi-join, and only their items are compared.
 """
 
 from __future__ import annotations
@@ -14,150 +14,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-SPLIT = 4
-MAX_LEVELS = 12
-LEAF_ROWS = 32
-
+from ..session import materialize
+from .ordering import running
+from .tiles import BOX, box_ctes, met_ctes, point_ctes, quoted
 
-def _pyramid_depth(items: DataFrame, x0: float, y0: float, size: float) -> int:
-    """Levels until no cell holds more than a handful of items (one pass)."""
-    tiers = items.select("x", "y", F.explode(F.sequence(F.lit(1), F.lit(MAX_LEVELS))).alias("lv"))
-    width = F.lit(size) / F.pow(F.lit(float(SPLIT)), F.col("lv"))
-    fullest = (
-        tiers.groupBy(
-            "lv",
-            F.floor((F.col("x") - x0) / width).alias("cx"),
-            F.floor((F.col("y") - y0) / width).alias("cy"),
-        )
-        .count()
-        .groupBy("lv")
-        .agg(F.max("count").alias("most"))
-        .where(F.col("most") <= LEAF_ROWS)
-        .agg(F.min("lv").alias("lv"))
-        .first()
-    )
-    return int(fullest["lv"] or MAX_LEVELS)
+LEAF_ROWS = 32
+UNIT = 1.0
 
 
-def _starting_cells(
-    targets: DataFrame, leaves: DataFrame, target_id: str, k: int, x0: float, y0: float, leaf: float, depth: int
-) -> DataFrame:
-    """The cells at which each target's search begins: (target_id, tx, ty, tr, level, cx, cy).
+def _dealt(items: DataFrame, probes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Items and probes (both with x, y) with their slab and leaf.
 
-    The finest cell around the target that holds k items bounds the k-th
-    distance. Cells at least that wide around the target hold all answers, a
-    handful of them however many items there are.
+    A leaf has at least ``least`` and less than twice as many items, if there
+    are so many at all. Probes count for nothing in the ranks.
     """
-    side = SPLIT**depth
-    own = lambda c, low: F.least(F.greatest(F.floor((F.col(c) - low) / leaf), F.lit(0)), F.lit(side - 1)).cast("long")
-    tiers = leaves.select("lx", "ly", "n", "h", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"))
-    shrink = F.pow(F.lit(SPLIT), F.lit(depth) - F.col("level")).cast("long")
-    tiers = tiers.groupBy(
-        "level", F.floor(F.col("lx") / shrink).alias("cx"), F.floor(F.col("ly") / shrink).alias("cy")
-    ).agg(F.sum("n").alias("n"), F.max("h").alias("h"))
-    placed = targets.select(
-        target_id, F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("r").alias("tr"),
-        own("x", x0).alias("lx"), own("y", y0).alias("ly"), F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"),
-    ).withColumns({"cx": F.floor(F.col("lx") / shrink), "cy": F.floor(F.col("ly") / shrink)})
-    met = placed.join(tiers, ["level", "cx", "cy"]).where((F.col("n") >= k) | (F.col("level") == 0))
-    found = met.groupBy(target_id, "tx", "ty", "tr").agg(
-        F.max_by(F.struct("level", "cx", "cy", "h", "n"), "level").alias("c"), F.max("h").alias("h")
-    )
-    width = F.lit(leaf) * F.pow(F.lit(float(SPLIT)), F.lit(depth) - F.col("c.level"))
-    far = lambda t, c, low: F.greatest(F.abs(t - (c * width + low)), F.abs(t - ((c + 1) * width + low)))
-    reach = F.hypot(far(F.col("tx"), F.col("c.cx"), x0), far(F.col("ty"), F.col("c.cy"), y0))
-    # the true distance differs from the centre distance by the radii on both sides
-    bound = F.when(F.col("c.n") >= k, reach + 2 * (F.col("tr") + F.col("h"))).otherwise(F.lit(leaf * side * 4) + reach)
-    level = F.greatest(F.least(F.floor(depth - F.log(bound / leaf) / F.log(F.lit(float(SPLIT)))), F.col("c.level")), F.lit(0))
-    begun = found.select(target_id, "tx", "ty", "tr", bound.alias("bound"), level.cast("int").alias("level"))
-    wide = F.lit(leaf) * F.pow(F.lit(float(SPLIT)), F.lit(depth) - F.col("level"))
-    most = F.pow(F.lit(SPLIT), F.col("level")).cast("long") - 1
-
-    def span(c: str, low: float):
-        edge = lambda v: F.least(F.greatest(F.floor((v - low) / wide), F.lit(0)), most).cast("long")
-        return F.sequence(edge(F.col(c) - F.col("bound")), edge(F.col(c) + F.col("bound")))
-
-    return begun.withColumn("cx", F.explode(span("tx", x0))).withColumn("cy", F.explode(span("ty", y0))).drop("bound")
-
-
-def candidates(targets: DataFrame, items: DataFrame, target_id: str, k: int) -> DataFrame:
-    """Pairs that can be among the k nearest, from centres and radii.
-
-    ``targets`` has (target_id, x, y, r) and ``items`` (item_id, x, y, h): the
-    true distance differs from the centre distance by at most r + h.
+    tag = lambda df, own: df.select(F.struct(*df.columns).alias(own), "x", "y")
+    both = tag(items.withColumn("one", F.lit(1)), "_item").unionByName(tag(probes, "_probe"), allowMissingColumns=True)
+    both = both.withColumn("one", F.when(F.col("_item").isNotNull(), 1).otherwise(0))
+    ranked = running(both.withColumn("_key", F.monotonically_increasing_id()), "x", "_key", rank=None, total_of="one", total="before")
+    n = items.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # Slabs and leaves both end in one of up to twice the size, never in a small one.
+    ranked = ranked.withColumn("_n", n).withColumn("_per", F.greatest(F.ceil(F.sqrt(F.col("_n") * F.lit(float(least)))), F.lit(least)))
+    last = lambda count, size: F.greatest(F.floor(F.col(count) / size) - 1, F.lit(0))
+    nth = lambda before, size: F.greatest(F.floor((F.col(before) - 1) / size), F.lit(0))
+    ranked = ranked.withColumn("slab", F.least(nth("before", F.col("_per")), last("_n", F.col("_per"))))
+    slab = Window.partitionBy("slab")
+    upward = slab.orderBy("y", "_key").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumns({"_up": F.sum("one").over(upward), "_m": F.sum("one").over(slab)})
+    ranked = ranked.withColumn("leaf", F.least(nth("_up", F.lit(least)), last("_m", F.lit(least))))
+    dealt = materialize(ranked.select("_item", "_probe", "slab", "leaf"), "leaves")
+    out = [dealt.where(F.col(c).isNotNull()).select(f"{c}.*", "slab", "leaf") for c in ("_item", "_probe")]
+    return out[0].drop("one"), out[1]
+
+
+def near(items: DataFrame, probes: DataFrame, distance: str, k: int, bound_by: list[str]) -> DataFrame:
+    """Pairs of a probe and an item that can be among the k nearest, with their ``distance``.
+
+    ``items`` and ``probes`` have x, y (any point of theirs) and a box; their
+    other columns have names of their own. ``distance`` is an SQL expression
+    over both, with i. and p., at least the distance of the boxes. The bound of
+    a search is the least of all probes that agree in ``bound_by``.
     """
-    # Copies of one place beyond the k-th can never be needed.
-    spot = Window.partitionBy("x", "y", "h").orderBy("item_id")
-    items = items.withColumn("_c", F.row_number().over(spot)).where(F.col("_c") <= k).drop("_c")
-    box = items.agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")
-    ).first()
-    if box["x0"] is None:
-        return targets.select(target_id).join(items.select("item_id"), F.lit(False))
-    x0, y0 = box["x0"], box["y0"]
-    size = max(box["x1"] - x0, box["y1"] - y0, 1e-9) * 1.000001
-    depth = _pyramid_depth(items, x0, y0, size)
-
-    leaf = size / SPLIT**depth
-    at_leaf = items.withColumns(
-        {"lx": F.floor((F.col("x") - x0) / leaf), "ly": F.floor((F.col("y") - y0) / leaf)}
-    )
-    leaves = at_leaf.groupBy("lx", "ly").agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h"))
-    start = _starting_cells(targets, leaves, target_id, k, x0, y0, leaf, depth)
-    open_cells = None
-    by_max = Window.partitionBy(target_id).orderBy("far").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    whole = Window.partitionBy(target_id)
-    for level in range(1, depth + 1):
-        shrink = SPLIT ** (depth - level)
-        width = leaf * shrink
-        begun = start.where(F.col("level") == level - 1).drop("level")
-        open_cells = begun if open_cells is None else open_cells.unionByName(begun)
-        children = (
-            leaves.groupBy(
-                F.floor(F.col("lx") / shrink).alias("kx"), F.floor(F.col("ly") / shrink).alias("ky")
-            )
-            .agg(F.sum("n").alias("n"), F.max("h").alias("h"))
-            .withColumns({"cx": F.floor(F.col("kx") / SPLIT), "cy": F.floor(F.col("ky") / SPLIT)})
-        )
-        opened = open_cells.join(children, ["cx", "cy"])
-        left, low = F.col("kx") * width + x0, F.col("ky") * width + y0
-        gap = lambda t, start: F.greatest(start - t, t - (start + width), F.lit(0.0))
-        reach = lambda t, start: F.greatest(F.abs(t - start), F.abs(t - (start + width)))
-        opened = opened.withColumns(
-            {
-                "near": F.hypot(gap(F.col("tx"), left), gap(F.col("ty"), low)) - F.col("h") - F.col("tr"),
-                "far": F.hypot(reach(F.col("tx"), left), reach(F.col("ty"), low)),
-            }
-        )
-        held = opened.withColumn("held", F.sum("n").over(by_max))
-        bound = F.coalesce(
-            F.min(F.when(F.col("held") >= k, F.col("far"))).over(whole), F.lit(float("inf"))
-        )
-        open_cells = (
-            held.withColumn("bound", bound)
-            .where(F.col("near") <= F.col("bound") * (1 + 1e-9) + F.col("tr") + F.col("h"))
-            .select(target_id, "tx", "ty", "tr", F.col("kx").alias("cx"), F.col("ky").alias("cy"))
-        )
-    open_cells = open_cells.unionByName(start.where(F.col("level") == depth).drop("level"))
-    return open_cells.join(
-        at_leaf.withColumnsRenamed({"lx": "cx", "ly": "cy"}), ["cx", "cy"]
-    ).drop("cx", "cy")
+    spark = items.sparkSession
+    placed, asked = _dealt(items, probes, max(LEAF_ROWS, k))
+    own = [c for c in items.columns if c not in (*BOX, "x", "y")]
+    names = [c for c in probes.columns if c not in (*BOX, "x", "y")]
+    asked = asked.withColumn("_probe_id", F.monotonically_increasing_id())
+    bounded = materialize(
+        spark.sql(
+            f"""WITH met AS (
+                SELECT p._probe_id, {distance} AS d FROM {{asked}} p JOIN {{placed}} i ON p.slab = i.slab AND p.leaf = i.leaf),
+              kth AS (SELECT _probe_id, array_sort(collect_list(d)) AS ds FROM met GROUP BY _probe_id), -- a leaf's items
+              bound AS (SELECT _probe_id, element_at(ds, CAST(least({k}, size(ds)) AS INT)) AS r FROM kth)
+            SELECT p.*, min(r) OVER (PARTITION BY {quoted(bound_by, "p.")}) AS r FROM {{asked}} p JOIN bound USING (_probe_id)""",
+            asked=materialize(asked, "probes"), placed=placed,
+        ).drop("_probe_id"), "bounds",
+    )
+    # Rounding of the bound must not lose the item that set it.
+    circles = bounded.selectExpr("* EXCEPT (r, minx, miny, maxx, maxy, slab, leaf)", "minx AS p_minx", "miny AS p_miny", "maxx AS p_maxx",
+        "maxy AS p_maxy", "r * (1 + 1e-12) AS r").selectExpr("*", "p_minx - r AS minx", "p_miny - r AS miny", "p_maxx + r AS maxx", "p_maxy + r AS maxy")
+    around = [*names, "x", "y", "r", "p_minx", "p_miny", "p_maxx", "p_maxy"]
+    boxes = placed.groupBy("slab", "leaf").agg(*[(F.min if c[:3] == "min" else F.max)(c).alias(c) for c in BOX])
+    gap = lambda axis: f"greatest(b_min{axis} - a_p_max{axis}, a_p_min{axis} - b_max{axis}, 0D)"
+    shown = ", ".join(f"a_{c} AS `{c}`" for c in (*names, "x", "y", "r"))
+    return spark.sql(
+        f"""WITH {box_ctes("c", "{circles}", [*around, *BOX], UNIT)}, {box_ctes("b", "{boxes}", ["slab", "leaf", *BOX], UNIT)},
+          {met_ctes("met", "c", "b", [*around, *BOX], ["slab", "leaf", *BOX], f"hypot({gap('x')}, {gap('y')}) <= a_r")},
+          p AS (
+            SELECT DISTINCT {shown}, a_p_minx AS minx, a_p_miny AS miny, a_p_maxx AS maxx, a_p_maxy AS maxy, b_slab AS slab, b_leaf AS leaf FROM met)
+        SELECT * FROM (
+          SELECT {quoted(names, "p.")}, {quoted(own, "i.")}, {distance} AS distance, p.r FROM p JOIN {{placed}} i ON p.slab = i.slab AND p.leaf = i.leaf)
+        WHERE distance <= r""",
+        circles=circles, boxes=boxes, placed=placed,
+    ).drop("r")
 
 
 def knn_join(targets: DataFrame, points: DataFrame, target_id: str, point_id: str, k: int = 4) -> DataFrame:
-    """The k nearest points of each target with their distance and rank."""
-    t = targets.withColumn("r", F.lit(0.0))
-    p = points.select(F.col(point_id).alias("item_id"), "x", "y", F.lit(0.0).alias("h"))
-    pairs = candidates(t, p, target_id, k).withColumn(
-        "distance", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"))
-    )
-    w = Window.partitionBy(target_id).orderBy("distance", "item_id")
+    """The k nearest points of each target with their distance and rank, smaller id on ties."""
+    # Copies of one place beyond the k-th can never be needed.
+    spot = Window.partitionBy("x", "y").orderBy("_item")
+    at = lambda df, p: df.selectExpr("*", f"x AS {p}x", f"y AS {p}y", "x AS minx", "y AS miny", "x AS maxx", "y AS maxy")
+    items = points.select(F.col(point_id).alias("_item"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    items = items.withColumn("_c", F.row_number().over(spot)).where(F.col("_c") <= k).drop("_c")
+    probes = targets.select(F.col(target_id).alias("_target"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    pairs = near(at(items, "i"), at(probes, "p"), "hypot(p.px - i.ix, p.py - i.iy)", k, ["_target"])
+    w = Window.partitionBy("_target").orderBy("distance", "_item")
     return (
         pairs.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
-        .select(target_id, F.col("item_id").alias(point_id), "distance", "rank")
+        .select(F.col("_target").alias(target_id), F.col("_item").alias(point_id), "distance", "rank")
     )
 
 
@@ -175,55 +120,39 @@ def idw(neighbours: DataFrame, points: DataFrame, target_id: str, point_id: str,
 def nearest_polygon(lonely: DataFrame, polys: DataFrame, target_id: str, poly_id: str) -> DataFrame:
     """Nearest polygon of each given polygon, by boundary distance, smaller id on ties.
 
-    Meant for districts that overlap no polygon of the layer. Edges stand in
-    for polygons: centre and half length bound the distance during the
-    descent, end points against segments decide it.
+    Meant for districts that overlap no polygon of the layer. Both sides are
+    edges with boxes: each edge of a target searches for itself, within the
+    best bound that any edge of its target has found, so no polygon's edges
+    meet all edges of another.
     """
-    from .spatial import edges, with_bbox
-
-    half = F.expr("hypot(maxx - minx, maxy - miny) / 2")
-    centre = with_bbox(lonely).select(
-        target_id,
-        F.expr("(minx + maxx) / 2").alias("x"),
-        F.expr("(miny + maxy) / 2").alias("y"),
-        half.alias("r"),
-    )
-    sides = edges(polys, poly_id)
-    items = sides.select(
-        F.struct(poly_id, "x1", "y1", "x2", "y2").alias("item_id"),
-        F.expr("(x1 + x2) / 2").alias("x"),
-        F.expr("(y1 + y2) / 2").alias("y"),
-        F.expr("hypot(x2 - x1, y2 - y1) / 2").alias("h"),
-    )
-    near = candidates(centre, items, target_id, 1).select(target_id, "item_id.*")
-    own = edges(lonely, target_id).select(
-        target_id, *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")]
-    )
-    both = near.join(own, target_id)
+    from .spatial import edges
+
+    def sides(df: DataFrame, key: str, p: str) -> DataFrame:
+        return edges(df, key).selectExpr(
+            f"`{key}` AS {p}_id", f"x1 AS {p}x1", f"y1 AS {p}y1", f"x2 AS {p}x2", f"y2 AS {p}y2", "(x1 + x2) / 2 AS x", "(y1 + y2) / 2 AS y",
+            "least(x1, x2) AS minx", "least(y1, y2) AS miny", "greatest(x1, x2) AS maxx", "greatest(y1, y2) AS maxy",
+        )
 
-    def to_segment(px, py, ax, ay, bx, by):
+    def to_segment(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
         along = (
             f"least(greatest((({px}-{ax})*({bx}-{ax})+({py}-{ay})*({by}-{ay}))"
             f"/(pow({bx}-{ax},2)+pow({by}-{ay},2)),0D),1D)"
         )
-        return F.expr(f"hypot({px}-{ax}-{along}*({bx}-{ax}), {py}-{ay}-{along}*({by}-{ay}))")
+        return f"hypot({px}-{ax}-{along}*({bx}-{ax}), {py}-{ay}-{along}*({by}-{ay}))"
 
-    gap = F.least(
-        to_segment("t_x1", "t_y1", "x1", "y1", "x2", "y2"),
-        to_segment("t_x2", "t_y2", "x1", "y1", "x2", "y2"),
-        to_segment("x1", "y1", "t_x1", "t_y1", "t_x2", "t_y2"),
-        to_segment("x2", "y2", "t_x1", "t_y1", "t_x2", "t_y2"),
+    item, probe = ["i.ix1", "i.iy1", "i.ix2", "i.iy2"], ["p.px1", "p.py1", "p.px2", "p.py2"]
+    distance = "least({}, {}, {}, {})".format(
+        to_segment(*probe[:2], *item), to_segment(*probe[2:], *item), to_segment(*item[:2], *probe), to_segment(*item[2:], *probe)
     )
-    return both.withColumn("distance", gap).groupBy(target_id).agg(
-        F.min_by(poly_id, F.struct("distance", poly_id)).alias(poly_id),
-        F.min("distance").alias("distance"),
+    pairs = near(sides(polys, poly_id, "i"), sides(lonely, target_id, "p"), distance, 1, ["p_id"])
+    return pairs.groupBy(F.col("p_id").alias(target_id)).agg(
+        F.min_by("i_id", F.struct("distance", "i_id")).alias(poly_id), F.min("distance").alias("distance")
     )
 
 
 def points_near_area(grid: DataFrame, areas: DataFrame, distance: float, cell: float) -> DataFrame:
     """Grid points (point_id, x, y) inside an area or within ``distance`` of one."""
     from .spatial import edges, points_in_polygons
-    from .tiles import BOX, box_ctes, point_ctes
 
     key = areas.columns[0]
     sides = edges(areas, key).selectExpr(

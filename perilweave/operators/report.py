@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import as_scalar, quantiles
+
 # Decimals of published columns that do not follow the name rules.
 DECIMALS = {
     "wind_ms": 1, "wdr_idx": 1, "rain10_days": 1, "precip_mm": 0, "gust_rp50": 0,
@@ -152,8 +154,24 @@ def headline_stats(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, spread, extremes and quartiles of some columns."""
-    return df.select(*columns).summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+    """Count, mean, spread, extremes and exact quartiles, one row a column (measure)."""
+    cuts = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    quartiles = as_scalar(quantiles(df, {f"{c}_{n}": (c, p) for c in columns for n, p in cuts.items()}))
+    found = {"n": F.count, "mean": F.avg, "spread": F.stddev_samp, "least": F.min, "most": F.max}
+    measured = df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in found.items()]).withColumn("_q", quartiles)
+    return measured.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("measure"), *[F.col(f"{c}_{n}").alias(n) for n in found],
+                        *[F.col(f"_q.{c}_{n}").alias(n) for n in cuts],
+                    )
+                    for c in columns
+                ]
+            )
+        )
+    )
 
 
 def level_check(df: DataFrame, published: float, all_claims: float) -> DataFrame:

@@ -262,6 +262,10 @@ def with_resampling_weight(df: DataFrame, seed: int, replicate: str = "rep") ->
     return df.withColumn("_u", u).withColumn("w", above).drop("_u")
 
 
+# Ranks whose weights are summed before replicates meet.
+RANK_BLOCK = 1024
+
+
 def pooled_tail(dependent: DataFrame, independent: DataFrame, n_total: int, q: float = 0.99) -> DataFrame:
     """One row: mean of the largest (1 - q) of all district-years in either run."""
     k, parts = tail_count(n_total, q), []
@@ -281,26 +285,41 @@ def bootstrap_ci(
     of its key, the same in both runs. Rows are ranked once. Only the head that
     can hold the tail of some replicate is drawn: as long as the weights of a
     replicate do not fill its tail, the head doubles.
+
+    The weights of a replicate are summed by blocks of RANK_BLOCK ranks before
+    they meet; running sums go over blocks, and only the block in which a
+    replicate's tail ends is opened.
     """
     k, runs = tail_count(n_total, q), []
     for name, run in (("dep", dependent), ("ind", independent)):
         run = run.select(F.lit(name).alias("run"), KEY, YEAR, "loss").withColumn("_id", F.xxhash64(KEY, YEAR))
         runs.append(running(run, "loss", "_id", descending=True, rank="rn"))
-    ranked = materialize(runs[0].unionByName(runs[1]).drop("_id"), "ranked")
+    block = F.floor((F.col("rn") - 1) / RANK_BLOCK).alias("block")
+    ranked = materialize(runs[0].unionByName(runs[1]).select("run", KEY, YEAR, "loss", "rn", block), "ranked")
     head = int(k + 8 * sqrt(k) + 64)
+    replicate = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
     while True:
-        rows = ranked.where(F.col("rn") <= head)
-        draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        draws = with_resampling_weight(draws, seed).where("w > 0")
-        upto = Window.partitionBy("run", "rep").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-        held = draws.withColumn("held", F.coalesce(F.sum("w").over(upto), F.lit(0)))
-        part = F.least(F.col("w"), F.greatest(F.lit(k) - F.col("held"), F.lit(0))) * F.col("loss")
-        tails = materialize(held.groupBy("run", "rep").agg(F.sum(part).alias("tail"), F.sum("w").alias("drawn")), "tails")
-        short = tails.where(F.col("drawn") < k).select("run").distinct()
+        draws = with_resampling_weight(ranked.where(F.col("rn") <= head).select("*", replicate), seed).where("w > 0")
+        blocks = materialize(
+            draws.groupBy("run", "rep", "block").agg(F.sum("w").alias("drawn"), F.sum(F.expr("w * loss")).alias("lost")), "blocks"
+        )
+        filled = blocks.groupBy("run", "rep").agg(F.sum("drawn").alias("drawn"))
+        short = filled.where(F.col("drawn") < k).select("run").distinct()
         longer = ranked.join(short, "run", "left_semi").where(F.col("rn") > head)
         if longer.isEmpty():
             break
         head *= 2
+    upto = Window.partitionBy("run", "rep").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    held = blocks.withColumn("held", F.coalesce(F.sum("drawn").over(upto), F.lit(0))).where(F.col("held") < k)
+    whole = held.where(F.col("held") + F.col("drawn") <= k).select("run", "rep", F.col("lost").alias("part"))
+    ends = held.where(F.col("held") + F.col("drawn") > k).select("run", "rep", "block", "held")
+    opened = with_resampling_weight(ranked.where(F.col("rn") <= head).join(ends, ["run", "block"]), seed).where("w > 0")
+    inside = Window.partitionBy("run", "rep", "block").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("held") + F.coalesce(F.sum("w").over(inside), F.lit(0))
+    last = opened.withColumn("before", before).select(
+        "run", "rep", (F.least(F.col("w"), F.greatest(F.lit(k) - F.col("before"), F.lit(0))) * F.col("loss")).alias("part")
+    )
+    tails = whole.unionByName(last).groupBy("run", "rep").agg(F.sum("part").alias("tail"))
     uplift = tails.groupBy("rep").agg(
         *[F.sum(F.when(F.col("run") == r, F.col("tail"))).alias(r) for r in ("dep", "ind")]
     ).withColumn("uplift", 100 * (F.col("dep") / F.col("ind") - 1))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 BOX = ["minx", "miny", "maxx", "maxy"]
-FINEST, COARSEST = -40, 60
+FINEST, COARSEST = -30, 60
 
 
 def quoted(names: list[str], prefix: str = "") -> str:
