@@ -16,15 +16,13 @@ from pyspark.sql import Window
 from perilweave.session import materialize
 
 from .batches import mix64, row_sums, slices, word_hashes, words
-from .components import connected_components
+from .components import connected_components, joined_components
 
-BITMAP_BITS = 1 << 26
-HUB_ROUNDS = 4
-PAIRS_PER_ROW = 40
 DEALINGS = 3
 KEYS_REMEMBERED = 200_000
 SKETCH_PARTS = 64
-SMALLEST_PAIR_BUDGET = 100_000
+FINE_PARTS = 1024
+BLOCK_ROWS = 512
 
 
 # ---------------------------------------------------------------- sets
@@ -185,15 +183,16 @@ def _dealt(values, offsets, rows, plan, band: int, dealing: int) -> tuple[np.nda
     return np.concatenate(sigs, axis=1), np.concatenate(empty, axis=1)
 
 
-def sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many members of each set fall into each of SKETCH_PARTS parts, up to 255.
+def sketches(values: np.ndarray, offsets: np.ndarray, parts: int = SKETCH_PARTS) -> np.ndarray:
+    """How many members of each set fall into each of the parts (a power of two), up to 255.
 
     The differences of two sketches add up to no more than the sets' symmetric
     difference, so they rule out pairs and never a similar one.
     """
     rows = len(offsets) - 1
-    cell = np.repeat(np.arange(rows) * SKETCH_PARTS, np.diff(offsets)) + (mix64(values) >> np.uint64(58)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=rows * SKETCH_PARTS), 255).astype(np.uint8)
+    shift = np.uint64(64 - parts.bit_length() + 1)
+    cell = np.repeat(np.arange(rows) * parts, np.diff(offsets)) + (mix64(values) >> shift).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=rows * parts), 255).astype(np.uint8)
 
 
 # ---------------------------------------------------------------- join
@@ -251,45 +250,15 @@ def _signed(docs: DataFrame, n: int, threshold: Fraction, steps: int) -> DataFra
     return docs.select("text").mapInArrow(run, "sig long, set_key long")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A fixed-size bitmap (8 MB at most) with the bits of the ids' hashes set."""
-    position = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    pages = (
-        ids.select(position.alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("page"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    )
-    # Spark numbers the buckets from 1 and lays out 32,768 positions in each;
-    # position 0 alone falls into bucket 0.
-    found = {r.page: np.frombuffer(r.bits, np.uint8) for r in pages.toLocalIterator()}
-    out = np.zeros((max(found, default=0) + 1, 4096), np.uint8)
-    for page, bits in found.items():
-        out[page, : len(bits)] = bits
-    return out
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """set_key and packed set of the documents in ``wanted(doc_id)``, one row a key.
-
-    The wanted ids become a bitmap of bounded size, so no text is shuffled; a
-    hash collision only lets a document through that nobody asks for.
-    """
-    bits = _bitmap(wanted)
-    position = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS))
-    keyed = docs.select(
-        F.bitmap_bucket_number(position).alias("page"), F.bitmap_bit_position(position).alias("bit"), "text"
+    """set_key and packed set of the documents in ``wanted(doc_id)``, one row a key."""
+    found = docs.select("doc_id", "text").join(
+        wanted.select(F.col("doc_id").alias("_wanted")), F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi"
     )
 
     def run(batches):
         for batch in batches:
-            page = batch.column("page").to_numpy(zero_copy_only=False)
-            bit = batch.column("bit").to_numpy(zero_copy_only=False)
-            known = page < len(bits)
-            hit = np.zeros(len(batch), bool)
-            hit[known] = bits[page[known], bit[known] >> 3] >> (bit[known] & 7) & 1 == 1
-            if not hit.any():
-                continue
-            texts = batch.column("text").filter(pa.array(hit))
+            texts = batch.column("text")
             for start, stop in slices(texts):
                 values, offsets = shingle_sets(texts.slice(start, stop - start), n)
                 data = pa.Array.from_buffers(
@@ -301,7 +270,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     [pa.array(set_keys(values, offsets), pa.int64()), data], ["set_key", "members"]
                 )
 
-    found = keyed.mapInArrow(run, "set_key long, members binary")
+    found = found.select("text").mapInArrow(run, "set_key long, members binary")
     return found.groupBy("set_key").agg(F.first("members").alias("members"))
 
 
@@ -339,14 +308,11 @@ class _Comparison:
             .select("a", "b")
         )
 
-    def similar(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets reach the threshold."""
-        num, den = self.threshold.numerator, self.threshold.denominator
-        pairs = materialize(self._possible(pairs), "possible")
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    def load(self, keys: DataFrame) -> None:
+        """Read the sets of ``keys(set_key)`` that are not there yet."""
         if self.sets is not None:
             keys = keys.join(self.sets.select("set_key"), "set_key", "left_anti")
-        wanted = materialize(keys.join(self.owners, "set_key").select("doc_id"), "wanted")
+        wanted = materialize(keys.join(self.owners, "set_key").select("doc_id").distinct(), "wanted")
         if self.sets is None or not wanted.isEmpty():
             found = _sets_of(self.docs, wanted, self.n)
             if self.sets is not None:
@@ -354,6 +320,12 @@ class _Comparison:
             found = materialize(found, "sets")
             self.sets = found if self.sets is None else self.sets.union(found)
 
+    def similar(self, pairs: DataFrame, sketched: bool = False) -> DataFrame:
+        """The pairs (a, b) whose sets reach the threshold; ``sketched`` if sketches have been compared."""
+        num, den = self.threshold.numerator, self.threshold.denominator
+        pairs = materialize(pairs if sketched else self._possible(pairs), "possible")
+        self.load(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
+
         @F.arrow_udf("boolean")
         def reaches(a: pa.Array, b: pa.Array) -> pa.Array:
             out = np.zeros(len(a), bool)
@@ -383,10 +355,11 @@ def jaccard_components(
 
     Equal sets collapse to one key first. Sets that share a signature form a
     bucket. Each bucket is first compared with one member only (its hub), which
-    settles groups of copies in as many comparisons as rows. Where members of
-    a bucket are still in different components, another member is the hub, and
-    as soon as the comparisons left are few against the table (or after
-    HUB_ROUNDS) all of them are made, so no similar pair stays unlinked.
+    settles groups of copies in as many comparisons as rows; where members are
+    still in different components, with a second one. What then is still apart
+    is compared completely, in blocks of BLOCK_ROWS by finer sketches, so no
+    pairs but those that may be similar leave a block, and exactly after that:
+    no similar pair stays unlinked. Very long texts are whole sets.
     """
     return _components(docs, n, threshold, band_steps).select("doc_id", "n_shingles", "component_id")
 
@@ -407,6 +380,97 @@ def representatives(
     return kept.dropDuplicates(list(key)).drop(*key)
 
 
+def _apart(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members lie in different components.
+
+    sig, set_key, root (its component), major (the bucket's largest component),
+    members and outside (rows in all and outside of the largest), and a hub and
+    its hub_root. Near copies share many buckets with the same members; one of
+    each will do.
+    """
+    root = F.coalesce("component", "set_key").alias("root")
+    rows = buckets.join(nodes.withColumnRenamed("node", "set_key"), "set_key", "left").select("sig", "set_key", root)
+    by_root = rows.groupBy("sig", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("digest"),
+        F.min(F.struct(F.xxhash64(F.lit("hub"), "set_key").alias("h"), F.col("set_key").alias("hub"))).alias("pick"),
+    )
+    mixed = by_root.groupBy("sig").agg(
+        F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("major"),
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor("digest").alias("digest"),
+        F.min_by(F.struct("pick.hub", F.col("root").alias("hub_root")), "pick.h").alias("pick"),
+    ).where("lo <> hi")
+    mixed = mixed.groupBy("members", "digest", "lo", "hi").agg(
+        F.min("sig").alias("sig"), *[F.first(c).alias(c) for c in ("most", "major", "pick")]
+    )
+    mixed = mixed.select("sig", "members", (F.col("members") - F.col("most")).alias("outside"), "major", "pick.hub", "pick.hub_root")
+    return materialize(rows.join(mixed, "sig"), "apart")
+
+
+def _blocked(apart: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that may be similar, by fine sketches.
+
+    Of two such members one at least is outside the bucket's largest component.
+    Outside rows meet all rows of the bucket, both in blocks of about BLOCK_ROWS
+    rows, so a bucket of any size is many small groups; a group leaves only the
+    pairs that its sketches do not rule out.
+    """
+    num, den = threshold.numerator, threshold.denominator
+
+    def sketched(batches):
+        for batch in batches:
+            members = batch.column("members").to_pylist()
+            for begin in range(0, len(members), 256):
+                part = members[begin : begin + 256]
+                offsets = np.concatenate([[0], np.cumsum([len(m) // 8 for m in part])]).astype(np.int64)
+                fine = sketches(np.frombuffer(b"".join(part), np.uint64), offsets, FINE_PARTS).reshape(-1, FINE_PARTS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("set_key").slice(begin, len(part)), pa.array(np.diff(offsets)), pa.array([r.tobytes() for r in fine], pa.binary())],
+                    ["set_key", "n", "sketch"],
+                )
+
+    fine = sets.join(apart.select("set_key").distinct(), "set_key", "left_semi")
+    fine = fine.select("set_key", "members").mapInArrow(sketched, "set_key long, n long, sketch binary")
+    rows = apart.join(fine, "set_key")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("set_key"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    columns = ["sig", "i", "j", "whole", "set_key", "root", "n", "sketch"]
+    one = rows.where("root <> major").withColumns({"whole": F.lit(False), "i": own("outside"), "j": every("members")})
+    two = rows.withColumns({"whole": F.lit(True), "j": own("members"), "i": every("outside")})
+    dealt = one.select(*columns).union(two.select(*columns)).repartition("sig", "i", "j")
+
+    def compare(group: pa.Table):
+        whole = group.column("whole").to_numpy()
+        keys, roots, sizes = (group.column(c).to_numpy() for c in ("set_key", "root", "n"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, FINE_PARTS).astype(np.int16)
+        others = np.flatnonzero(whole)
+        for x in np.flatnonzero(~whole):
+            small, large = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+            y = others[(roots[others] != roots[x]) & (den * small >= num * large)]
+            gap = np.abs(sketch[y] - sketch[x]).sum(axis=1, dtype=np.int64)
+            y = y[gap * (den + num) <= (sizes[y] + sizes[x]) * (den - num)]
+            if len(y):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(keys[x], keys[y])), pa.array(np.maximum(keys[x], keys[y]))], ["a", "b"]
+                )
+
+    def run(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if kept is None else pa.concat_tables([kept, table])
+            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j")])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            for begin, end in zip([0, *cuts[:-1]], cuts):
+                yield from compare(table.slice(begin, end - begin))
+            kept = table.slice(cuts[-1] if len(cuts) else 0)
+        if kept is not None and len(kept):
+            yield from compare(kept)
+
+    found = dealt.sortWithinPartitions("sig", "i", "j").mapInArrow(run, "a long, b long")
+    return found.distinct()
+
+
 def _components(docs: DataFrame, n: int, threshold: Fraction, band_steps: int) -> DataFrame:
     """doc_id, tie (a digest of the text), n_shingles and component_id of every row."""
     signed = materialize(_keyed(docs, n), "keyed")
@@ -424,52 +488,19 @@ def _components(docs: DataFrame, n: int, threshold: Fraction, band_steps: int) -
 
     comparison = _Comparison(docs, signed, n, threshold)
     pairs = buckets.where("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b"))
-    tried, turn = materialize(pairs.distinct(), "tried"), 0
-    links = materialize(comparison.similar(tried), "links")
-    rows = signed.count()
-    while True:
-        nodes = connected_components(links)
-        root = F.coalesce("component", "set_key").alias("root")
-        open_rows = buckets.join(nodes.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-            "sig", "set_key", root
-        )
-        by_root = open_rows.groupBy("sig", "root").agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("digest"),
-            F.min(F.struct(F.xxhash64(F.lit(turn), "set_key").alias("h"), F.col("set_key").alias("hub"))).alias("pick"),
-        )
-        mixed = by_root.groupBy("sig").agg(
-            F.sum("n").alias("members"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("major"),
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor("digest").alias("digest"),
-            F.min_by(F.struct("pick.hub", F.col("root").alias("hub_root")), "pick.h").alias("pick"),
-        ).where("lo <> hi")
-        # Near copies share many buckets with the same members; one of each will do.
-        mixed = mixed.groupBy("members", "digest", "lo", "hi").agg(
-            F.min("sig").alias("sig"), *[F.first(c).alias(c) for c in ("most", "major", "pick")]
-        )
-        open_rows = open_rows.join(mixed.select("sig", "members", "most", "major", "pick.hub", "pick.hub_root"), "sig")
-        open_rows = materialize(open_rows, "open")
-        # Of two members in different components one at least is outside the bucket's largest.
-        outside = F.col("root") != F.col("major")
-        cost = open_rows.agg(F.sum(F.when(outside, F.col("members"))).alias("n")).first().n
-        if not cost:
-            break
-        last = turn >= HUB_ROUNDS or cost <= max(PAIRS_PER_ROW * rows, SMALLEST_PAIR_BUDGET)
-        if last:
-            one = open_rows.where(outside).select("sig", F.col("set_key").alias("x"), F.col("root").alias("rx"))
-            two = open_rows.select("sig", F.col("set_key").alias("y"), F.col("root").alias("ry"))
-            pairs = one.join(two, "sig").where("rx <> ry")
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        else:
-            pairs = open_rows.where("root <> hub_root").select(
-                F.least("hub", "set_key").alias("a"), F.greatest("hub", "set_key").alias("b")
-            )
+    tried = materialize(pairs.distinct(), "tried")
+    nodes = materialize(connected_components(materialize(comparison.similar(tried), "links")), "nodes")
+    apart = _apart(buckets, nodes)
+    if not apart.isEmpty():
+        pairs = apart.where("root <> hub_root").select(F.least("hub", "set_key").alias("a"), F.greatest("hub", "set_key").alias("b"))
         pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.union(comparison.similar(pairs)), "links")
-        if last:
-            nodes = connected_components(links)
-            break
-        tried = tried.union(pairs)
-        turn += 1
+        links = materialize(comparison.similar(pairs), "links")
+        nodes = materialize(joined_components(nodes, links), "nodes")
+        apart = _apart(apart.select("sig", "set_key"), nodes)
+        comparison.load(apart.select("set_key").distinct())
+        pairs = _blocked(apart, comparison.sets, threshold).join(tried.union(pairs), ["a", "b"], "left_anti")
+        links = materialize(comparison.similar(pairs, sketched=True), "links")
+        nodes = materialize(joined_components(nodes, links), "nodes")
 
     of_key = comparison.owners.join(nodes.withColumnRenamed("node", "set_key"), "set_key", "left").select(
         "set_key", "doc_id", F.coalesce("component", "set_key").alias("root")

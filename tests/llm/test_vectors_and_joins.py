@@ -90,9 +90,9 @@ def test_similar_sets_share_a_signature(size, data, kind):
     assert set(sig[row == 0]) & set(sig[row == 1])
 
 
-def test_hub_rounds_settle_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SMALLEST_PAIR_BUDGET", 0)
-    monkeypatch.setattr(jaccard_join, "PAIRS_PER_ROW", 0)
+@pytest.mark.parametrize("block", [7, 512])
+def test_blocks_settle_what_hubs_leave_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
     draw, base = np.random.default_rng(4), [f"w{i}" for i in range(60)]
     rows = []
     for i in range(60):
@@ -107,6 +107,19 @@ def test_hub_rounds_settle_a_large_group(spark, monkeypatch):
     assert got == roots(sets, links)
 
 
+def test_jaccard_edge_cases(spark):
+    long = " ".join(f"v{i % 4000}" for i in range(60_000))
+    rows = [(None, "a b c d e f"), (None, "only here"), (4, "a b c d e f"), (4, "a b c d e f"), (9, long), (8, long + " end"), (3, "only there")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.jaccard_components(docs, 3, Fraction(9, 10), 3).collect()
+    shown = sorted(((r.doc_id, r.component_id) for r in got), key=repr)
+    assert shown == sorted([(None, 4), (None, None), (4, 4), (4, 4), (9, 8), (8, 8), (3, 3)], key=repr)
+    kept = sorted((r.doc_id for r in jaccard_join.representatives(docs, 3, Fraction(9, 10), 3).collect()), key=repr)
+    assert kept == sorted([None, 4, 8, 3], key=repr)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert jaccard_join.jaccard_components(empty).isEmpty() and jaccard_join.representatives(empty).isEmpty()
+
+
 def vectors_of(spark, matrix, labels):
     rows = [(i, [float(x) for x in v], label) for i, (v, label) in enumerate(zip(matrix, labels))]
     n = len(rows)
