@@ -16,6 +16,8 @@ from .batches import gather, mix64, slices, words
 from .learning import Ftrl, digest_share
 
 DIMENSIONS = 1 << 15
+# All n-grams of a slice's distinct words are held at once, so slices are small.
+SLICE_BYTES = 1 << 20
 ORDERS = (1, 2, 3)
 ROWS_PER_LANGUAGE = 1_000
 MOST_LANGUAGES = 512
@@ -46,28 +48,29 @@ def word_grams(known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Letter case is folded; n-grams are hashed to DIMENSIONS numbers.
     """
     marked = [f"\x02{w}\x03" for w in pc.utf8_lower(known).to_pylist()]
-    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")
     size = np.fromiter(map(len, marked), np.int64, len(marked))
-    end = np.repeat(np.cumsum(size), size)
-    place, keys, owners = np.arange(len(letters)), [], []
-    owner = np.repeat(np.arange(len(size)), size)
-    for order in ORDERS:
-        fits = place + order <= end
-        at = place[fits]
+    del marked
+    # A word has its n-grams of one order after the other; shorter words have none of the longer orders.
+    each = np.maximum(size[:, None] - np.array(ORDERS) + 1, 0)
+    counts = each.sum(axis=1)
+    first = np.cumsum(counts) - counts
+    begin = np.cumsum(size) - size
+    keys = np.empty(int(counts.sum()), np.int32)
+    for place, order in enumerate(ORDERS):
+        n = each[:, place]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(begin, n) + inside
         value = np.full(len(at), order, np.uint64)
         for k in range(order):
             value = mix64(value * np.uint64(0x100000001B3) + letters[at + k])
-        keys.append((value % np.uint64(DIMENSIONS)).astype(np.int32))
-        owners.append(owner[fits])
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    counts = np.bincount(owners, minlength=len(size))
-    return keys[order], np.cumsum(counts) - counts, counts
+        keys[np.repeat(first + each[:, :place].sum(axis=1), n) + inside] = value % np.uint64(DIMENSIONS)
+    return keys, first, counts
 
 
 def _slices_of(batches, *carried):
     for batch in batches:
-        for start, stop in slices(batch.column("text")):
+        for start, stop in slices(batch.column("text"), SLICE_BYTES):
             part = batch.slice(start, stop - start)
             yield part, *words(part.column("text"))
 
@@ -230,7 +233,7 @@ def language_column(model: Model | None, text: str = "text") -> Column:
     @F.arrow_udf("struct<lang_pred string, score double, known boolean>")
     def predict(texts: pa.Array) -> pa.Array:
         langs, scores, knowns = [], [], []
-        for start, stop in slices(texts):
+        for start, stop in slices(texts, SLICE_BYTES):
             offsets, codes, known = words(texts.slice(start, stop - start))
             grams, at, counts = word_grams(known)
             n = np.add.reduceat(np.append(counts[codes], 0), offsets[:-1]) if len(codes) else np.zeros(len(offsets) - 1)
