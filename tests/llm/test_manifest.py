@@ -92,7 +92,7 @@ def test_ranks_follow_an_order_by_hand_with_many_rows_of_one_id(spark):
     ids = [None] * 300 + [5] * 900 + list(range(-2000, 2000, 3)) + [2**61, -(2**61)]
     rows = [("=x", i, f"{n % 50:02d}".encode(), n) for n, i in enumerate(ids)]
     df = spark.createDataFrame(rows, "tree string, doc_id long, leaf binary, row long").repartition(6)
-    got = {r.row: (r.index, r.n) for r in manifest.ranked(df).collect()}
+    got = {r.row: (r["index"], r.n) for r in manifest.ranked(df).collect()}
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
     assert got == {r[3]: (place, len(rows)) for place, r in enumerate(order)}
 
