@@ -92,13 +92,14 @@ def gumbel_return_level(maxima: DataFrame, period: float = 50.0, steps: int = 12
     """Return level of a maximum-likelihood Gumbel fit.
 
     The scale solves b = mean - sum(x e^(-x/b)) / sum(e^(-x/b)) by Newton from
-    the moment estimate. A point brings one value per year.
+    the moment estimate. A point brings one value per year. Maxima that are all
+    equal have no scale: their level is NaN (NULL for a single year).
     """
-    x = F.col("x")
+    x, spread = F.col("x"), F.stddev_samp("gust")
     per_point = maxima.groupBy("point_id").agg(
         F.collect_list("gust").alias("raw"),
         F.avg("gust").alias("m"),
-        (F.stddev_samp("gust") * sqrt(6) / pi).alias("b0"),
+        (F.when(spread == 0, F.lit(float("nan"))).otherwise(spread) * sqrt(6) / pi).alias("b0"),
     )
     # centred values keep the exponentials in range
     per_point = per_point.withColumn("x", F.transform("raw", lambda v: v - F.col("m")))

@@ -151,3 +151,14 @@ def test_contract(spark):
     assert len(OUTPUT_COLUMNS) == len(set(OUTPUT_COLUMNS))
     with pytest.raises(ValueError, match="area"):
         require_columns(df, SCORED_COLUMNS, "scoring")
+
+
+def test_gumbel_fit_of_equal_maxima_has_no_level(spark):
+    from perilweave.operators import weather as W
+
+    rows = [(p, 2000 + y, g) for p, g in ((1, 104.999), (2, 105.0)) for y in range(7)]
+    rows += [(3, 2000 + y, 100 + y / 2) for y in range(7)] + [(4, 2000, 99.0)]
+    maxima = spark.createDataFrame(rows, "point_id long, year int, gust double")
+    got = {r.point_id: r.rp50 for r in W.gumbel_return_level(maxima, out="rp50").collect()}
+    assert np.isnan(got[1]) and np.isnan(got[2]) and got[4] is None
+    assert got[3] == pytest.approx(104.51449, abs=1e-5)
