@@ -266,43 +266,53 @@ def with_resampling_weight(df: DataFrame, seed: int, replicate: str = "rep") ->
 RANK_BLOCK = 1024
 
 
-def pooled_tail(dependent: DataFrame, independent: DataFrame, n_total: int, q: float = 0.99) -> DataFrame:
-    """One row: mean of the largest (1 - q) of all district-years in either run."""
-    k, parts = tail_count(n_total, q), []
-    for run in (dependent, independent):
-        ranked = running(run.withColumn("_id", F.xxhash64(KEY, YEAR)), "loss", "_id", descending=True, rank="_rn")
-        parts.append(ranked.where(F.col("_rn") <= k).agg((F.sum("loss") / k).alias("t")).select("t").scalar())
-    return dependent.sparkSession.range(1).select(parts[0].alias("dep"), parts[1].alias("ind"))
+def ranked_runs(dependent: DataFrame, independent: DataFrame) -> DataFrame:
+    """District-years of both runs by their rank, largest loss first, written once with the block of the rank."""
+    runs = []
+    for name, run in (("dep", dependent), ("ind", independent)):
+        run = run.select(F.lit(name).alias("run"), KEY, YEAR, "loss").withColumn("_id", F.xxhash64(KEY, YEAR))
+        runs.append(running(run, "loss", "_id", descending=True, rank="rn"))
+    block = F.floor((F.col("rn") - 1) / RANK_BLOCK).alias("block")
+    return materialize(runs[0].unionByName(runs[1]).select("run", KEY, YEAR, "loss", "rn", block), "ranked")
+
+
+def pooled_tail(ranked: DataFrame, n_total: int, q: float = 0.99) -> DataFrame:
+    """One row: mean of the largest (1 - q) of all district-years in either of the ``ranked_runs``."""
+    k = tail_count(n_total, q)
+    return ranked.where(F.col("rn") <= k).agg(
+        *[(F.sum(F.when(F.col("run") == r, F.col("loss"))) / k).alias(r) for r in ("dep", "ind")]
+    )
 
 
 def bootstrap_ci(
     dependent: DataFrame, independent: DataFrame, n_total: int, replicates: int = 120,
-    q: float = 0.99, seed: int = 3,
+    q: float = 0.99, seed: int = 3, ranked: DataFrame | None = None,
 ) -> DataFrame:
     """One row: interval of the pooled tail uplift over resampled district-years.
 
     A district-year enters a replicate with a Poisson(1) weight from a digest
-    of its key, the same in both runs. Rows are ranked once. Only the head that
-    can hold the tail of some replicate is drawn: as long as the weights of a
-    replicate do not fill its tail, the head doubles.
+    of its key, the same in both runs. Rows are ranked once (``ranked``, if the
+    caller has them). Only the head that can hold the tail of some replicate is
+    drawn: as long as the weights of a replicate do not fill its tail, the head
+    doubles. The head lies in few slices of the ranks, so its blocks are dealt
+    to all tasks before they are drawn.
 
     The weights of a replicate are summed by blocks of RANK_BLOCK ranks before
     they meet; running sums go over blocks, and only the block in which a
     replicate's tail ends is opened.
     """
-    k, runs = tail_count(n_total, q), []
-    for name, run in (("dep", dependent), ("ind", independent)):
-        run = run.select(F.lit(name).alias("run"), KEY, YEAR, "loss").withColumn("_id", F.xxhash64(KEY, YEAR))
-        runs.append(running(run, "loss", "_id", descending=True, rank="rn"))
-    block = F.floor((F.col("rn") - 1) / RANK_BLOCK).alias("block")
-    ranked = materialize(runs[0].unionByName(runs[1]).select("run", KEY, YEAR, "loss", "rn", block), "ranked")
+    k = tail_count(n_total, q)
+    if ranked is None:
+        ranked = ranked_runs(dependent, independent)
+    parts = max(int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     head = int(k + 8 * sqrt(k) + 64)
     replicate = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
     while True:
-        draws = with_resampling_weight(ranked.where(F.col("rn") <= head).select("*", replicate), seed).where("w > 0")
-        blocks = materialize(
-            draws.groupBy("run", "rep", "block").agg(F.sum("w").alias("drawn"), F.sum(F.expr("w * loss")).alias("lost")), "blocks"
-        )
+        dealt = ranked.where(F.col("rn") <= head).repartition(parts, "run", "block")
+        # No filter on the weight: it would work out the digest once for every threshold.
+        draws = with_resampling_weight(dealt.select("*", replicate), seed)
+        sums = draws.groupBy("run", "rep", "block").agg(F.sum("w").alias("drawn"), F.sum(F.expr("w * loss")).alias("lost"))
+        blocks = materialize(sums.where("drawn > 0"), "blocks")
         filled = blocks.groupBy("run", "rep").agg(F.sum("drawn").alias("drawn"))
         short = filled.where(F.col("drawn") < k).select("run").distinct()
         longer = ranked.join(short, "run", "left_semi").where(F.col("rn") > head)

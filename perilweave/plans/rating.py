@@ -49,8 +49,9 @@ def dependence_report(
 
     joint = lambda y: T.joint_peril_probability(y, n_districts, n_years).select("probability").scalar()
     years = [T.district_years(y) for y in (dependent, independent)]
-    pooled = as_scalar(T.pooled_tail(*years, n_districts * n_years))
-    ci = T.bootstrap_ci(*years, n_districts * n_years, replicates)
+    ranked = T.ranked_runs(*years)
+    pooled = as_scalar(T.pooled_tail(ranked, n_districts * n_years))
+    ci = T.bootstrap_ci(*years, n_districts * n_years, replicates, ranked=ranked)
     a, b = joint(dependent), joint(independent)
     return ci.select(
         a.alias("multi_peril_vine"), b.alias("multi_peril_indep"), F.try_divide(a, b).alias("multi_peril_ratio"),

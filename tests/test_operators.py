@@ -162,3 +162,29 @@ def test_gumbel_fit_of_equal_maxima_has_no_level(spark):
     got = {r.point_id: r.rp50 for r in W.gumbel_return_level(maxima, out="rp50").collect()}
     assert np.isnan(got[1]) and np.isnan(got[2]) and got[4] is None
     assert got[3] == pytest.approx(104.51449, abs=1e-5)
+
+
+def two_runs(spark):
+    base = spark.range(4000).selectExpr("id % 40 AS district_id", "CAST(id / 40 AS BIGINT) AS year_id", "CAST(1 + (id * 7919) % 1009 AS DOUBLE) AS loss")
+    return base, base.withColumn("loss", F.col("loss") * 0.9)
+
+
+def test_bootstrap_draws_each_weight_once_and_in_all_tasks(spark, monkeypatch):
+    plans, write = {}, T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, label: plans.update({label: df._jdf.queryExecution().toString()}) or write(df, label))
+    T.bootstrap_ci(*two_runs(spark), 40_000, replicates=40)
+    optimized = plans["blocks"].split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("md5(") == 1 and "RepartitionByExpression [run#" in optimized
+
+
+def test_dependence_report_ranks_each_run_once(spark, monkeypatch):
+    from perilweave.operators import ordering
+    from perilweave.plans.rating import dependence_report
+
+    written, write = [], ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df, label: written.append(label) or write(df, label))
+    base, other = (y.withColumn("peril", F.lit("wx")) for y in two_runs(spark))
+    got = dependence_report(base, other, 400, 100, 20).first()
+    assert written.count("slices") == 3  # two runs and the interval
+    assert got.tvar99_vine == pytest.approx(sum(sorted((1 + i * 7919 % 1009 for i in range(4000)), reverse=True)[:400]) / 400)
+    assert got.tvar_uplift_pct == pytest.approx(100 * (1 / 0.9 - 1))
