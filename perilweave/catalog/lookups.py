@@ -93,19 +93,36 @@ EXTENTS = """SELECT l_suppkey AS district_id,
 EXT = f"x AS ({EXTENTS.format(lineitem='lineitem')})"
 
 
-def extents(spark, sf):
-    return spark.sql(EXTENTS, lineitem=load_input(spark, sf, "lineitem"))
+# The same means from whole millionths and one division, so that neither the order of the lines nor the engine moves
+# a mean across the threshold, past an equal one, or off a half: high S / 200000 n, low (S + 20000 n) / 200000 n.
+_WHOLE = "CAST(round({v} * 1e6) AS BIGINT)"
+_MEAN = ("CAST(sum(CASE WHEN l_linestatus = '{s}' THEN " + _WHOLE + " + {add} END) AS DOUBLE)"
+    " / nullif(200000e0 * count(CASE WHEN l_linestatus = '{s}' THEN {v} END), 0e0) AS {name}")
+EXACT_EXTENTS = "SELECT l_suppkey AS district_id, " + ", ".join(
+    _MEAN.format(s=s, v=v, add=add, name=f"{p}_{band}")
+    for p, s in (("f", "F"), ("c", "O")) for band, v, add in (("high", "l_discount", 0), ("low", "l_tax", 20000))
+) + " FROM {lineitem} GROUP BY l_suppkey"
+EXACT_EXT = f"x AS ({EXACT_EXTENTS.format(lineitem='lineitem')})"
 
 
-@query("j13_override_where_covered", sql("country", f"""{EXT},
+def half_up(value: str) -> str:
+    """Oracle text: four decimals, halves away from zero whatever the binary value of the half."""
+    return f"CAST(round(CAST({value} AS DECIMAL(18, 9)), 4) AS DOUBLE)"
+
+
+def extents(spark, sf, text=EXTENTS):
+    return spark.sql(text, lineitem=load_input(spark, sf, "lineitem"))
+
+
+@query("j13_override_where_covered", sql("country", f"""{EXACT_EXT},
     j AS (SELECT x.*, coalesce(country = 'EUROPE' AND share >= 95e-2, FALSE) AS covered FROM x LEFT JOIN country c ON x.district_id = c.district_id),
     k AS (SELECT district_id, covered, CASE WHEN covered AND c_high >= 25e-2 THEN c_high ELSE f_high END AS h,
        CASE WHEN covered AND c_high >= 25e-2 THEN c_low ELSE f_low END AS l FROM j)
-    SELECT district_id, covered, round(h, 4) AS f_high, round(greatest(l, h), 4) AS f_low FROM k"""))
+    SELECT district_id, covered, {half_up("h")} AS f_high, {half_up("greatest(l, h)")} AS f_low FROM k"""))
 def override(spark, sf):
-    x = extents(spark, sf).join(load_input(spark, sf, "country"), "district_id", "left")
+    x = extents(spark, sf, EXACT_EXTENTS).join(load_input(spark, sf, "country"), "district_id", "left")
     x = x.withColumn("covered", F.coalesce(F.expr("country = 'EUROPE' AND share >= 95e-2"), F.lit(False)))
-    future = extents(spark, sf).where("c_high >= 25e-2").selectExpr("district_id", "c_high AS f_high", "c_low AS f_low")
+    future = extents(spark, sf, EXACT_EXTENTS).where("c_high >= 25e-2").selectExpr("district_id", "c_high AS f_high", "c_low AS f_low")
     out = L.override_where_covered(x, future, "district_id", ["f_high", "f_low"], "covered")
     return out.select(
         "district_id", "covered", F.round("f_high", 4).alias("f_high"),
@@ -113,14 +130,14 @@ def override(spark, sf):
     )
 
 
-@query("j14_max_merge", f"""WITH {EXT}, p AS (SELECT * FROM x WHERE c_high >= 25e-2)
-    SELECT x.district_id, round(greatest(x.f_high, coalesce(p.c_high, x.f_high)), 4) AS f_high,
-      round(greatest(x.f_low, coalesce(p.c_low, x.f_low), x.f_high, coalesce(p.c_high, x.f_high)), 4) AS f_low,
+@query("j14_max_merge", f"""WITH {EXACT_EXT}, p AS (SELECT * FROM x WHERE c_high >= 25e-2)
+    SELECT x.district_id, {half_up("greatest(x.f_high, coalesce(p.c_high, x.f_high))")} AS f_high,
+      {half_up("greatest(x.f_low, coalesce(p.c_low, x.f_low), x.f_high, coalesce(p.c_high, x.f_high))")} AS f_low,
       coalesce(p.c_high > x.f_high, FALSE) AS f_high_upgraded, coalesce(p.c_low > x.f_low, FALSE) AS f_low_upgraded
     FROM x LEFT JOIN p ON x.district_id = p.district_id""")
 def merge(spark, sf):
-    base = extents(spark, sf).select("district_id", "f_high", "f_low")
-    patch = extents(spark, sf).where("c_high >= 25e-2").selectExpr("district_id", "c_high AS f_high", "c_low AS f_low")
+    base = extents(spark, sf, EXACT_EXTENTS).select("district_id", "f_high", "f_low")
+    patch = extents(spark, sf, EXACT_EXTENTS).where("c_high >= 25e-2").selectExpr("district_id", "c_high AS f_high", "c_low AS f_low")
     out = L.max_merge(base, patch, "district_id", ["f_high", "f_low"], nest=("f_low", "f_high"))
     return out.withColumns({c: F.round(c, 4) for c in ("f_high", "f_low")})
 
