@@ -188,3 +188,30 @@ def test_dependence_report_ranks_each_run_once(spark, monkeypatch):
     assert written.count("slices") == 3  # two runs and the interval
     assert got.tvar99_vine == pytest.approx(sum(sorted((1 + i * 7919 % 1009 for i in range(4000)), reverse=True)[:400]) / 400)
     assert got.tvar_uplift_pct == pytest.approx(100 * (1 / 0.9 - 1))
+
+
+def test_far_targets_open_only_leaves_within_their_bound(spark):
+    rng = np.random.default_rng(8)
+    box = {f"{m}{a}": rng.uniform(0, 100, 400) for a in "xy" for m in ("min",)}
+    leaves = pd.DataFrame({"slab": np.repeat(np.arange(20), 20), "leaf": np.tile(np.arange(20), 20), **box})
+    leaves = leaves.assign(maxx=leaves.minx + 5, maxy=leaves.miny + 9)
+    y = np.array([50.0, 500.0, 9000.0])
+    circles = pd.DataFrame({"t": range(3), "p_minx": 40.0, "p_maxx": 40.0, "p_miny": y, "p_maxy": y, "r": [0.0, 410.0, 8905.0]})
+    got = N._reached(spark.createDataFrame(circles), spark.createDataFrame(leaves)).select("t", "slab", "leaf").collect()
+    want = set()
+    for c in circles.itertuples():
+        dx = np.maximum.reduce([leaves.minx - c.p_maxx, c.p_minx - leaves.maxx, 0 * leaves.minx])
+        dy = np.maximum.reduce([leaves.miny - c.p_maxy, c.p_miny - leaves.maxy, 0 * leaves.miny])
+        want |= {(c.t, r.slab, r.leaf) for r in leaves[np.hypot(dx, dy) <= c.r].itertuples()}
+    assert len(got) == len(want) > 3 and {tuple(r) for r in got} == want
+
+
+def test_weather_score_searches_once(spark):
+    from perilweave.plans.scores import weather_score
+
+    points = spark.range(300).selectExpr("id AS point_id", "id * 7919 % 101 AS x", "id * 104729 % 103 AS y", *[f"CAST(id % 17 AS DOUBLE) AS {c}" for c in ("wind", "wdr", "rain10", "precip", "gust_rp50")])
+    targets = spark.range(50).selectExpr("id AS district_id", "id * 2 AS x", "id * 1000 AS y")
+    out = weather_score(targets, [(points, ["wind", "wdr", "rain10", "precip", "gust_rp50"])])
+    read = out.inputFiles()
+    assert any("interpolated-" in f for f in read) and not any("leaves-" in f for f in read)
+    assert out.count() == 50
