@@ -1,6 +1,7 @@
 """Plans: inputs are read once, and no search meets everything with everything."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from perilweave.catalog import base, load
 from perilweave.operators import nearest as N
@@ -44,3 +45,31 @@ def test_targets_far_outside_find_their_neighbours(spark):
     for i, x0, y0 in ((1, 1e6, -1e6), (2, 5.0, 5.0), (3, -3.0, 400.0)):
         want = sorted(((x0 - x) ** 2 + (y0 - y) ** 2) ** 0.5 for x, y in points)[:4]
         assert [got[i, k + 1] for k in range(4)] == pytest.approx(want)
+
+
+def test_bedrock_overlay_runs_once_and_a_covered_map_needs_no_search(spark, monkeypatch):
+    from perilweave.plans import scores as P
+
+    # corners away from the lines on which the tiles of the layers meet
+    box = lambda x, y, w: [[(x, y), (x + w, y), (x + w, y + w), (x, y + w)]]
+    rings = "rings array<array<struct<x:double,y:double>>>"
+    rock = spark.createDataFrame(
+        [(7, "CLAY", "c", "p", 0.9, box(0.5, 0.5, 20.0)), (8, "CHALK", "c", "p", 0.1, box(20.5, 0.5, 20.0))],
+        f"zone_id long, lex_d string, rcs_d string, max_period string, given double, {rings}",
+    )
+    inside = [(1, box(2.0, 2.0, 5.0)), (2, box(18.5, 3.0, 4.0))]
+    scored = lambda rows: P.bedrock_score(
+        spark.createDataFrame(rows, f"district_id long, {rings}"), rock, 30.0, susc=F.col("given")
+    )
+    far = scored([*inside, (3, box(90.0, 0.5, 5.0))])
+    assert "lvs#" not in far._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.district_id: (round(r.bed_score, 9), r.geol) for r in far.collect()}
+    assert got == {1: (0.9, "CLAY"), 2: (0.5, "CLAY"), 3: (0.1, "none (low-plasticity bedrock)")}
+
+    def none_wanted(*_):
+        raise AssertionError("the layer was dealt for no target")
+
+    monkeypatch.setattr(N, "near", none_wanted)
+    covered = scored(inside)
+    assert {r.district_id: r.geol for r in covered.collect()} == {1: "CLAY", 2: "CLAY"}
+    assert dict(covered.dtypes) == dict(far.dtypes)

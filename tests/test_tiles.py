@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perilweave.operators import spatial as S
-from perilweave.operators.tiles import polygon_tiles
+from perilweave.operators.tiles import BOX, box_ctes, met_ctes, polygon_tiles
 
 
 def polygons(spark, shapes, key):
@@ -129,3 +129,30 @@ def test_empty_layers_meet_nothing(spark, layers):
     assert S.overlay_area(a, none, "a", "b", 1.0).isEmpty()
     points = spark.createDataFrame([(1, 0.0, 0.0)], "n long, x double, y double")
     assert S.points_in_polygons(points, none, "b", 1.0).isEmpty()
+
+
+def test_polygons_of_one_file_are_cut_by_all_tasks(spark, layers, monkeypatch):
+    cut = []
+    boxes = S.with_bbox
+    monkeypatch.setattr(S, "with_bbox", lambda df, rings="rings": cut.append(df) or boxes(df, rings))
+    a, b = (polygons(spark, side, key).coalesce(1) for side, key in zip(layers, "ab"))
+    S.overlay_area(a, b, "a", "b", 1.0)
+    assert len(cut) == 2 and all(df.select(F.spark_partition_id()).distinct().count() > 4 for df in cut)
+
+
+def test_rows_that_no_level_looks_up_are_not_placed(spark):
+    boxes = lambda key, n, step, w: spark.range(n * n).selectExpr(
+        f"id AS {key}", f"id % {n} * {step} AS minx", f"floor(id / {n}) * {step} AS miny", f"id % {n} * {step} + {w} AS maxx", f"floor(id / {n}) * {step} + {w} AS maxy"
+    )
+    count = lambda wanted, small_first: spark.sql(
+        f"""WITH {box_ctes("ta", "{a}", ["a", *BOX], 1.0)}, {box_ctes("tb", "{b}", ["b", *BOX], 1.0)},
+          {met_ctes("met", "ta", "tb", ["a", *BOX], ["b", *BOX], "a_minx < b_maxx AND b_minx < a_maxx AND a_miny < b_maxy AND b_miny < a_maxy")}
+        SELECT {wanted}""",
+        a=boxes("a", 20, "1.7D", "0.4D") if small_first else boxes("a", 6, "6.1D", "5.3D"),
+        b=boxes("b", 6, "6.1D", "5.3D") if small_first else boxes("b", 20, "1.7D", "0.4D"),
+    ).first()[0]
+    along = sum(x * 1.7 < y * 6.1 + 5.3 and y * 6.1 < x * 1.7 + 0.4 for x in range(20) for y in range(6))
+    for small_first in (True, False):
+        assert count("count(DISTINCT a_a, b_b) FROM met", small_first) == along * along
+        own = "(SELECT count(*) FROM met_a WHERE NOT finer) + (SELECT count(*) FROM met_b WHERE finer)"
+        assert count(own, small_first) == count(f"count(*) FROM t{'b' if small_first else 'a'}", small_first)
